@@ -23,7 +23,11 @@ from quire.llm import common
 
 #: Bits of the map that says which digests may be hits; fixed, so its 2 MiB are a bound for the broadcast.
 HIT_BITS = 1 << 24
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; small stores must not reserve disk space ahead of use.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -42,8 +46,9 @@ def ingest(feed_path: str, state_path: str, spark: SparkSession) -> None:
     files already counted are not read again.
     """
     schema = "digest string, doc_id long, n_bytes long, check long"
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    old = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         state = (
             spark.readStream.schema(schema).parquet(feed_path).groupBy("digest")
@@ -51,10 +56,8 @@ def ingest(feed_path: str, state_path: str, spark: SparkSession) -> None:
         )
         state.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start().awaitTermination()
     finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def state_of(spark: SparkSession, state_path: str) -> DataFrame:
@@ -89,13 +92,17 @@ def exact_dedup(docs: DataFrame, digest=digest_of, state_path: str | None = None
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("normal"))
-    rows = rows.select("doc_id", "normal", digest(F.col("normal")).alias("digest"), F.sha2("normal", 256).alias("text_sha256"))
+    sha = F.sha2("normal", 256)
+    own = digest is not digest_of
+    rows = rows.select("doc_id", "normal", digest(F.col("normal")).alias("digest"), sha.alias("text_sha256"))
     feed_path = common.new_path(spark, "dedup-feed")
-    rows.select("digest", "doc_id", F.octet_length("normal").cast("long").alias("n_bytes"), F.xxhash64("normal").alias("check"), "text_sha256").write.parquet(feed_path)
+    rows.select("digest", "doc_id", F.octet_length("normal").cast("long").alias("n_bytes"), F.xxhash64("normal").alias("check"), *["text_sha256"] * own).write.parquet(feed_path)
     state_path = state_path or common.new_path(spark, "dedup-state")
     ingest(feed_path, state_path, spark)
     hits = common.table(state_of(spark, state_path).where("n > 1").select("digest", "keep_id", "n"), "dedup-hits")
-    feed = spark.read.schema("digest string, doc_id long, text_sha256 string").parquet(feed_path)
+    feed = spark.read.schema("digest string, doc_id long" + ", text_sha256 string" * own).parquet(feed_path)
+    if not own:
+        feed = feed.withColumn("text_sha256", F.col("digest"))
     alone = feed.join(hits, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return alone.unionByName(_proved(rows, hits))
 
