@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, exact_dedup, licenses, packing
+from quire.llm import decontaminate, exact_dedup, licenses, packing, toxicity
 from quire.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_table(documents(spark, sf_dir))
 
 
+def op9_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_wu_manber_leaks": op6_wu_manber_leaks,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
+    "op9_toxic_grammar": op9_toxic_grammar,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
