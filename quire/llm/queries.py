@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, exact_dedup, licenses, packing, toxicity
+from quire.llm import decontaminate, exact_dedup, language, licenses, packing, toxicity
 from quire.llm.common import documents
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_table(documents(spark, sf_dir))
+
+
 def op6_wu_manber_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -31,6 +35,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_language_mixture": op4_language_mixture,
     "op6_wu_manber_leaks": op6_wu_manber_leaks,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
