@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, exact_dedup, language, licenses, packing, toxicity
+from quire.llm import decontaminate, edit_counts, exact_dedup, language, licenses, packing, sharding, toxicity
 from quire.llm.common import documents
 
 
+def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
+
+
+def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edit_table(documents(spark, sf_dir))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_table(documents(spark, sf_dir))
 
@@ -35,6 +43,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_balanced_shards": op1_balanced_shards,
+    "op3_edit_token_counts": op3_edit_token_counts,
     "op4_language_mixture": op4_language_mixture,
     "op6_wu_manber_leaks": op6_wu_manber_leaks,
     "op7_best_fit_packing": op7_best_fit_packing,

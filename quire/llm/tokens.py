@@ -20,6 +20,9 @@ MEMO = 400_000
 SPLIT = re.compile(r" ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\sA-Za-zªµºÀ-ÖØ-öø-ɏ0-9]+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
+#: The same split for any text, by the regex library's properties.
+FULL = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^S\p{L}\p{N}]+|[S]+(?![^S])|[S]+".replace("S", "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000")
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -77,6 +80,14 @@ class Encoder:
         """Whether SPLIT gives the tokenizer's own pre-tokens of the text."""
         return not ODD.search(text)
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens of any text, in order; joined they are the text."""
+        if self.plain(text):
+            return SPLIT.findall(text)
+        import regex
+
+        return regex.findall(FULL, text)
+
     def packed(self, text: str) -> bytes:
         """All ids of the text, packed."""
         return b"".join(map(self.pieces.__getitem__, SPLIT.findall(text))) if self.plain(text) else self.whole(text)
