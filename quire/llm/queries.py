@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, edit_counts, exact_dedup, language, licenses, packing, sharding, toxicity
+from quire.llm import decontaminate, edit_counts, exact_dedup, language, licenses, packing, repeats, sharding, toxicity
 from quire.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_table(documents(spark, sf_dir))
 
 
+def op5_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_table(documents(spark, sf_dir))
+
+
 def op6_wu_manber_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_table(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_shards": op1_balanced_shards,
     "op3_edit_token_counts": op3_edit_token_counts,
     "op4_language_mixture": op4_language_mixture,
+    "op5_run_length_repeats": op5_run_length_repeats,
     "op6_wu_manber_leaks": op6_wu_manber_leaks,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
