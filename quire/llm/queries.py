@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, edit_counts, exact_dedup, language, licenses, packing, repeats, sharding, toxicity
+from quire.llm import decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, sharding, toxicity
 from quire.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(documents(spark, sf_dir))
 
 
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(documents(spark, sf_dir))
+
+
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edit_table(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_shards": op1_balanced_shards,
+    "op2_jaccard_groups": op2_jaccard_groups,
     "op3_edit_token_counts": op3_edit_token_counts,
     "op4_language_mixture": op4_language_mixture,
     "op5_run_length_repeats": op5_run_length_repeats,
