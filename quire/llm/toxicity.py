@@ -264,6 +264,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
+#: Bitmaps of labels up to this many are sent to the executors (8 KiB each, so 32 MiB); more are joined by shuffle.
+MAP_ROWS = 4096
+
+
+def with_marks(texts: DataFrame, marks: DataFrame, map_rows: int = MAP_ROWS) -> DataFrame:
+    """texts (doc_id, text) that have a mark (doc_id, toxic), with it; texts stay where they are if the marks fit in bitmaps."""
+    page = F.expr("(doc_id - pmod(doc_id, 32768)) div 32768")
+    place = F.expr("pmod(doc_id, 32768)")
+    maps = marks.select(page.alias("page"), place.alias("place"), "toxic").groupBy("page").agg(F.expr("bitmap_construct_agg(place)").alias("known"), F.expr("bitmap_construct_agg(place) filter (where toxic = 1)").alias("bad"))
+    maps = table(maps, "toxic-marks")
+    if maps.limit(map_rows + 1).count() > map_rows:
+        return texts.join(marks, "doc_id")
+    bit = "coalesce((shiftright(cast(conv(hex(substring({}, cast(_place div 8 as int) + 1, 1)), 16, 10) as int), cast(_place % 8 as int)) & 1) = 1, false)"
+    placed = texts.withColumns({"_page": page, "_place": place}).join(F.broadcast(maps), F.col("_page") == F.col("page"))
+    return placed.where(F.expr(bit.format("known"))).select("doc_id", "text", F.expr(bit.format("bad")).cast("int").alias("toxic"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 20_000, size: int = 4000, least: int = 5, least_odds: float = 3.0) -> Model:
     """Learn from the rows of docs for which ``train`` (of doc_id) holds and labels has a toxic mark.
 
@@ -272,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 20_00
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lexicon = tuple(sorted(learn_lexicon(texts.join(marks, "doc_id"), size, least, least_odds).items()))
+    lexicon = tuple(sorted(learn_lexicon(with_marks(texts, marks), size, least, least_odds).items()))
     n = marks.count()
     some = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < (1_000_000 if n <= fit_rows else 1_000_000 * fit_rows // n)
 
@@ -280,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 20_00
         for f in frames:
             yield pd.DataFrame({"x": [_matcher(lexicon).features(t) for t in f["text"]], "y": f["toxic"]})
 
-    sample = texts.where(some).join(marks.where(some), "doc_id").mapInPandas(rows, "x array<double>, y int").collect()
+    sample = with_marks(texts.where(some), marks.where(some)).mapInPandas(rows, "x array<double>, y int").collect()
     if not sample:
         return Model(lexicon, tuple(_logistic(np.zeros((0, N_FEATURES)), np.zeros(0))))
     return Model(lexicon, tuple(_logistic(np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample], float))))
