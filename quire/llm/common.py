@@ -80,3 +80,19 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, buck
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bits of the map that says which rows may be among some keys; fixed, so its 2 MiB bound what is broadcast.
+MAP_BITS = 1 << 24
+
+
+def marked(rows: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
+    """rows with a boolean ``_maybe``: true for all rows whose key is in keys, and for few others.
+
+    Rows that are not marked need no join with keys, so their texts stay out of its shuffle.
+    """
+    slot = F.pmod(F.xxhash64(*key), F.lit(MAP_BITS))
+    maps = keys.groupBy(F.bitmap_bucket_number(slot).alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    placed = rows.withColumns({"_at": F.bitmap_bucket_number(slot), "_pos": F.bitmap_bit_position(slot)})
+    bit = "coalesce((shiftright(cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int), cast(_pos % 8 as int)) & 1) = 1, false)"
+    return placed.join(F.broadcast(maps), F.col("_at") == F.col("_map"), "left").withColumn("_maybe", F.expr(bit)).drop("_at", "_pos", "_map", "_bits")

@@ -16,13 +16,11 @@ each returned, one of them kept; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common
 
-#: Bits of the map that says which digests may be hits; fixed, so its 2 MiB are a bound for the broadcast.
-HIT_BITS = 1 << 24
 #: Disk-backed state; small stores must not reserve disk space ahead of use.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -67,23 +65,6 @@ def state_of(spark: SparkSession, state_path: str) -> DataFrame:
     return s.select(F.col("key.digest").alias("digest"), first["doc_id"].alias("keep_id"), n.alias("n"), first["n_bytes"].alias("n_bytes"), first["check"].alias("check"))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(HIT_BITS))
-
-
-def hit_map(digests: DataFrame) -> DataFrame:
-    """HIT_BITS / 32768 bitmaps at most; a digest whose bit is unset is no hit."""
-    return digests.groupBy(F.bitmap_bucket_number(_slot()).alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot())).alias("_bits"))
-
-
-def maybe_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest may be among hits: all that are, and few others. Keeps most texts out of the shuffle."""
-    marked = rows.withColumns({"_at": F.bitmap_bucket_number(_slot()), "_pos": F.bitmap_bit_position(_slot())})
-    found = marked.join(F.broadcast(hit_map(hits)), F.col("_at") == F.col("_map"))
-    byte = "cast(conv(hex(substring(_bits, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int)"
-    return found.where(F.expr(f"(shiftright({byte}, cast(_pos % 8 as int)) & 1) = 1")).drop("_at", "_pos", "_map", "_bits")
-
-
 def exact_dedup(docs: DataFrame, digest=digest_of, state_path: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
 
@@ -109,7 +90,7 @@ def exact_dedup(docs: DataFrame, digest=digest_of, state_path: str | None = None
 
 def _proved(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """The rows of digests that came more than once, by full bytes."""
-    texts = common.table(maybe_hits(rows, hits), "dedup-texts")
+    texts = common.table(common.marked(rows, hits, ["digest"]).where("_maybe").drop("_maybe"), "dedup-texts")
     stays = texts.join(hits, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # Of several texts under one digest and identifier the smallest text stands for the group.
     stays = common.table(stays.groupBy("digest", "keep_id", "n").agg(F.min("normal").alias("first_text")), "dedup-stays")
@@ -129,3 +110,17 @@ def _one_kept(groups: DataFrame) -> DataFrame:
     counted = groups.groupBy("doc_id", "keep_id", "group_size", "text_sha256").agg(F.count(F.lit(1)).alias("m"))
     each = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
     return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of equal texts the one with the smallest doc_id, with all its columns."""
+    found = common.table(exact_dedup(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")), "dedup-found")
+    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_digest": digest_of(normalised(F.col("text")))})
+    rows = common.marked(rows, found.select(F.col("_sha").alias("_digest")), ["_digest"])
+    stay = found.where("_kept").distinct()
+    unsure = rows.where("_maybe").join(found.select(F.col("_sha").alias("_copy")).distinct(), F.col("_digest") == F.col("_copy"), "left")
+    alone = unsure.where("_copy is null").drop("_copy")
+    firsts = unsure.where("_copy is not null").join(stay, (F.col("_digest") == F.col("_sha")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi").drop("_copy")
+    # Repeated rows of the one that stays: the first by all columns.
+    one = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", "_key").orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns]))).where("_n = 1").drop("_n")
+    return rows.where("not _maybe").unionByName(alone).unionByName(one).drop("_key", "_digest", "_maybe")

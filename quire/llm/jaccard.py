@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import marked, table
 
 CAP = 16
 MAP_BITS = 1 << 26
@@ -165,14 +165,14 @@ def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Record
 
 
 def _sizes(width: int):
-    kinds = [("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())]
+    kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), strict=True):
+            for doc_id, raw, row in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 prints = fingerprints(raw, width)
-                rows.append((doc_id, *class_of(prints), len(prints)))
+                rows.append((doc_id, row, *class_of(prints), len(prints)))
             yield _batch(rows, kinds)
 
     return run
@@ -341,14 +341,28 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 5, cap: int = CAP) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); similarity 0.8 or more links."""
+    """doc_id, row (hash of the text), n_shingles, component_id for each row of docs (doc_id, text).
+
+    Texts link at a similarity of 0.8 or more; component_id is the smallest doc_id that links reach.
+    """
     text = F.col("text").cast("string").alias("text")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_sizes(width), "doc_id long, h1 long, h2 long, n long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64("text").alias("row")).mapInArrow(_sizes(width), "doc_id long, row long, h1 long, h2 long, n long")
     rows = table(rows, "jaccard-docs")
     roots = components(near_links(docs.select(text), width, cap))
     classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
     classes = table(classes.join(roots, ["h1", "h2"], "left").withColumn("root", F.coalesce("root", F.struct("h1", "h2"))), "jaccard-classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     found = classes.join(least, "root").select("h1", "h2", "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("n > 0").join(found, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = rows.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.where("n > 0").join(found, ["h1", "h2"]).select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of docs but those of a group other than its smallest doc_id; rows with one doc_id and text go or stay together."""
+    groups = near_groups(docs, width)
+    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "jaccard-gone")
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.xxhash64("text")})
+    rows = marked(rows, gone, ["_id", "_row"])
+    gone = gone.select(F.col("_id").alias("g_id"), F.col("_row").alias("g_row"))
+    unsure = rows.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_row") == F.col("g_row")), "left_anti")
+    return rows.where("not _maybe").unionByName(unsure).drop("_id", "_row", "_maybe")

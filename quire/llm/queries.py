@@ -15,7 +15,7 @@ def op1_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(documents(spark, sf_dir))
+    return jaccard.near_groups(documents(spark, sf_dir)).drop("row")
 
 
 def op3_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
