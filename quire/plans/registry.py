@@ -1,11 +1,398 @@
-"""Names of the queries over the test tables, with their oracles."""
+"""Names of the queries over the test tables, with their oracles.
+
+The test tables stand in for the engine's own: documents are chapters whose lines are paragraphs,
+conversations are request histories, events are attempts, pages are raw chapters. A volume is a run of
+500 chapters of one source, the unit that sequential packing runs in.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import text as X
+from quire.operators import control, groups, islands, selection
+from quire.sources import markup
 
 FLAGSHIP = "budget_groups"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, source, line, text: non-blank lines of chapters with normal white space."""
+    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return lines.withColumn("text", X.normalize_text(F.col("raw"))).where("text is not null").drop("raw")
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    return paragraphs(docs).select("doc_id", "source", "line", X.n_tokens(F.col("text")).alias("score"))
+
+
+LINES = r"""lines AS (SELECT doc_id, source, i - 1 AS line, regexp_replace(l[i], '\s+', ' ', 'g') AS text
+    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+    WHERE trim(regexp_replace(l[i], '\s+', ' ', 'g')) <> '')"""
+TOKENS = "len(regexp_extract_all(text, '<[^>]*>|[A-Za-z]+|[\\s\\S]'))"
+SCORED = f"{LINES}, scored AS (SELECT doc_id, source, line, {TOKENS} AS score FROM lines)"
+
+
+@query(r"SELECT doc_id, length(n) AS n_chars, md5(n) AS digest FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS n FROM documents)")
+def normalize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = X.normalize_whitespace(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(n).alias("n_chars"), F.md5(n).alias("digest"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line, length(text) AS n_chars, md5(text) AS digest FROM lines")
+def paragraph_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "line", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"WITH {SCORED} SELECT doc_id, sum(score) AS score, count(*) AS n_lines FROM scored GROUP BY 1")
+def token_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f"""WITH RECURSIVE {SCORED},
+    nums AS (SELECT source, doc_id // 500 AS volume, score, row_number() OVER (PARTITION BY source, doc_id // 500 ORDER BY doc_id, line) AS k FROM scored),
+    fold AS (SELECT source, volume, k, score AS s, 0 AS group_no, score FROM nums WHERE k = 1
+        UNION ALL SELECT n.source, n.volume, n.k, CASE WHEN f.s > 0 AND f.s + n.score > 2600 THEN n.score ELSE f.s + n.score END,
+            CASE WHEN f.s > 0 AND f.s + n.score > 2600 THEN f.group_no + 1 ELSE f.group_no END, n.score
+        FROM fold f JOIN nums n ON n.source = f.source AND n.volume = f.volume AND n.k = f.k + 1)
+    SELECT source, volume, group_no, count(*) AS n_items, sum(score) AS score FROM fold GROUP BY 1, 2, 3""")
+def budget_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = scored(read(spark, sf_dir, "documents")).withColumn("volume", F.expr("doc_id div 500"))
+    return groups.budget_groups(items, ["source", "volume"], ["doc_id", "line"], "score", 2600)
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT *, coalesce(sum(score) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer FROM scored)
+    SELECT doc_id, line, score, least(score, 300 - nearer) AS kept FROM b WHERE nearer < 300""")
+def context_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.context(scored(read(spark, sf_dir, "documents")), ["doc_id"], ["line"], "score", 300).select("doc_id", "line", "score", "kept")
+
+
+@query(f"""WITH {SCORED}, b AS (SELECT *, coalesce(sum(score) OVER (PARTITION BY doc_id ORDER BY line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer FROM scored)
+    SELECT doc_id, line, score, least(score, 300 - nearer) AS kept FROM b WHERE nearer < 300""")
+def context_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.context(scored(read(spark, sf_dir, "documents")), ["doc_id"], ["line"], "score", 300, "head").select("doc_id", "line", "score", "kept")
+
+
+@query(f"""WITH {SCORED} SELECT doc_id, line, CASE WHEN lag(1) OVER w IS NULL THEN 0 ELSE 1 END AS start_incision,
+    CASE WHEN lead(1) OVER w IS NULL THEN 0 ELSE 1 END AS end_incision FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY line)""")
+def block_incisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.incisions(scored(read(spark, sf_dir, "documents")), ["doc_id"], ["line"]).select("doc_id", "line", "start_incision", "end_incision")
+
+
+VOLUMES = f"""{SCORED}, g AS (SELECT source, doc_id // 500 AS volume, doc_id, least(sum(score), 40) AS head, sum(score) AS body, least(sum(score), 60) AS tail FROM scored GROUP BY 1, 2, 3),
+    nums AS (SELECT *, row_number() OVER (PARTITION BY source, volume ORDER BY doc_id) AS k FROM g)"""
+
+
+@query(f"""WITH RECURSIVE {VOLUMES},
+    fold AS (SELECT source, volume, k, 0 AS merged_no, head + body AS s, head, body, tail FROM nums WHERE k = 1
+        UNION ALL SELECT n.source, n.volume, n.k, CASE WHEN f.s + n.body + n.tail > 5000 THEN f.merged_no + 1 ELSE f.merged_no END,
+            CASE WHEN f.s + n.body + n.tail > 5000 THEN n.head + n.body ELSE f.s + n.body END, n.head, n.body, n.tail
+        FROM fold f JOIN nums n ON n.source = f.source AND n.volume = f.volume AND n.k = f.k + 1)
+    SELECT source, volume, merged_no, count(*) AS n_groups, arg_min(head, k) AS head, sum(body) AS body, arg_max(tail, k) AS tail FROM fold GROUP BY 1, 2, 3""")
+def coalesced_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = scored(read(spark, sf_dir, "documents")).withColumn("volume", F.expr("doc_id div 500")).groupBy("source", "volume", "doc_id").agg(F.sum("score").alias("body"))
+    g = g.withColumns({"head": F.least("body", F.lit(40)), "tail": F.least("body", F.lit(60))})
+    return groups.coalesce_groups(g, ["source", "volume"], "doc_id", 5000)
+
+
+@query("""SELECT conv_id, run_id, any_value(role) AS role, count(*) AS n_turns, min(turn) AS first_turn FROM (
+    SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS run_id FROM (
+        SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))) GROUP BY 1, 2""")
+def block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.runs(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role").groupBy("conv_id", "run_id").agg(F.first("role").alias("role"), F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"))
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, line, string_split(text, ' ')[1:4] AS a FROM lines),
+    n AS (SELECT *, lag(a) OVER w AS p, lead(a) OVER w AS q FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line))
+    SELECT doc_id, line,
+        CASE WHEN p IS NULL OR a[1] IS DISTINCT FROM p[1] THEN 0 WHEN a[2] IS NULL OR a[2] IS DISTINCT FROM p[2] THEN 1 WHEN a[3] IS NULL OR a[3] IS DISTINCT FROM p[3] THEN 2 WHEN a[4] IS NULL OR a[4] IS DISTINCT FROM p[4] THEN 3 ELSE 4 END AS left_common,
+        CASE WHEN q IS NULL OR a[1] IS DISTINCT FROM q[1] THEN 0 WHEN a[2] IS NULL OR a[2] IS DISTINCT FROM q[2] THEN 1 WHEN a[3] IS NULL OR a[3] IS DISTINCT FROM q[3] THEN 2 WHEN a[4] IS NULL OR a[4] IS DISTINCT FROM q[4] THEN 3 ELSE 4 END AS right_common
+    FROM n""")
+def neighbour_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "line", F.slice(F.split("text", " "), 1, 4).alias("stack"))
+    return islands.common_depths(rows, ["doc_id"], ["line"], "stack").select("doc_id", "line", "left_common", "right_common")
+
+
+@query("""SELECT doc_id, tag_name, trim(text) AS text FROM (SELECT doc_id, 'language' AS tag_name, lang AS text FROM documents UNION ALL SELECT doc_id, 'publisher', source FROM documents
+    UNION ALL SELECT doc_id, 'title', string_split(text, chr(10))[1] FROM documents) WHERE tag_name NOT IN ('language', 'identifier', 'date', 'meta', 'contributor') AND trim(text) <> ''""")
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources import package
+
+    fields = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tag_name"), c.alias("text")) for t, c in (("language", F.col("lang")), ("publisher", F.col("source")), ("title", F.get(F.split("text", "\n"), F.lit(0))))])).alias("f"))
+    return package.translatable(fields.select("doc_id", "f.*"))
+
+
+@query("""WITH o AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
+    n AS (SELECT source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1)
+    SELECT o.source, o.lang, o.doc_id, coalesce(cast(n.n_chars AS varchar), 'kept') AS text FROM o LEFT JOIN n USING (source, lang, k)""")
+def kth_field_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources import package
+
+    docs = read(spark, sf_dir, "documents").withColumn("book_id", F.col("source"))
+    old = docs.where("doc_id % 2 = 0").select("book_id", F.col("lang").alias("tag_name"), F.col("doc_id").alias("field_no"), F.lit("kept").alias("text"))
+    new = docs.where("doc_id % 2 = 1").select("book_id", F.col("lang").alias("tag_name"), F.col("doc_id").alias("field_no"), F.col("n_chars").cast("string").alias("text"))
+    return package.updated_fields(old, new).select(F.col("book_id").alias("source"), F.col("tag_name").alias("lang"), F.col("field_no").alias("doc_id"), "text")
+
+
+@query("""WITH m AS (SELECT cast(p_size AS varchar) AS id, arg_max(p_name, p_partkey) AS href, arg_max(p_type, p_partkey) AS media FROM part GROUP BY 1)
+    SELECT l_orderkey AS book_id, l_linenumber AS spine_pos, count(*) AS n, 'OPS/' || any_value(href) AS path FROM lineitem JOIN m ON m.id = cast(cast(l_quantity AS int) AS varchar) WHERE media IN ('ECONOMY', 'STANDARD') GROUP BY 1, 2, href""")
+def spine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.sources import package
+
+    manifest = read(spark, sf_dir, "part").select(F.lit("all").alias("shelf"), F.col("p_size").cast("string").alias("id"), F.col("p_name").alias("href"), F.col("p_type").alias("media_type"), F.col("p_partkey").alias("pos"))
+    refs = read(spark, sf_dir, "lineitem").select(F.lit("all").alias("shelf"), F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("spine_pos"), F.col("l_quantity").cast("int").cast("string").alias("idref"))
+    rows = package.spine(manifest, refs, ["shelf"], F.lit("OPS"), ("ECONOMY", "STANDARD"))
+    return rows.groupBy("book_id", "spine_pos", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def members_copy_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT doc_id FROM documents WHERE source LIKE 'src1%'")
+def list_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(F.startswith(F.col("source"), F.lit("src1"))).select("doc_id")
+
+
+@query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) AS n FROM events) WHERE n = 1""")
+def best_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.best_attempts(read(spark, sf_dir, "events"), ["user_id", "event_type"], "value", ["event_id"]).select("user_id", "event_type", "event_id", "value")
+
+
+KINDS = "['block_expected_ids','block_wrong_tag','block_invalid_id','block_unexpected_id','inline_expected_ids','inline_lost_id','inline_invalid_id','inline_wrong_tag_count','inline_unexpected_id']"
+ERRORS = f"""errs AS (SELECT user_id, event_id % 7 AS block_id, event_id AS index1, 0 AS index2, {KINDS}[(event_id % 9) + 1] AS kind, event_id % 3 + 1 AS n_ids, [6, 5, 4, 3, 3, 2, 1, 0, 0][(event_id % 9) + 1] AS level FROM events),
+    weighed AS (SELECT *, cast(3 ** level * CASE WHEN kind LIKE '%expected_ids' AND kind NOT LIKE '%unexpected%' THEN n_ids ELSE 1 END AS bigint) AS weight FROM errs)"""
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in selection.LEVELS])
+    e = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 7).alias("block_id"), F.col("event_id").alias("index1"), F.lit(0).alias("index2"), F.get(kinds, (F.col("event_id") % 9).cast("int")).alias("kind"), (F.col("event_id") % 3 + 1).alias("n_ids"))
+    return e.withColumns({"level": selection.level(F.col("kind")), "weight": selection.weight(F.col("kind"), F.col("n_ids"))})
+
+
+@query(f"WITH {ERRORS} SELECT user_id, block_id, sum(weight) AS weight, count(*) AS n_errors FROM weighed GROUP BY 1, 2")
+def error_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.group_errors(_errors(spark, sf_dir), ["user_id"])
+
+
+@query(f"""WITH {ERRORS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level DESC, index1, index2) AS rank, count(*) OVER (PARTITION BY user_id) AS n FROM weighed)
+    SELECT user_id, rank, index1, level, greatest(n - 10, 0) AS omitted FROM r WHERE rank <= 10""")
+def error_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.top_errors(_errors(spark, sf_dir), ["user_id"], 10).select("user_id", "rank", "index1", "level", "omitted")
+
+
+@query(f"""WITH {ERRORS}, b AS (SELECT *, min(weight) OVER (PARTITION BY user_id, block_id ORDER BY index1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM weighed)
+    SELECT user_id, block_id, index1 AS attempt, CASE WHEN weight < before THEN level - 7 ELSE level END AS shown_level FROM b""")
+def priority_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _errors(spark, sf_dir).withColumnRenamed("index1", "attempt")
+    return selection.demoted(rows, ["user_id", "block_id"]).select("user_id", "block_id", "attempt", "shown_level")
+
+
+@query("""WITH e AS (SELECT o_custkey AS answer, o_orderkey AS id, o_orderpriority AS tag FROM orders WHERE o_orderkey % 5 <> 0),
+    f AS (SELECT o_custkey AS answer, o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'other' ELSE o_orderpriority END AS tag FROM orders WHERE o_orderkey % 7 <> 0),
+    j AS (SELECT coalesce(e.answer, f.answer) AS answer, coalesce(e.id, f.id) AS id, e.tag AS et, f.tag AS ft FROM e FULL JOIN f ON e.answer = f.answer AND e.id = f.id)
+    SELECT answer, 'block_unexpected_id' AS kind, id AS block_id, cast(1 AS bigint) AS n_ids, cast(27 AS bigint) AS weight FROM j WHERE et IS NULL
+    UNION ALL SELECT answer, 'block_wrong_tag', id, 1, 243 FROM j WHERE et <> ft
+    UNION ALL SELECT answer, 'block_expected_ids', NULL, count(DISTINCT id), 729 * count(DISTINCT id) FROM j WHERE ft IS NULL GROUP BY 1""")
+def block_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("answer"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tag"), F.lit(0).alias("position"))
+    found = o.where("id % 7 <> 0").withColumn("tag", F.when(F.col("id") % 11 == 0, "other").otherwise(F.col("tag")))
+    return selection.validate_blocks(o.where("id % 5 <> 0"), found, ["answer"]).select("answer", "kind", "block_id", "n_ids", "weight")
+
+
+@query("""WITH w AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS expected FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2), h AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS found FROM orders WHERE o_orderkey % 6 <> 0 GROUP BY 1, 2)
+    SELECT h.parent, h.tag, coalesce(expected, 0) AS expected, found FROM h LEFT JOIN w ON h.parent = w.parent AND h.tag = w.tag WHERE coalesce(expected, 0) <> found""")
+def tag_count_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderpriority").alias("tag"), "o_orderkey")
+    return selection.validate_tag_counts(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 6 <> 0"), ["parent"])
+
+
+@query("""SELECT conv_id, turn, CASE WHEN n = 1 THEN role WHEN n = 2 THEN role || '__translated' ELSE role || '__translated_' || cast(n - 1 AS varchar) END AS unique_id
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)""")
+def dup_id_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.rename_duplicates(read(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "unique_id")
+
+
+@query("""SELECT conv_id, role AS id, count(*) AS n FROM conversations GROUP BY 1, 2 HAVING count(*) > 1""")
+def dup_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN d THEN sum(cast(d AS int)) OVER (PARTITION BY conv_id ORDER BY turn) END AS child_id
+    FROM (SELECT *, count(DISTINCT length(text) % 2) OVER (PARTITION BY conv_id, role) > 1 AS d FROM conversations)""")
+def sparse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").withColumn("mark", F.length("text") % 2)
+    return islands.sparse_ids(rows, ["conv_id"], "role", ["turn"], "mark").select("conv_id", "turn", "child_id")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role <> 'system' THEN sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) END AS new_id FROM conversations""")
+def renumber_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.renumber(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") != "system").select("conv_id", "turn", "new_id")
+
+
+@query(r"""SELECT conv_id, sha256('{"cache_seed": "1.0:French", "messages": [' || string_agg('{"message": "' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(13), '\r'), chr(9), '\t') || '", "role": '
+    || CASE role WHEN 'system' THEN '1' WHEN 'user' THEN '2' ELSE '3' END || '}', ', ' ORDER BY turn) || ']}') AS key FROM conversations GROUP BY 1""")
+def message_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3)
+    m = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("message"), role.alias("role")))).alias("messages"))
+    return m.select("conv_id", X.message_key(F.lit("1.0:French"), F.col("messages"), 256).alias("key"))
+
+
+@query(f"""SELECT conv_id, sum({TOKENS}) AS total_tokens, sum(CASE WHEN role <> 'assistant' THEN {TOKENS} ELSE 0 END) AS input_tokens,
+    sum(CASE WHEN role = 'system' THEN {TOKENS} ELSE 0 END) AS cached_tokens, sum(CASE WHEN role = 'assistant' THEN {TOKENS} ELSE 0 END) AS output_tokens FROM conversations GROUP BY 1""")
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n")
+    rows = read(spark, sf_dir, "conversations").withColumn("n", X.n_tokens(F.col("text"))).withColumns({
+        "total_tokens": n, "input_tokens": F.when(F.col("role") != "assistant", n), "cached_tokens": F.when(F.col("role") == "system", n), "output_tokens": F.when(F.col("role") == "assistant", n),
+    })
+    return control.usage_totals(rows, ["conv_id"], ["total_tokens", "input_tokens", "cached_tokens", "output_tokens"])
+
+
+@query("""WITH t AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'toc' WHEN turn = 1 THEN 'metadata' ELSE 'chapter' END AS kind FROM conversations),
+    p AS (SELECT *, CASE WHEN kind <> 'chapter' THEN 0.05 ELSE 0.9 / sum(CASE WHEN kind = 'chapter' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) END AS part FROM t)
+    SELECT conv_id, turn, cast(round(1000 * sum(cast(part AS double)) OVER (PARTITION BY conv_id ORDER BY turn)) AS bigint) AS permille FROM p""")
+def progress_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("turn") == 0, "toc").when(F.col("turn") == 1, "metadata").otherwise("chapter")
+    p = control.progress(read(spark, sf_dir, "conversations").withColumn("kind", kind), ["conv_id"], "turn")
+    return p.select("conv_id", "turn", F.round(F.col("progress") * 1000).cast("long").alias("permille"))
+
+
+@query("SELECT conv_id, turn, 0.8 - 0.6 * power(0.5, turn) AS temperature FROM conversations".replace("0.8 - 0.6 *", "cast(0.8 AS double) - cast(0.6000000000000001 AS double) *"))
+def sampling_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.sampling_value(0.2, 0.8, F.col("turn")).alias("temperature"))
+
+
+@query("SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(text) AS key FROM documents) WHERE key NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
+    firsts = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return control.cache_misses(firsts, docs.where("doc_id % 3 = 0"), "key")
+
+
+@query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '<br>', '<br/>', 'g'), '<(area|base|br|col|embed|hr|img|input|link|param|source|track|wbr)([^>A-Za-z0-9_:.-][^>]*?)??\s*/>', '<\1\2>', 'g')) AS digest FROM pages""")
+def void_unclose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.replace(F.col("html"), F.lit("<br>"), F.lit("<br/>"))
+    return read(spark, sf_dir, "pages").select("page_id", F.md5(X.unclose_void(html)).alias("digest"))
+
+
+@query("SELECT doc_id, md5(translate('«' || text || '‹x›〈y〉»', '‹›〈〉«»《》', '«»《》')) AS digest FROM documents")
+def quote_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(X.unwrap_quotes(F.concat(F.lit("«"), "text", F.lit("‹x›〈y〉»")))).alias("digest"))
+
+
+@query("""SELECT page_id, nullif(split_part(url, '#', 1), '') AS path, CASE WHEN strpos(url, '#') > 0 THEN nullif(substring(url, strpos(url, '#') + 1), '') END AS fragment FROM pages""")
+def href_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, fragment = X.split_href(F.col("url"))
+    return read(spark, sf_dir, "pages").select("page_id", path.alias("path"), fragment.alias("fragment"))
+
+
+@query(f"""SELECT page_id, lower(tag) AS tag, lower(tag) IN ({", ".join(f"'{t}'" for t in X.INLINE_TAGS)}) AS inline, count(*) AS n
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1, 2, 3""")
+def inline_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), 1)).alias("tag"))
+    return tags.groupBy("page_id", F.lower("tag").alias("tag"), X.is_inline(F.col("tag")).alias("inline")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 30 THEN substring(text, 1, 30) || '...' ELSE text END AS preview FROM documents")
+def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(t) > 6 THEN trim(array_to_string(t[1:6], '')) || ' ...' ELSE trim(text) END AS hint FROM (SELECT doc_id, text, regexp_extract_all(trim(text), '<[^>]*>|[A-Za-z]+|[\s\S]') AS t FROM documents)""")
+def text_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", X.token_hint(F.col("text")).alias("hint"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 3 ELSE 2 END AS version FROM pages")
+def toc_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("page_id") % 4 == 0, "3.0").when(F.col("page_id") % 4 == 1, "2.0")
+    return read(spark, sf_dir, "pages").select("page_id", X.toc_version(v).alias("version"))
+
+
+@query("SELECT page_id, regexp_extract(html, '^((?s:.*?))<[A-Za-z]', 1) AS header FROM pages")
+def page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", X.header_of(F.col("html")).alias("header"))
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pre FROM events)
+    SELECT user_id, event_id, pre AS play_order FROM n""")
+def play_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("play_order"))
+
+
+@query("""WITH a AS (SELECT user_id, event_id AS lo, event_id + 200 AS hi FROM events WHERE event_id % 100 = 0)
+    SELECT a.user_id, a.lo, count(*) AS n FROM a JOIN events e ON e.user_id = a.user_id AND e.event_id BETWEEN a.lo AND a.hi GROUP BY 1, 2""")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import reassembly
+
+    e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pre"))
+    spans = e.where("pre % 100 = 0").select("user_id", F.col("pre").alias("lo"), (F.col("pre") + 200).alias("hi"))
+    return reassembly.contained(e, spans, ["user_id"]).groupBy("user_id", "lo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT retries, count(*) AS n, count(*) / (SELECT count(*) FROM events)::double AS share FROM (SELECT event_id % 6 AS retries, event_type <> 'error' AS success FROM events) WHERE success GROUP BY 1""")
+def attempt_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.scorecard(read(spark, sf_dir, "events").select((F.col("event_id") % 6).alias("retries"), (F.col("event_type") != "error").alias("success")))
+
+
+@query()
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of pages as the tolerant parser closes them. No SQL: a tree parser."""
+    return markup.elements(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def page_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text segments of pages with their ancestors. No SQL: a tree parser."""
+    segments = markup.text_segments(read(spark, sf_dir, "pages"), "page_id", "html")
+    return islands.common_depths(segments, ["page_id"], ["seg_no"], "stack").drop("stack")
+
+
+@query()
+def page_inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline runs of pages: consecutive segments of one block. No SQL: a tree parser stands before it."""
+    segments = markup.text_segments(read(spark, sf_dir, "pages"), "page_id", "html")
+    rows = islands.runs(segments, ["page_id"], ["seg_no"], "block_node")
+    return rows.groupBy("page_id", "run_id").agg(F.min("seg_no").alias("first_seg"), F.count(F.lit(1)).alias("n"), F.sum(X.n_tokens(F.col("text"))).alias("score"))
+
+
+@query()
+def page_strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages are well-formed once void elements and entities are mended; an error column for the rest."""
+    return markup.strict_parse(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query()
+def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model stage over page segments (upper case), put back into the pages in the append_block way."""
+    from quire.operators import reassembly
+
+    return reassembly.translate_pages(read(spark, sf_dir, "pages"), "page_id", "html", str.upper, "append_block")
+
+
+@query()
+def serial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of paragraphs with overlapping context, each mapped as a whole and cut back to its body."""
+    from quire.operators import serial
+
+    return serial.transform(scored(read(spark, sf_dir, "documents")), ["doc_id"], "line", "score", 2600)
