@@ -78,6 +78,13 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, buck
     return df.join(starts, cond).withColumn(name, (F.col("_start") + F.col("_r")).cast("long")).drop(*[f"_{g}" for g in group], "_b", "_bucket", "_start", "_r")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

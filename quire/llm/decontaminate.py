@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD_BYTES, table
+from quire.llm.common import WORD_BYTES, table, unused
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -148,6 +148,7 @@ def leak_table(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataF
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs."""
-    return scan_benchmark(docs, benchmark, window, "_leak").where("_leak.n_hit = 0").drop("_leak")
+    into = unused(docs, "_leak")
+    return scan_benchmark(docs, benchmark, window, into).where(F.col(into)["n_hit"] == 0).drop(into)
 
 

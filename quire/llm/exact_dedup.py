@@ -115,12 +115,13 @@ def _one_kept(groups: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of equal texts the one with the smallest doc_id, with all its columns."""
     found = common.table(exact_dedup(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("kept").alias("_kept")), "dedup-found")
-    rows = docs.withColumns({"_key": F.col("doc_id").cast("long"), "_digest": digest_of(normalised(F.col("text")))})
-    rows = common.marked(rows, found.select(F.col("_sha").alias("_digest")), ["_digest"])
+    # The row as one struct: no name that docs may have is in the way.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key"), digest_of(normalised(F.col("text"))).alias("digest"))
+    rows = common.marked(rows, found.select(F.col("_sha").alias("digest")), ["digest"])
     stay = found.where("_kept").distinct()
-    unsure = rows.where("_maybe").join(found.select(F.col("_sha").alias("_copy")).distinct(), F.col("_digest") == F.col("_copy"), "left")
-    alone = unsure.where("_copy is null").drop("_copy")
-    firsts = unsure.where("_copy is not null").join(stay, (F.col("_digest") == F.col("_sha")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi").drop("_copy")
+    unsure = rows.where("_maybe").join(found.select(F.col("_sha").alias("copy")).distinct(), F.col("digest") == F.col("copy"), "left")
+    alone = unsure.where("copy is null")
+    firsts = unsure.where("copy is not null").join(stay, (F.col("digest") == F.col("_sha")) & F.col("key").eqNullSafe(F.col("_id")), "left_semi")
     # Repeated rows of the one that stays: the first by all columns.
-    one = firsts.withColumn("_n", F.row_number().over(Window.partitionBy("_digest", "_key").orderBy(*[F.xxhash64(F.col(f"`{c}`")) for c in docs.columns]))).where("_n = 1").drop("_n")
-    return rows.where("not _maybe").unionByName(alone).unionByName(one).drop("_key", "_digest", "_maybe")
+    one = firsts.withColumn("n", F.row_number().over(Window.partitionBy("digest", "key").orderBy(*[F.xxhash64(F.col("doc")[c]) for c in docs.columns]))).where("n = 1")
+    return rows.where("not _maybe").select("doc.*").unionByName(alone.select("doc.*")).unionByName(one.select("doc.*"))

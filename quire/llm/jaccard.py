@@ -361,8 +361,9 @@ def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs but those of a group other than its smallest doc_id; rows with one doc_id and text go or stay together."""
     groups = near_groups(docs, width)
     gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "jaccard-gone")
-    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.xxhash64("text")})
+    # The row as one struct: no name that docs may have is in the way.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"))
     rows = marked(rows, gone, ["_id", "_row"])
     gone = gone.select(F.col("_id").alias("g_id"), F.col("_row").alias("g_row"))
     unsure = rows.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_row") == F.col("g_row")), "left_anti")
-    return rows.where("not _maybe").unionByName(unsure).drop("_id", "_row", "_maybe")
+    return rows.where("not _maybe").select("doc.*").unionByName(unsure.select("doc.*"))

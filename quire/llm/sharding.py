@@ -2,7 +2,7 @@
 
 Rows are linked through hubs (here: equal texts). They start in hashed, even shards. In each round a
 join with the shard counts of its hub tells every linked row the shard where most of its neighbours
-are; how many rows may go from one shard to another is a quota worked out from counts by (from, to,
+are (of the shards with room); how many rows may go from one shard to another is a quota worked out from counts by (from, to,
 gain), a table whose size doesn't grow with the data: pairs of shards exchange equal numbers, and what
 room the capacity leaves is added, the largest gains first. Rounds stop when no move gains. At the end
 the law ``rows`` is made exact: each shard keeps its quota of rows, linked ones first, and what is over
@@ -56,13 +56,15 @@ def propagate(state: DataFrame, shards: int, rounds: int, slack: float) -> DataF
     for r in range(rounds):
         linked = state.where("n_hub > 1")
         near = linked.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        # Equal counts go by a hash of hub and shard, so that neighbours agree on where to meet.
+        # A full shard can take nobody, so neighbours meet elsewhere; equal counts go by a hash, so that they agree.
+        full = [s for s in range(shards) if sizes[s] >= capacity]
         goal = near.groupBy("hub").agg(
-            F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to"))).alias("best"),
+            F.max(F.struct((~F.col("shard").isin(full)).alias("open"), "n", F.xxhash64("hub", "shard").alias("tie"), F.col("shard").alias("to"))).alias("best"),
             F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("here"),
         )
         gain = F.col("best.n") - F.coalesce(F.col("here")[F.col("shard")], F.lit(0)) + 1
         level = F.least(F.lit(30), F.floor(F.log2(F.greatest(gain, F.lit(1)))) + 1).cast("int")
+        goal = goal.where(F.size("here") > 1)
         asked = linked.join(goal, "hub").where(F.col("shard") != F.col("best.to"))
         want = {(x["shard"], x["to"], x["level"]): x["n"] for x in asked.select("shard", F.col("best.to").alias("to"), level.alias("level")).groupBy("shard", "to", "level").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not want:
@@ -76,10 +78,7 @@ def propagate(state: DataFrame, shards: int, rounds: int, slack: float) -> DataF
         moved = state.join(goal, "hub", "left").join(F.broadcast(quota), (F.col("shard") == F.col("q_from")) & (to == F.col("q_to")), "left")
         moved = moved.withColumn("shard", F.when((F.col("n_hub") > 1) & goes, to).otherwise(F.col("shard"))).select(*state.columns)
         state = table(moved, f"shards-{r}")
-        new = sizes_of(state)
-        if new == sizes and r > 1:
-            break
-        sizes = new
+        sizes = sizes_of(state)
     return state
 
 
@@ -117,7 +116,7 @@ def even_rows(state: DataFrame, shards: int) -> DataFrame:
     return df.withColumns({"slot": F.when(stays, F.col("rank")).otherwise(slot), "shard": F.when(stays, F.col("shard")).otherwise(shard)}).drop("rank")
 
 
-def assign(docs: DataFrame, shards: int = 8, rounds: int = 5, slack: float = 0.02) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 8, rounds: int = 8, slack: float = 0.02) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import table
+from quire.llm.common import table, unused
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
 AIMED, NEGATED, REPORTED, THREATENED = 1, 2, 4, 8
@@ -331,4 +331,5 @@ def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
     """The rows of docs that score below 0.5."""
     model = fit(docs, labels, ~held_out() if train is None else train)
-    return with_score(docs, model, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    into = unused(docs, "_toxicity")
+    return with_score(docs, model, into).where(F.col(into) < 0.5).drop(into)
