@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import marked, table
 
 CAP = 16
+LEADERS = 4
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
@@ -49,18 +50,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_rng = np.random.default_rng(20240518)
+#: A number for each byte; white space has none.
+BYTE_HASH = _rng.integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BYTE_HASH[SPACE] = 0
+PIECE = 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15
+    up = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, U(base))]))
+    down = np.multiply.accumulate(np.concatenate([[U(1)], np.full(n, U(pow(base, -1, 1 << 64)))]))
+    return up, down
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words between white space, in order: polynomials over bytes, told apart by position."""
+    found, at = [], 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw):
+            # Pieces end at white space; a longer word is a piece of its own length.
+            while end < len(raw) and not SPACE[raw[end]]:
+                end += 1
+        b = np.frombuffer(raw, np.uint8, min(end, len(raw)) - at, at)
+        size = 1 << max(12, len(b).bit_length())
+        up, down = _powers(max(size, PIECE * 2))
+        blank = SPACE[b]
+        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        edge = np.concatenate([[0], edge, [len(b)]]) if not blank[0] else np.concatenate([edge, [len(b)]])
+        starts, stops = edge[: len(edge) // 2 * 2 : 2], edge[1::2]
+        if len(starts):
+            sums = np.concatenate([[U(0)], np.cumsum(BYTE_HASH[b] * up[: len(b)])])
+            found.append(mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U)))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, U)
+
+
 def fingerprints(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct fingerprints of the shingles of a text's bytes."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, U)
-    digest = xxhash.xxh3_64_intdigest
-    w = np.array([digest(x) for x in words], U)
+    w = word_hashes(raw.lower())
+    if not len(w):
+        return w
     n = max(1, len(w) - width + 1)
     h = np.full(n, len(w) if len(w) < width else width, U)
     for k in range(min(width, len(w))):
-        h = mixed(h * U(0x9E3779B97F4A7C15) + w[k : k + n])
-    return np.unique(h)
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + w[k : k + n]
+    return np.unique(mixed(h))
 
 
 def class_of(prints: np.ndarray) -> tuple[int, int]:
@@ -216,20 +254,30 @@ def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _signature_rows(width: int, often):
-    kinds = [("sig", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("band", pa.int32()), ("seg", pa.int32()), ("allow", pa.int32()), ("have", pa.int32()), ("need", pa.int32()), ("own", pa.bool_())]
+    names = ["sig", "c", "n", "band", "seg", "allow", "have", "need", "own"]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for h1, _, prints in _distinct_sets(batches, width):
             own = band_of(len(prints))
             for plan, sigs, segments, have, need in entries(prints):
                 keep = _in_map(often.value, sigs)
-                k = int(keep.sum())
-                if not k and have >= need:
-                    continue
-                same = [h1, len(prints), plan.band, 2 if plan.deletions else 1, have, need, plan.band == own]
-                fixed = {n: pa.array([v] * k, t) for (n, t), v in zip([kinds[i] for i in (1, 2, 3, 5, 6, 7, 8)], same, strict=True)}
-                fixed |= {"sig": pa.array(sigs[keep].view(np.int64)), "seg": pa.array(segments[keep].astype(np.int32))}
-                yield pa.RecordBatch.from_arrays([fixed[n] for n, _ in kinds], [n for n, _ in kinds])
+                sigs = sigs[keep]
+                if len(sigs):
+                    held.append((sigs.view(np.int64), segments[keep], (h1, len(prints), plan.band, 2 if plan.deletions else 1, have, need, plan.band == own)))
+                    total += len(sigs)
+            if total > 100_000:
+                yield joined(held)
+                held, total = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        times = [len(s) for s, _, _ in held]
+        one = [np.repeat(np.array(c, k), times) for c, k in zip(zip(*(f for _, _, f in held), strict=True), (kinds[i] for i in (1, 2, 3, 5, 6, 7, 8)), strict=True)]
+        columns = [np.concatenate([s for s, _, _ in held]), one[0], one[1], one[2], np.concatenate([g for _, g, _ in held]).astype(np.int32), *one[3:]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run
 
@@ -274,12 +322,15 @@ def bit_map(df: DataFrame, column: str, bits: int = MAP_BITS):
     return df.sparkSession.sparkContext.broadcast(out)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Links (a1, a2, b1, b2) between classes among candidate pairs (x, y) of first halves of classes."""
-    both = pairs.select(F.explode(F.array("x", "y")).alias("h1"))
-    wanted = bit_map(both, "h1", 1 << 24)
+def sets_of(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """h1, h2, prints of all classes whose first half is among classes (h1), and of few others."""
+    wanted = bit_map(classes, "h1", 1 << 24)
     sets = texts.mapInArrow(_wanted_sets(width, wanted), "h1 long, h2 long, prints binary")
-    sets = table(sets.groupBy("h1", "h2").agg(F.first("prints").alias("prints")), "jaccard-sets")
+    return table(sets.groupBy("h1", "h2").agg(F.first("prints").alias("prints")), "jaccard-sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a1, a2, b1, b2) between classes among candidate pairs (x, y) of first halves of classes."""
     a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("prints").alias("pa"))
     b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("prints").alias("pb"))
     full = pairs.join(a, F.col("x") == F.col("a1")).join(b, F.col("y") == F.col("b1")).select("a1", "a2", "b1", "b2", "pa", "pb")
@@ -307,8 +358,7 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     counts = texts.mapInArrow(_signature_counts(width), "sig long, n int").groupBy("sig").agg(F.sum("n").alias("n"))
     often = bit_map(counts.where("n > 1"), "sig")
     rows = texts.mapInArrow(_signature_rows(width, often), "sig long, c long, n int, band int, seg int, allow int, have int, need int, own boolean")
-    # A class comes once from each batch that has it: once is enough.
-    rows = table(rows.distinct(), "jaccard-rows")
+    rows = table(rows, "jaccard-rows")
     groups = table(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "jaccard-groups")
     cold = rows.join(groups.where(F.col("g") <= cap).select("sig"), "sig")
     hot = table(rows.join(groups.where(F.col("g") > cap).select("sig", "g"), "sig"), "jaccard-crowded")
@@ -318,26 +368,44 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     near = left.join(right, "sig").where(fits).groupBy("xc", "yc", "xband").agg(F.count_distinct("xseg").alias("shared"), F.first("xhave").alias("have"), F.first("xallow").alias("allow"), F.first("xn").alias("n"), F.first("yn").alias("m"))
     near = near.join(crowded.select(F.col("c").alias("xc"), F.col("band").alias("xband"), "crowded"), ["xc", "xband"], "left")
     near = near.where("allow = 2 or shared >= have - coalesce(crowded, 0) - floor((n + m) / 9)").select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
-    links = verified(table(near, "jaccard-pairs"), texts, width)
+    near = table(near, "jaccard-pairs")
     # Sets that lack allowances outside crowded signatures choose their least frequent crowded segments.
-    lacking = table(crowded.join(rows.groupBy("c", "band").agg(F.first("have").alias("have"), F.first("need").alias("need")), ["c", "band"]).where("have - crowded < need").select("c", "band", F.expr("need - have + crowded").alias("lack")), "jaccard-lacking")
-    if lacking.isEmpty():
-        return links
+    allowances = rows.groupBy("c", "band").agg(F.first("have").alias("have"), F.first("need").alias("need"))
+    lacking = table(crowded.join(allowances, ["c", "band"]).where("have - crowded < need").select("c", "band", F.expr("need - have + crowded").alias("lack")), "jaccard-lacking")
     by_segment = hot.join(lacking, ["c", "band"]).groupBy("c", "band", "seg", "lack").agg(F.sum("g").alias("size"), F.first("allow").alias("allow"))
     before = F.sum("allow").over(Window.partitionBy("c", "band").orderBy("size", "seg").rowsBetween(Window.unboundedPreceding, -1))
     chosen = by_segment.withColumn("before", F.coalesce(before, F.lit(0))).where("before < lack").select("c", "band", "seg")
     asks = table(hot.join(chosen, ["c", "band", "seg"]).select("sig", F.col("c").alias("x"), F.col("n").alias("xn")).distinct(), "jaccard-asks")
     members = hot.where("own").join(asks.select("sig").distinct(), "sig").select("sig", F.col("c").alias("y"), F.col("n").alias("yn")).distinct()
     members = table(members, "jaccard-members")
-    for r in range(3):
-        lead = members.withColumn("o", F.xxhash64("y", F.lit(r))).groupBy("sig").agg(F.min_by(F.struct("y", "yn"), "o").alias("l")).select("sig", "l.*")
-        tries = asks.join(lead, "sig").where("x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
-        links = links.unionByName(verified(table(tries, "jaccard-stars"), texts, width))
+    named = [near.select("x"), near.select("y"), asks.select("x"), members.select("y")]
+    classes = named[0].toDF("h1")
+    for c in named[1:]:
+        classes = classes.union(c.toDF("h1"))
+    sets = sets_of(classes, texts, width)
+    links = verified(near, sets)
+    if asks.isEmpty():
+        return links
+    # Leaders of a crowded signature: members by several orders, each held against all that ask.
+    orders = [F.min_by(F.struct("y", "yn"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
+    lead = members.groupBy("sig").agg(F.array_distinct(F.array(*orders)).alias("l")).select("sig", F.inline("l"))
+    tries = asks.join(lead, "sig").where("x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
+    links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
     labels = components(links).select(F.col("h1").alias("c"), "root")
     of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
     rest = of(asks, "x", "rx").join(of(members, "y", "ry"), "sig").where("x <> y and not (coalesce(rx = ry, false)) and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y").distinct()
     rest = table(rest, "jaccard-rest")
-    return links if rest.isEmpty() else links.unionByName(verified(rest, texts, width))
+    return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
+
+
+def _less(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows (doc_id, row) in gone; the others keep all their columns and stay out of the join."""
+    # The row as one struct: no name that docs may have is in the way.
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"))
+    rows = marked(rows, gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")), ["_id", "_row"])
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("row").alias("g_row"))
+    unsure = rows.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_row") == F.col("g_row")), "left_anti")
+    return rows.where("not _maybe").select("doc.*").unionByName(unsure.select("doc.*"))
 
 
 def near_groups(docs: DataFrame, width: int = 5, cap: int = CAP) -> DataFrame:
@@ -348,8 +416,13 @@ def near_groups(docs: DataFrame, width: int = 5, cap: int = CAP) -> DataFrame:
     text = F.col("text").cast("string").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64("text").alias("row")).mapInArrow(_sizes(width), "doc_id long, row long, h1 long, h2 long, n long")
     rows = table(rows, "jaccard-docs")
-    roots = components(near_links(docs.select(text), width, cap))
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row")).alias("first"), F.max(F.struct("doc_id", "row")).alias("last"))
+    classes = table(classes, "jaccard-sizes")
+    # One text of each class goes on: signatures and sets of the others would be the same.
+    several = classes.where("first <> last").select("h1", "h2", "first")
+    copies = table(rows.join(several, ["h1", "h2"]).where("not (doc_id <=> first.doc_id and row = first.row)").select("doc_id", "row").distinct(), "jaccard-copies")
+    roots = components(near_links(_less(docs.select("doc_id", "text"), copies).select(text), width, cap))
+    classes = classes.select("h1", "h2", "least")
     classes = table(classes.join(roots, ["h1", "h2"], "left").withColumn("root", F.coalesce("root", F.struct("h1", "h2"))), "jaccard-classes")
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     found = classes.join(least, "root").select("h1", "h2", "component_id")
@@ -360,10 +433,5 @@ def near_groups(docs: DataFrame, width: int = 5, cap: int = CAP) -> DataFrame:
 def without_near_copies(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of docs but those of a group other than its smallest doc_id; rows with one doc_id and text go or stay together."""
     groups = near_groups(docs, width)
-    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "jaccard-gone")
-    # The row as one struct: no name that docs may have is in the way.
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"))
-    rows = marked(rows, gone, ["_id", "_row"])
-    gone = gone.select(F.col("_id").alias("g_id"), F.col("_row").alias("g_row"))
-    unsure = rows.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("g_id")) & (F.col("_row") == F.col("g_row")), "left_anti")
-    return rows.where("not _maybe").select("doc.*").unionByName(unsure.select("doc.*"))
+    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row").distinct(), "jaccard-gone")
+    return _less(docs, gone)
