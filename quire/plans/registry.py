@@ -396,3 +396,11 @@ def serial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.operators import serial
 
     return serial.transform(scored(read(spark, sf_dir, "documents")), ["doc_id"], "line", "score", 2600)
+
+
+@query()
+def page_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of the blocks of pages with their ids and scores. No SQL: a tree parser stands before it."""
+    from quire.operators import templates
+
+    return templates.block_scores(read(spark, sf_dir, "pages"), "page_id", "html")
