@@ -66,9 +66,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words between white space, in order: polynomials over bytes, told apart by position."""
-    found, at = [], 0
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between white space, in order, and where they start: polynomials over bytes."""
+    found, places, at = [], [], 0
     while at < len(raw):
         end = at + PIECE
         if end < len(raw):
@@ -85,20 +85,45 @@ def word_hashes(raw: bytes) -> np.ndarray:
         if len(starts):
             sums = np.concatenate([[U(0)], np.cumsum(BYTE_HASH[b] * up[: len(b)])])
             found.append(mixed((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U)))
+            places.append(starts + at)
         at = end
-    return np.concatenate(found) if found else np.zeros(0, U)
+    return (np.concatenate(found), np.concatenate(places)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def _shingles(w: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Mixed hashes of the n runs of ``width`` words that start at the first n words."""
+    h = np.full(n, width, U)
+    for k in range(width):
+        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + w[k : k + n]
+    return mixed(h)
 
 
 def fingerprints(raw: bytes, width: int) -> np.ndarray:
     """Sorted distinct fingerprints of the shingles of a text's bytes."""
-    w = word_hashes(raw.lower())
-    if not len(w):
-        return w
-    n = max(1, len(w) - width + 1)
-    h = np.full(n, len(w) if len(w) < width else width, U)
-    for k in range(min(width, len(w))):
-        h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9) + w[k : k + n]
-    return np.unique(mixed(h))
+    w, _ = word_hashes(raw.lower())
+    return np.unique(_shingles(w, min(width, len(w)), max(1, len(w) - width + 1))) if len(w) else w
+
+
+def all_fingerprints(raws: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """fingerprints() of each text; short texts are hashed together."""
+    i = 0
+    while i < len(raws):
+        end, total = i, 0
+        while end < len(raws) and (end == i or total + len(raws[end]) < PIECE):
+            total += len(raws[end]) + 1
+            end += 1
+        group = raws[i:end]
+        i = end
+        w, places = word_hashes(b"\n".join(group).lower())
+        ends = np.cumsum([len(r) + 1 for r in group])
+        last = np.searchsorted(places, ends)
+        first = np.concatenate([[0], last[:-1]])
+        h = _shingles(w, width, len(w) - width + 1) if len(w) >= width else None
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            if b - a >= width:
+                yield np.unique(h[a : b - width + 1])
+            else:
+                yield np.unique(_shingles(w[a:b], b - a, 1)) if b > a else np.zeros(0, U)
 
 
 def class_of(prints: np.ndarray) -> tuple[int, int]:
@@ -194,8 +219,8 @@ def entries(prints: np.ndarray) -> Iterator[tuple[Plan, np.ndarray, np.ndarray,
 # -- scans over documents --------------------------------------------------------------------------
 
 
-def _raw(column: pa.Array) -> Iterator[bytes]:
-    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+def _raw(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -209,8 +234,7 @@ def _sizes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, raw, row in zip(batch.column(0).to_pylist(), _raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                prints = fingerprints(raw, width)
+            for doc_id, prints, row in zip(batch.column(0).to_pylist(), all_fingerprints(_raw(batch.column(1)), width), batch.column(2).to_pylist(), strict=True):
                 rows.append((doc_id, row, *class_of(prints), len(prints)))
             yield _batch(rows, kinds)
 
@@ -221,8 +245,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tu
     """The non-empty sets of the texts, each class once per batch."""
     for batch in batches:
         seen = set()
-        for raw in _raw(batch.column(0)):
-            prints = fingerprints(raw, width)
+        for prints in all_fingerprints(_raw(batch.column(0)), width):
             key = class_of(prints)
             if len(prints) and key not in seen:
                 seen.add(key)
