@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import marked, table
 
 CAP = 16
-LEADERS = 4
+LEADERS = 48
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
@@ -410,10 +410,12 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     links = verified(near, sets)
     if asks.isEmpty():
         return links
-    # Leaders of a crowded signature: members by several orders, each held against all that ask.
+    # Leaders of a crowded signature: members by several orders. A set is held against those of its largest group only.
     orders = [F.min_by(F.struct("y", "yn"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
-    lead = members.groupBy("sig").agg(F.array_distinct(F.array(*orders)).alias("l")).select("sig", F.inline("l"))
-    tries = asks.join(lead, "sig").where("x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
+    lead = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.array_distinct(F.array(*orders)).alias("l"))
+    largest = asks.join(lead.select("sig", "g"), "sig").groupBy("x", "xn").agg(F.max_by("sig", F.struct("g", "sig")).alias("sig"))
+    lead = lead.select("sig", F.inline("l"))
+    tries = largest.join(lead, "sig").where("x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
     links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
     labels = components(links).select(F.col("h1").alias("c"), "root")
     of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
