@@ -10,8 +10,12 @@ The allocation of a band is chosen by cost: rows to shuffle and candidates to ex
 Signatures that occur once drop out in a count by hash. Signatures of few sets give candidates within
 their group, which must also share as many segments as the bound demands. Signatures of many sets
 (``CAP``) are left aside as long as a set has enough others; the sets that haven't (large groups of near
-copies) choose their least frequent crowded ones and are held first against group leaders, then, as far
-as still in different components, against the rest. Every candidate is verified on the whole sets.
+copies) choose their least frequent crowded ones. For them the universe is parted once more: fingerprints
+that many of these sets have make one segment that is not indexed, each other one is a segment of its own.
+Pairs that share one of the latter are candidates. All other pairs have common fingerprints in common only,
+so few that most can't link by their numbers; those that can are held first against group leaders (those
+with the largest common part, and others by hash), then, as far as still in different components, against
+the rest. Every candidate is verified on the whole sets.
 
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
 without words have an empty set and link with nothing; fewer words than the width make one shingle; a
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import marked, table
 
 CAP = 16
-LEADERS = 48
+#: Leaders of a crowded signature: so many by their common part, and as many by hash.
+LEADERS = 8
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
@@ -323,6 +328,39 @@ def _wanted_sets(width: int, wanted):
     return run
 
 
+def _element_counts(crowd):
+    """Sums per batch of how many of the crowd's sets have a fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside = _in_map(crowd.value, batch.column(0).to_numpy().view(U))
+            held = [np.frombuffer(p, U) for p in batch.column(1).filter(pa.array(inside)).to_pylist()]
+            if held:
+                prints, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], ["e", "n"])
+
+    return run
+
+
+def _parts(crowd, common, several):
+    """Per set of the crowd how many of its fingerprints are common, and those of the others that are not its alone."""
+    kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            inside = _in_map(crowd.value, batch.column(0).to_numpy().view(U))
+            for h1, raw, take in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), inside.tolist(), strict=True):
+                if take:
+                    prints = np.frombuffer(raw, U)
+                    often = _in_map(common.value, prints)
+                    rare = prints[~often]
+                    rows.append((h1, int(often.sum()), rare[_in_map(several.value, rare)].view(np.int64)))
+            yield _batch(rows, kinds)
+
+    return run
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = ([np.frombuffer(x, U) for x in batch.column(i).to_pylist()] for i in (4, 5))
@@ -410,17 +448,34 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     links = verified(near, sets)
     if asks.isEmpty():
         return links
-    # Leaders of a crowded signature: members by several orders. A set is held against those of its largest group only.
-    orders = [F.min_by(F.struct("y", "yn"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
-    lead = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.array_distinct(F.array(*orders)).alias("l"))
-    largest = asks.join(lead.select("sig", "g"), "sig").groupBy("x", "xn").agg(F.max_by("sig", F.struct("g", "sig")).alias("sig"))
-    lead = lead.select("sig", F.inline("l"))
-    tries = largest.join(lead, "sig").where("x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
+    # One universe for all sets in question: their common fingerprints, and the others one by one. The maps
+    # err towards common only, so a fingerprint outside of them is in ``cap`` sets at most.
+    crowd = bit_map(asks.select(F.col("x").alias("h1")).union(members.select("y")), "h1", 1 << 24)
+    elements = sets.select("h1", "prints").mapInArrow(_element_counts(crowd), "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    elements = table(elements.where("n > 1"), "jaccard-elements")
+    common, several = bit_map(elements.where(F.col("n") > cap), "e"), bit_map(elements.where(F.col("n") <= cap), "e")
+    parts = table(sets.select("h1", "prints").mapInArrow(_parts(crowd, common, several), "c long, common int, e array<long>"), "jaccard-parts")
+    parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e")), "jaccard-parts")
+    shares = parts.select("c", "common")
+    asks = asks.join(shares.toDF("x", "xk"), "x")
+    members = members.join(shares.toDF("y", "yk"), "y")
+    # Sets that share none but common fingerprints share the lesser number of those at most.
+    able = "x <> y and 9 * least(xk, yk) >= 4 * (xn + yn)"
+    place = F.pmod(F.xxhash64("y", F.lit(LEADERS)), F.lit(LEADERS))
+    orders = [F.max_by(F.struct("y", "yn", "yk"), F.when(place == r, F.col("yk") / F.col("yn"))) for r in range(LEADERS)]
+    orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
+    lead = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.array_distinct(F.array_compact(F.array(*orders))).alias("l"))
+    largest = asks.where("5 * xk >= 4 * xn").join(lead.select("sig", "g"), "sig").groupBy("x", "xn", "xk").agg(F.max_by("sig", F.struct("g", "sig")).alias("sig"))
+    tries = largest.join(lead.select("sig", F.inline("l")), "sig").where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
     links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
     labels = components(links).select(F.col("h1").alias("c"), "root")
     of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
-    rest = of(asks, "x", "rx").join(of(members, "y", "ry"), "sig").where("x <> y and not (coalesce(rx = ry, false)) and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y").distinct()
-    rest = table(rest, "jaccard-rest")
+    apart = "not (coalesce(rx = ry, false))"
+    rest = of(asks.where("5 * xk >= 4 * xn"), "x", "rx").join(of(members.where("5 * yk >= 4 * yn"), "y", "ry"), "sig")
+    rest = rest.where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y")
+    rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
+    left, right = rare.toDF("x", "rx", "e"), rare.toDF("y", "ry", "e")
+    rest = table(rest.unionByName(left.join(right, "e").where(f"x > y and {apart}").select("x", "y")).distinct(), "jaccard-rest")
     return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
 
 
