@@ -415,7 +415,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
-    """Links between classes that connect all that exact comparison would connect. texts: one column text."""
+    """Edges between classes that connect all that exact comparison would connect, and no others. texts: one column text."""
     spark = texts.sparkSession
     counts = texts.mapInArrow(_signature_counts(width), "sig long, n int").groupBy("sig").agg(F.sum("n").alias("n"))
     often = bit_map(counts.where("n > 1"), "sig")
@@ -468,7 +468,8 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     largest = asks.where("5 * xk >= 4 * xn").join(lead.select("sig", "g"), "sig").groupBy("x", "xn", "xk").agg(F.max_by("sig", F.struct("g", "sig")).alias("sig"))
     tries = largest.join(lead.select("sig", F.inline("l")), "sig").where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
     links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
-    labels = components(links).select(F.col("h1").alias("c"), "root")
+    found = components(links)
+    labels = found.select(F.col("h1").alias("c"), "root")
     of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
     apart = "not (coalesce(rx = ry, false))"
     rest = of(asks.where("5 * xk >= 4 * xn"), "x", "rx").join(of(members.where("5 * yk >= 4 * yn"), "y", "ry"), "sig")
@@ -476,7 +477,9 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
     left, right = rare.toDF("x", "rx", "e"), rare.toDF("y", "ry", "e")
     rest = table(rest.unionByName(left.join(right, "e").where(f"x > y and {apart}").select("x", "y")).distinct(), "jaccard-rest")
-    return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
+    # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
+    stars = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
+    return stars if rest.isEmpty() else stars.unionByName(verified(rest, sets))
 
 
 def _less(docs: DataFrame, gone: DataFrame) -> DataFrame:
