@@ -1,7 +1,8 @@
 """License scans: ordered signature rules over word strings, native throughout.
 
 A document passes a keyword prefilter (plain substring tests) before any rule is tried; each rule
-then has a keyword of its own before its regex runs. A rule's matches are intervals of words. A
+then has a keyword of its own before its regex runs. Both are tested on the same words as the rules
+and are part of all that a rule can match, so they lose nothing. A rule's matches are intervals of words. A
 detection inside the interval of one with equal or better priority is suppressed, so "GNU Lesser
 General Public License" doesn't also report the shorter title inside it. The four base phrases are
 rules too; their places are counted and their labels always stay.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 #: Phrases and labels of the base.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: One of these is in every text that any rule can match.
-ANCHORS = ("licen", "copyright", "cc", "public domain", "permission", "warrant", "spdx", "gpl", "redistribution", "creative", "unlicense", "all rights", "apache.org", "opensource.org", "gnu.org")
+#: One of these is in all words that any rule can match.
+ANCHORS = ("licen", "copyright", "cc", "public domain", "permission", "warrant", "spdx", "gpl", "redistribution", "creative", "all rights", "released under", "distributed under", "available under", "mit no attribution", "zero clause", "openrail")
 
 #: Hand-written signatures: label, priority (lower wins), weight, keyword, regex over words parted by one space.
 SIGNATURES = (
@@ -70,7 +71,7 @@ SIGNATURES = (
     ("0bsd", 20, 0.9, "bsd", "(?:bsd zero clause|zero clause bsd)(?: license)?"),
     ("bsd", 50, 0.6, "bsd", "bsd(?: style)? license"),
     ("bsd-2-clause", 20, 0.9, "bsd", "(?:2|two) clause bsd license"),
-    ("bsd-2-clause", 20, 0.9, "bsd", "(?:simplified|freebsd) (?:bsd )?license"),
+    ("bsd-2-clause", 20, 0.9, "license", "(?:simplified|freebsd) (?:bsd )?license"),
     ("bsd-3-clause", 20, 0.9, "bsd", "(?:3|three) clause bsd license"),
     ("bsd-3-clause", 20, 0.9, "bsd", "(?:new|revised|modified) bsd license"),
     ("bsd-4-clause", 20, 0.9, "bsd", "(?:original|old|4 clause|four clause) bsd license"),
@@ -105,7 +106,7 @@ SIGNATURES = (
     ("cc", 60, 0.5, "creative", "creative commons(?: licen[cs]e)?"),
     ("ccl", 60, 0.5, "creative", "creativecommons org licenses"),
     ("ofl-1.1", 20, 0.95, "sil open", "sil open font license(?: version 1 1)?"),
-    ("odbl-1.0", 30, 0.9, "open database", "open (?:data commons )?database license"),
+    ("odbl-1.0", 30, 0.9, "database license", "open (?:data commons )?database license"),
     ("odc-by-1.0", 30, 0.9, "open data", "open data commons attribution license"),
     ("pddl-1.0", 30, 0.9, "public domain", "public domain dedication and license"),
     ("ncsa", 30, 0.85, "illinois", "university of illinois ncsa open source license"),
@@ -122,7 +123,7 @@ SIGNATURES = (
     ("proprietary", 70, 0.4, "all rights", "all rights reserved"),
     ("copyright-notice", 80, 0.3, "copyright", "copyright(?: c)? (?:19|20)\\d\\d(?: (?:19|20)\\d\\d)?"),
     ("license-reference", 90, 0.2, "licen", "see (?:the )?(?:file )?licen[cs]e(?: file| txt| md)?(?: for (?:more )?details)?"),
-    ("license-reference", 90, 0.2, "licen", "(?:licensed|released|distributed) under the(?: terms of the)?"),
+    ("license-reference", 90, 0.2, "under the", "(?:licensed|released|distributed) under the(?: terms of the)?"),
     ("warranty-disclaimer", 80, 0.3, "warrant", "without warranty of any kind(?: express or implied)?"),
     ("warranty-disclaimer", 80, 0.3, "warrant", "without any warranty(?: without even the implied warranty of merchantability)?"),
 )
@@ -177,16 +178,14 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     found: struct(first, last, label, priority, weight, base, stays), words counted from 0.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(body)
+    words = F.array_join(F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(WORD), 0), " ")
+    df = docs.withColumn("n_words", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumn("_words", words)
     gate = F.lit(False)
     for a in ANCHORS:
-        gate = gate | F.contains(low, F.lit(a))
-    df = docs.withColumn("n_words", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumn("_gate", gate)
-    words = F.array_join(F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(WORD), 0), " ")
-    df = df.withColumn("_words", F.when(F.col("_gate"), words))
+        gate = gate | F.contains(F.col("_words"), F.lit(a))
     table = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
     spans = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: _spans(F.col("_words"), r)))
-    df = df.withColumn("_spans", F.when(F.col("_words").isNotNull(), F.array_sort(spans)))
+    df = df.withColumn("_spans", F.when(gate, F.array_sort(spans)))
     levels = sorted({r["priority"] for r in rules()})
     # For each priority, the furthest last word of the intervals seen so far with it or a better one: starts are in order, so that tells containment.
     begin = F.struct(F.transform(F.array(*[F.lit(p) for p in levels]), lambda p: F.lit(-1)).alias("far"), F.array().cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
@@ -200,7 +199,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(stays, F.greatest(acc["score"], d["weight"])).otherwise(acc["score"]).alias("score"),
         )
 
-    return df.withColumn("_sum", F.aggregate(F.coalesce("_spans", F.array().cast(df.schema["_spans"].dataType)), begin, step)).drop("_gate", "_words")
+    return df.withColumn("_sum", F.aggregate(F.coalesce("_spans", F.array().cast(df.schema["_spans"].dataType)), begin, step)).drop("_words")
 
 
 def license_table(docs: DataFrame) -> DataFrame:

@@ -291,3 +291,50 @@ def test_license_rules_are_behind_the_prefilter():
     assert len(rules) > 200
     for r in rules:
         assert any(a in f"{r['keyword']} {r['regex']}".lower().replace(" org", ".org") for a in licenses.ANCHORS), r
+
+
+def strings_of(parsed):
+    """What a regex can match: each branch, optional parts left out and once; one character where there are many."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "ANY":
+            more = ["x"]
+        elif op == "IN":
+            more = ["1" if str(arg[0][1]) == "CATEGORY_DIGIT" else "x"] if str(arg[0][0]) == "CATEGORY" else [chr(v) for _, v in arg]
+        elif op == "SUBPATTERN":
+            more = strings_of(arg[-1])
+        elif op == "BRANCH":
+            more = [x for branch in arg[1] for x in strings_of(branch)]
+        elif op == "MAX_REPEAT":
+            more = [""] * (arg[0] == 0) + [x * max(1, arg[0]) for x in strings_of(arg[2])]
+        else:
+            assert op == "ASSERT_NOT", op
+            more = [""]
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def test_license_prefilter_and_keywords_are_in_all_that_rules_match():
+    import re
+
+    for r in licenses.rules():
+        found = strings_of(re._parser.parse(r["regex"]))
+        assert found
+        for x in found:
+            assert re.fullmatch(r["regex"], x), (x, r)
+            assert r["keyword"] in x and any(a in x for a in licenses.ANCHORS), (x, r)
+
+
+def test_license_rules_need_no_other_word(spark):
+    texts = {
+        "released under MIT": "mit", "distributed under the terms of the MIT": "mit", "MIT No Attribution": "mit-0", "BSD Zero Clause": "0bsd", "BigScience OpenRAIL-M": "openrail",
+        "released under the sun": "license-reference", "placed in the public\ndomain": "public-domain", "All\nRights Reserved": "proprietary", "simplified license": "bsd-2-clause", "Open Data Commons Database License": "odbl-1.0",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, label string").withColumn("doc_id", F.monotonically_increasing_id())
+    got = licenses.license_table(df).join(df, "doc_id").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.label in r.labels.split(",") and r.score > 0, r
