@@ -70,7 +70,7 @@ def blocks_of(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.nd
     for i, raw in enumerate(texts):
         if len(raw) < size:
             continue
-        for at in range(0, len(raw) - size + 1, CHUNK - size):
+        for at in range(0, len(raw) - size + 1, CHUNK - size + 1):
             part = raw[at : at + CHUNK]
             if total + len(part) > CHUNK and batch:
                 yield from _blocks(batch, offsets, size)
@@ -91,7 +91,7 @@ def _blocks(batch: list[bytes], offsets: list[tuple[int, int]], size: int) -> It
     h = gram_hashes(raw)
     keyed = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
     anchor = (_window_least(keyed, size - GRAM + 1) & PLACE).astype(np.int64)
-    # Windows inside one text only; of a chunk that goes on, its last start belongs to the next chunk's first.
+    # Windows inside one chunk of a text only; the next chunk begins with the start after its last.
     which = np.repeat(np.arange(len(batch)), np.maximum(0, lengths - size + 1))
     first = np.concatenate([[0], np.cumsum(np.maximum(0, lengths - size + 1))[:-1]])
     starts = np.arange(len(which)) - first[which] + begin[which]

@@ -100,6 +100,29 @@ def test_repeats_at_full_size(spark, none):
     assert repeats.repeat_table(none).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 1001, 1801, 1802, 5000])
+def test_blocks_have_each_window_once(monkeypatch, n):
+    import random
+
+    monkeypatch.setattr(repeats, "CHUNK", 1000)
+    text = bytes(random.Random(n).choices(b"abcdefgh ", k=n))
+    starts = [s for _, first, last, _ in repeats.blocks_of([text], 200) for a, b in zip(first.tolist(), last.tolist()) for s in range(a, b + 1)]
+    assert sorted(starts) == list(range(n - 200 + 1))
+
+
+def test_repeats_of_long_texts(spark):
+    import hashlib
+    import random
+
+    at = repeats.CHUNK - 200
+    clean, copied = ("".join(random.Random(i).choices("abcdefgh ", k=2_200_000)) for i in (1, 2))
+    passage = copied[at - 150 : at + 150]
+    df = spark.createDataFrame([(1, clean), (2, copied), (3, "#" + passage + "#")], "doc_id long, text string")
+    kept = (clean, copied[: at - 150] + copied[at + 150 :], "##")
+    want = [(i, len(x), len(x) - len(k), int(i > 1), hashlib.sha256(k.encode()).hexdigest()) for i, x, k in zip((1, 2, 3), (clean, copied, f"#{passage}#"), kept)]
+    assert H.collected(repeats.repeat_table(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_run_length_index():
     import random
 
