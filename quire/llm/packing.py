@@ -5,7 +5,7 @@ go on, never ids. Lengths are whole numbers up to the budget, so their histogram
 most, whatever the size of the corpus) is all that the plan needs: best-fit decreasing places whole
 counts of a length into classes of equally filled bins, then a local search moves documents or
 exchanges one for one, two for one and one for two between classes of underfull bins while the sum
-of squared fills grows, until bins empty. The plan gives, for each length, ranges of ranks with their
+of squared fills grows: until no two classes gain, or no fewer bins could hold the total. The plan gives, for each length, ranges of ranks with their
 sequence and offset; a piece finds its place by its rank among pieces of its length. Ranks come from
 counts by writing task, so no task holds all pieces of a common length.
 
@@ -15,6 +15,7 @@ packed row by row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -109,21 +110,80 @@ def best_fit(counts: dict[int, int], budget: int) -> dict[Bin, int]:
     return full
 
 
-def _swaps(a: Bin, b: Bin, budget: int) -> Iterator[tuple[int, Bin, Bin]]:
-    """What may go from a to b and back, with the gain in squared fill; b gets fuller."""
-    fa, fb = sum(a), sum(b)
-    ones_a, ones_b = sorted(set(a)), sorted(set(b))
-    outs = [(x,) for x in ones_a] + [(a[i], a[j]) for i in range(len(a)) for j in range(i + 1, len(a))]
-    backs: list[Bin] = [(), *((y,) for y in ones_b), *((b[i], b[j]) for i in range(len(b)) for j in range(i + 1, len(b)))]
-    for x in outs:
-        for y in backs:
-            if len(x) + len(y) > 3:
-                continue
-            d = sum(x) - sum(y)
-            if 0 < d <= budget - fb:
-                gain = (fb + d) ** 2 + (fa - d) ** 2 - fa * fa - fb * fb
-                if gain > 0:
-                    yield gain, x, y
+def _sums(content: Bin) -> tuple[list[int], list[int]]:
+    """Sums of one length and of two lengths of a bin, each once, in order."""
+    ones = sorted(set(content))
+    twice = [x for x, y in zip(content, content[1:]) if x == y]
+    return ones, sorted({x + y for i, x in enumerate(ones) for y in ones[:i]} | {2 * x for x in twice})
+
+
+class _Sums:
+    """What may leave a bin, and what may come back from it for one length and for two."""
+
+    def __init__(self, content: Bin) -> None:
+        self.fill = sum(content)
+        self.ones, self.pairs = _sums(content)
+        self.for_two = [0, *self.ones]
+        self.for_one = sorted({*self.for_two, *self.pairs})
+
+
+def _most(a: _Sums, b: _Sums, least: int, room: int) -> tuple[int, int, int, bool]:
+    """The most that b can gain from a, if more than least and at most room, with the sums out and back and whether two go out."""
+    best = least, 0, 0, False
+    for outs, backs, two in ((a.ones, b.for_one, False), (a.pairs, b.for_two, True)):
+        for x in outs:
+            i = bisect_left(backs, x - room)
+            if i < len(backs) and x - backs[i] > best[0]:
+                best = x - backs[i], x, backs[i], two
+                if best[0] == room:
+                    return best
+    return best
+
+
+class _Log:
+    """Classes in the order they came, with all that may come back from each; those that went have no room."""
+
+    def __init__(self, budget: int) -> None:
+        self.budget, self.n = budget, 0
+        self.fill, self.bins = np.zeros(64, np.int64), []
+        self.backs = [[np.zeros(64, np.int64), np.zeros(64, np.int64), [0]] for _ in range(2)]  # for one and for two: sums, numbers, ends
+
+    def add(self, content: Bin, s: _Sums) -> int:
+        if self.n == len(self.fill):
+            self.fill = np.concatenate([self.fill, np.zeros_like(self.fill)])
+        self.fill[self.n] = s.fill
+        self.bins.append(content)
+        for part, more in zip(self.backs, (s.for_one, s.for_two), strict=True):
+            end = part[2][-1] + len(more)
+            while end > len(part[0]):
+                part[:2] = [np.concatenate([x, np.zeros_like(x)]) for x in part[:2]]
+            part[0][end - len(more) : end] = more
+            part[1][end - len(more) : end] = self.n
+            part[2].append(end)
+        self.n += 1
+        return self.n - 1
+
+    def best(self, a: _Sums, since: int, self_at: int) -> tuple[int, tuple[Bin, int, int, bool] | None]:
+        """The best move from a to a class numbered from since on; self_at is a class to leave out."""
+        gain, found = 0, None
+        for (sums, number, ends), outs, two in zip(self.backs, (a.ones, a.pairs), (False, True), strict=True):
+            y, k = sums[ends[since] : ends[-1]], number[ends[since] : ends[-1]]
+            use = np.flatnonzero((self.fill[k] < self.budget) & (k != self_at))
+            y, k = y[use], k[use]
+            fill = self.fill[k]
+            for x in outs:
+                d = x - y
+                at = np.flatnonzero((d > 0) & (d > a.fill - fill) & (d <= self.budget - fill))
+                if len(at):
+                    g = 2 * d[at] * (fill[at] - a.fill + d[at])
+                    i = int(g.argmax())
+                    if g[i] > gain:
+                        gain, found = int(g[i]), (self.bins[k[at[i]]], x, int(y[at[i]]), two)
+        return gain, found
+
+
+def _pair(content: Bin, total: int) -> Bin:
+    return next((x, total - x) for i, x in enumerate(content) if total - x in content[i + 1 :])
 
 
 def _changed(content: Bin, out: Bin, into: Bin) -> Bin:
@@ -133,7 +193,7 @@ def _changed(content: Bin, out: Bin, into: Bin) -> Bin:
     return tuple(sorted(rest + list(into), reverse=True))
 
 
-def plan(counts: dict[int, int], budget: int, max_moves: int = 256) -> dict[Bin, int]:
+def plan(counts: dict[int, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:
     bins: dict[Bin, int] = {}
     for content, n in best_fit(counts, budget).items():
         key = tuple(sorted(content, reverse=True))
@@ -141,52 +201,79 @@ def plan(counts: dict[int, int], budget: int, max_moves: int = 256) -> dict[Bin,
     return improve(bins, budget, max_moves)
 
 
-def improve(bins: dict[Bin, int], budget: int, max_moves: int, partners: int = 24) -> dict[Bin, int]:
+def improve(bins: dict[Bin, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
-    Each move is made for as many bins of both classes as there are. It stops where no fewer bins
-    could hold the total, where nothing gains, or after max_moves; partners (the roomiest classes
-    looked at in each move) bounds the work of a move. Neither bounds the rows planned for.
+    Each move is the best that the emptiest class not yet done has with any other, made for as many
+    bins of both classes as there are. It stops where no fewer bins could hold the total, where no two
+    classes gain, or after max_moves if the caller gives one. Partners are tried by room, until none
+    left could gain more than the best so far; a class that is done looks again only at newer ones.
     """
     bins = dict(bins)
     total = sum(sum(c) * n for c, n in bins.items())
-    count = sum(bins.values())
-    stuck: set[Bin] = set()
+    count, floor = sum(bins.values()), -(-total // budget)
     under = sorted((sum(c), c) for c in bins if sum(c) < budget)
-    for _ in range(max_moves):
-        if count <= -(-total // budget):
-            break
-        a = next((c for _, c in under if c not in stuck), None)
-        if a is None:
-            break
-        best, n_seen = None, 0
-        for _, b in under:
+    sums = {c: _Sums(c) for _, c in under}
+    log = _Log(budget)
+    born = {c: log.add(c, sums[c]) for _, c in under}
+    seen: dict[Bin, int] = {}  # class -> how many classes there were when none of them gained
+    todo = list(under)
+    moves = 0
+    while count > floor and (max_moves is None or moves < max_moves):
+        while todo and (todo[0][1] not in born or seen.get(todo[0][1]) == log.n):
+            heapq.heappop(todo)
+        if not todo:
+            todo = [(fill, c) for fill, c in under if seen.get(c) != log.n]
+            if not todo:
+                break
+        a = todo[0][1]
+        fa, since, gain, best = sum(a), seen.get(a, 0), 0, None
+        if since:
+            gain, best = log.best(sums[a], since, born[a] if bins[a] < 2 else -1)
+        for fb, b in [] if since else under:
+            room = budget - fb
+            if room < fa and 2 * room * (budget - fa) <= gain:
+                break
+            # Of two classes that gain either way the emptier gives; a bin of a class has itself as a partner if there are two.
             if b == a and bins[a] < 2:
                 continue
-            n_seen += 1
-            if n_seen > partners:
-                break
-            for gain, x, y in _swaps(a, b, budget):
-                if best is None or gain > best[0]:
-                    best = gain, b, x, y
+            room = min(room, fa)
+            if 2 * room * (fb - fa + room) <= gain:
+                continue
+            d, x, y, two = _most(sums[a], sums[b], max(0, fa - fb), room)
+            if x and 2 * d * (fb - fa + d) > gain:
+                gain, best = 2 * d * (fb - fa + d), (b, x, y, two)
         if best is None:
-            stuck.add(a)
+            seen[a] = log.n
+            heapq.heappop(todo)
             continue
-        _, b, x, y = best
+        b, x, y, two = best
+        out = _pair(a, x) if two else (x,)
+        back = () if not y else (y,) if y in b else _pair(b, y)
         m = bins[a] // 2 if a == b else min(bins[a], bins[b])
         for c in (a, b):
             bins[c] -= m
             if not bins[c]:
-                del bins[c]
-                under.remove((sum(c), c))
-        for c in (_changed(a, x, y), _changed(b, y, x)):
+                log.fill[born.pop(c)] = budget
+                del bins[c], sums[c]
+                seen.pop(c, None)
+                under.pop(bisect_left(under, (sum(c), c)))
+        moves += 1
+        for c in (_changed(a, out, back), _changed(b, back, out)):
             if not c:
                 count -= m
                 continue
-            if c not in bins and sum(c) < budget:
-                insort(under, (sum(c), c))
+            fill = sum(c)
+            if fill < budget and bins.get(c, 0) < 2:
+                if c not in bins:
+                    insort(under, (fill, c))
+                    sums[c] = _Sums(c)
+                if c in born:
+                    log.fill[born[c]] = budget
+                born[c] = log.add(c, sums[c])
+                seen.pop(c, None)
+                heapq.heappush(todo, (fill, c))
             bins[c] = bins.get(c, 0) + m
-        stuck.clear()
     return bins
 
 

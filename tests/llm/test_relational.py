@@ -226,6 +226,24 @@ def test_local_search_empties_a_bin():
     assert sorted(x for b, n in got.items() for x in b * n) == [2, 3, 4, 5, 6]
 
 
+def test_local_search_leaves_no_gain():
+    import random
+    from collections import Counter
+    from itertools import combinations, product
+
+    rng, budget = random.Random(5), 2048
+    counts = Counter(rng.randint(400, 900) for _ in range(500))
+    got = packing.plan(counts, budget)
+    assert Counter(x for c, n in got.items() for x in c * n) == counts and all(0 < sum(c) <= budget and n > 0 for c, n in got.items())
+    assert sum(got.values()) > -(-sum(counts.elements()) // budget)
+    some = lambda c, sizes: {sum(x) for k in sizes for x in combinations(c, k)}
+    for a, b in product([c for c in got if sum(c) < budget], repeat=2):
+        if a != b or got[a] > 1:
+            least, room = max(0, sum(a) - sum(b)), budget - sum(b)
+            for outs, backs in (((1,), (0, 1, 2)), ((2,), (0, 1))):
+                assert not any(least < x - y <= room for x in some(a, outs) for y in some(b, backs)), (a, b)
+
+
 def test_edits_keep_counts_in_step(spark, docs, rows, none):
     import random
 
