@@ -147,10 +147,11 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
-def learn_lexicon(labelled: DataFrame, size: int, least: int, least_odds: float) -> dict[str, float]:
-    """Log-odds of stems ("low") and whole words ("=low"), the ``size`` strongest.
+def learn_lexicon(labelled: DataFrame, least: int, least_odds: float) -> dict[str, float]:
+    """Log-odds of stems ("low") and whole words ("=low") that reach least_odds and say more than a shorter stem.
 
-    least: rows and, roughly, different texts that a stem must occur in.
+    least: rows and, roughly, different texts that a stem must occur in. The driver holds all such stems:
+    at most one for each word and prefix that is so common in toxic texts.
     """
     words = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInPandas(_count_words, "word string, n1 long, n0 long, texts long")
     words = words.groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.bit_or("texts").alias("texts"))
@@ -163,14 +164,14 @@ def learn_lexicon(labelled: DataFrame, size: int, least: int, least_odds: float)
     by_stem = words.select(F.explode(stems).alias("stem"), "n1", "n0", "texts").groupBy("stem").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.bit_or("texts").alias("texts"))
     odds = F.log((F.col("n1") + 0.5) / F.lit(float(total[0]))) - F.log((F.col("n0") + 0.5) / F.lit(float(total[1] or 0) + 1.0))
     best = by_stem.where((F.col("n1") >= least) & (F.bit_count("texts") >= least)).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    found = {r["stem"]: r["odds"] for r in best.orderBy(F.desc(F.col("odds") * F.log("n1")), "stem").limit(size).collect()}
+    best = table(best.select("stem", "odds"), "toxic-stems")
     # A longer stem or a word says nothing new where a shorter one is as strong.
-    lean = {}
-    for stem, w in found.items():
-        bare = stem.lstrip("=")
-        if all(found.get(bare[:k], -math.inf) < w - 0.7 for k in range(3, len(bare) + stem.startswith("="))):
-            lean[stem] = w
-    return lean
+    bare = F.ltrim(F.col("stem"), F.lit("="))
+    longest = F.length(bare) - F.when(F.startswith("stem", F.lit("=")), 0).otherwise(1)
+    shorter = F.transform(F.filter(F.array(*[F.lit(k) for k in range(3, 9)]), lambda k: k <= longest), lambda k: F.substring(bare, F.lit(1), k))
+    said = best.select("stem", "odds", F.explode(shorter).alias("short")).join(best.select(F.col("stem").alias("short"), F.col("odds").alias("short_odds")), "short")
+    said = said.where(F.col("short_odds") >= F.col("odds") - 0.7).select("stem").distinct()
+    return {r["stem"]: r["odds"] for r in best.join(said, "stem", "left_anti").collect()}
 
 
 # -- scoring ---------------------------------------------------------------------------------------
@@ -281,15 +282,15 @@ def with_marks(texts: DataFrame, marks: DataFrame, map_rows: int = MAP_ROWS) ->
     return placed.where(F.expr(bit.format("known"))).select("doc_id", "text", F.expr(bit.format("bad")).cast("int").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 20_000, size: int = 4000, least: int = 5, least_odds: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = 20_000, least: int = 5, least_odds: float = 3.0) -> Model:
     """Learn from the rows of docs for which ``train`` (of doc_id) holds and labels has a toxic mark.
 
-    fit_rows bounds the sample (by a hash of doc_id) that the weights of the score are fitted on, size
-    the stems kept; the counts behind the stems cover all labelled rows.
+    fit_rows bounds the sample (by a hash of doc_id) that the weights of the score are fitted on;
+    the stems are all that pass least and least_odds, and the counts behind them cover all labelled rows.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    lexicon = tuple(sorted(learn_lexicon(with_marks(texts, marks), size, least, least_odds).items()))
+    lexicon = tuple(sorted(learn_lexicon(with_marks(texts, marks), least, least_odds).items()))
     n = marks.count()
     some = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < (1_000_000 if n <= fit_rows else 1_000_000 * fit_rows // n)
 

@@ -78,6 +78,18 @@ def test_marks_by_bitmap_and_by_join_agree(spark, docs):
     assert both[0] == both[1]
 
 
+def test_lexicon_keeps_every_toxic_word(spark):
+    import itertools
+
+    words = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvw")][:3000]
+    bad = [(f"{' '.join(words)} {chr(97 + i)}{'xyz'[i % 3] * 4}", 1) for i in range(12)]
+    fine = [(f"{' '.join(w[:4] + 'q' for w in words)} plain {i}", 0) for i in range(40)]
+    df = spark.createDataFrame(bad + fine, "text string, toxic int").repartition(2)
+    found = toxicity.learn_lexicon(df, 1, 2.0)
+    assert all("=" + w in found or any(w[:k] in found for k in range(3, 9)) for w in words)
+    assert len(found) >= 3000
+
+
 def test_grammar_marks():
     m = toxicity.Matcher({"moron": 4.0, "=trash": 3.0})
     marks = lambda text: [mark for _, events in m.clauses(text) for _, mark in events]
