@@ -1,88 +1,106 @@
 """A run-length index over a bounded set of byte strings.
 
 The suffixes of the strings are sorted (each string ends in a symbol of its own, so that no match
-crosses strings), the Burrows-Wheeler transform is the symbol before each suffix, and only its runs
-are kept: at both ends of each run a sample of the text position and of the length that its suffix
-shares with the neighbour outside the run. Inside a run the neighbour of the next position is the
-neighbour's next position, so the shared length falls by one a step; streaming through the text from
-sample to sample gives the matching statistic of every position.
+crosses strings) and the Burrows-Wheeler transform is the symbol before each suffix. Only its runs
+are kept: the symbol and first place of each, and at both ends a sample of the text position and of
+the length that its suffix shares with the neighbour outside the run. Inside a run the neighbour of
+the next position is the neighbour's next position, so the shared length falls by one a step; streaming
+through the text from sample to sample gives the matching statistic of every position. The suffix
+order lives only while the index is built.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Symbols that the first sort looks at: nine bits each, so that a string's end sorts before all bytes.
+FIRST = 7
+
 
 class RunLengthIndex:
     def __init__(self, strings: list[bytes]) -> None:
-        self.starts = np.concatenate([[0], np.cumsum([len(s) + 1 for s in strings])])
-        n = int(self.starts[-1])
-        text = np.empty(n, np.int64)
-        flat = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
-        text[:] = flat
-        text += len(strings)
-        text[self.starts[1:] - 1] = np.arange(len(strings))
-        self.n, self._text = n, text
-        order = self._sort(len(strings) + 256)
-        before = np.where(order > 0, text[order - 1], -1)
-        # A string's first position has no symbol before it in its string: each such is a run of its own.
+        lengths = np.array([len(s) for s in strings], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+        self.n = n = int(self.starts[-1])
+        text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
+        text[self.starts[1:] - 1] = 0
+        left = np.repeat(self.starts[1:] - 1, lengths + 1) - np.arange(n)  # symbols up to the end of the string
+        order = _sorted(text, left)
+        before = text[order - 1]  # the first position of all comes after the end of the last string
         head = np.ones(n, bool)
-        head[1:] = (before[1:] != before[:-1]) | (before[1:] < len(strings))
-        tail = np.append(head[1:], True)
-        self.n_runs = int(head.sum())
-        self._order = order
-        self._heads, self._tails = np.flatnonzero(head), np.flatnonzero(tail)
+        # A string's first position has no symbol before it in its string: each such is a run of its own.
+        head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
+        heads, tails = np.flatnonzero(head), np.flatnonzero(np.append(head[1:], True))
+        self.symbols, self.heads = before[heads].astype(np.int16), heads
+        self.samples = [_samples(text, left, order, rows, step) for rows, step in ((heads, -1), (tails, 1))]
 
-    def _sort(self, symbols: int) -> np.ndarray:
-        """Suffix order by doubling; keeps the ranks of prefixes of 4, 8, 16 ... symbols."""
-        n = self.n
-        self._ranks: list[tuple[int, np.ndarray]] = []
-        key, width = self._text.copy(), 1
-        while width < 4 and symbols ** (2 * width) < 1 << 62:
-            key = key * symbols**width + np.concatenate([key[width:], np.zeros(min(width, n), np.int64)])
-            width *= 2
-        while True:
-            order = np.argsort(key, kind="stable")
-            rank = np.empty(n, np.int64)
-            ordered = key[order]
-            rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]) if n else 0
-            self._ranks.append((width, rank))
-            if n < 2 or rank[order[-1]] == n - 1:
-                return order
-            key = rank * (n + 1) + np.concatenate([rank[width:] + 1, np.zeros(min(width, n), np.int64)])
-            width *= 2
+    @property
+    def n_runs(self) -> int:
+        return len(self.heads)
 
-    def _shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes a and b, by the kept ranks, then symbol by symbol."""
-        a, b, length = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        for width, rank in reversed(self._ranks):
-            inside = (a + width <= self.n) & (b + width <= self.n)
-            same = np.zeros(len(a), bool)
-            same[inside] = rank[a[inside]] == rank[b[inside]]
-            step = width * same
-            a, b, length = a + step, b + step, length + step
-        live = np.arange(len(a))
-        for _ in range(self._ranks[0][0]):
-            live = live[(a[live] < self.n) & (b[live] < self.n)]
-            live = live[self._text[a[live]] == self._text[b[live]]]
-            a[live] += 1
-            b[live] += 1
-            length[live] += 1
-        return length
+    @property
+    def kept_bytes(self) -> int:
+        """What the index holds: grows with the runs, not with the text."""
+        return self.symbols.nbytes + self.heads.nbytes + sum(x.nbytes for pair in self.samples for x in pair)
 
     def matching(self) -> np.ndarray:
         """For each position the length of the longest match that starts there and somewhere else."""
         best = np.zeros(self.n, np.int64)
-        for rows, step in ((self._heads, -1), (self._tails, 1)):
-            rows = rows[(rows + step >= 0) & (rows + step < self.n)]
-            at = self._order[rows]
-            length = self._shared(at, self._order[rows + step])
-            by_place = np.argsort(at)
-            at, length = at[by_place], length[by_place]
-            if not len(at):
-                continue
-            place = np.arange(self.n)
-            last = np.searchsorted(at, place, "right") - 1
-            streamed = np.where(last >= 0, length[last] - (place - at[last]), 0)
-            best = np.maximum(best, streamed)
+        place = np.arange(self.n)
+        for at, length in self.samples:
+            if len(at):
+                last = np.searchsorted(at, place, "right") - 1
+                np.maximum(best, np.where(last >= 0, length[last] - (place - at[last]), 0), out=best)
         return best
+
+
+def _sorted(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Suffix order by doubling; only suffixes that still share their rank are sorted again. Equal ones stay in text order."""
+    n = len(text)
+    key = np.zeros(n, np.int64)
+    for k in range(min(FIRST, n)):
+        key[: n - k] |= np.where(left[: n - k] >= k, text[k:], 0) << (9 * (FIRST - 1 - k))
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    width = FIRST
+    rank = np.empty(n, np.int64)
+    while True:
+        # Those that end within the width are the same up to their ends: the order of the text decides.
+        new |= left[order] < width
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        single = new & np.append(new[1:], True)
+        live = np.flatnonzero(~single)
+        if not len(live):
+            return order
+        at = order[live]
+        key = rank[at] * (n + 1) + rank[at + width]
+        by = np.argsort(key, kind="stable")
+        order[live] = at[by]
+        ordered = key[by]
+        new[live[1:]] = ordered[1:] != ordered[:-1]
+        new[live[0]] = True
+        width *= 2
+
+
+def _samples(text: np.ndarray, left: np.ndarray, order: np.ndarray, rows: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the suffixes at rows, in order of the text, and what each shares with the one step away."""
+    rows = rows[(rows + step >= 0) & (rows + step < len(order))]
+    a, b = order[rows], order[rows + step]
+    by_place = np.argsort(a)
+    a, b = a[by_place], b[by_place]
+    most = np.minimum(left[a], left[b])
+    words = np.zeros(len(text), np.uint64)
+    for k in range(min(8, len(text))):
+        words[: len(text) - k] |= (text[k:] & 255).astype(np.uint64) << np.uint64(8 * k)
+    length = np.zeros(len(a), np.int64)
+    live = np.flatnonzero(most > 0)
+    while len(live):
+        x = words[a[live] + length[live]] ^ words[b[live] + length[live]]
+        # Equal bytes before the first other one; a word never says more than what is left of both strings.
+        low = x & (~x + np.uint64(1))
+        equal = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) // 8)
+        length[live] = np.minimum(length[live] + equal, most[live])
+        live = live[(equal == 8) & (length[live] < most[live])]
+    return a, length
