@@ -32,7 +32,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import marked, table
@@ -43,6 +43,8 @@ LEADERS = 8
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
+#: Parts of a sketch, which rules pairs out before their sets are brought together.
+SKETCH = 128
 U = np.uint64
 
 
@@ -167,7 +169,8 @@ def allocate(band: int, lo: int, hi: int, per_segment: float | None = None) -> P
     pairs = worst // 2 + 1
     options = [((pairs + hi) * (1 + 10 * 0.5 ** (lo / pairs)), Plan(band, lo, hi, pairs, True))]
     if lo >= LARGE:
-        u = per_segment or (3.0 if hi < 300 else 3.5 if hi < 1000 else 4.0)
+        # A quarter of hi and one more are needed at most; the rest is room for empty ones.
+        u = per_segment or (3.0 if hi < 300 else 3.5 if hi < 1000 else 3.8)
         m = int(hi / u)
         options.append((m * (1 + 10 * 0.5**u), Plan(band, lo, hi, m, False)))
     return min(options, key=lambda x: x[0])[1]
@@ -282,43 +285,117 @@ def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
-def _signature_rows(width: int, often):
-    names = ["sig", "c", "n", "band", "seg", "allow", "have", "need", "own"]
-    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_]
+#: Crowded signatures by how many sets have them: twice the cap and more, four times, and so on, as far as it matters for a choice.
+LEVELS = 14
+LEVEL_BITS = 1 << 23
+CROWD = "c: long, n: int, own: boolean, asks: array<long>, largest: long, hot: array<long>"
+
+
+def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segments: np.ndarray, lack: int, levels) -> tuple:
+    """What a set asks and offers in a band by its crowded signatures.
+
+    asks: those of its least frequent crowded segments, as many as make up for the allowances that it
+    lacks outside of them; largest: the most frequent of these; hot: all of them, where others may ask.
+    """
+    asks, largest = np.zeros(0, U), None
+    if lack > 0:
+        level = sum(_in_map(m, sigs).astype(np.int64) for m in levels.value)
+        heads, inverse = np.unique(segments, return_inverse=True)
+        size = np.bincount(inverse, 2.0**level, len(heads))
+        allow = 2 if plan.deletions else 1
+        chosen = np.zeros(len(heads), bool)
+        chosen[np.lexsort((heads, size))[: -(-lack // allow)]] = True
+        take = chosen[inverse]
+        asks, level = sigs[take], level[take]
+        largest = int(asks[np.lexsort((asks, -level))[0]].view(np.int64))
+    return h1, n, own, np.unique(asks).view(np.int64), largest, np.unique(sigs).view(np.int64) if own else np.zeros(0, np.int64)
+
+
+def _signature_rows(width: int, often, hot, levels):
+    """Per set and band: a row for each signature that few sets have, and one row for all crowded ones."""
+    names = ["sig", "c", "n", "band", "seg", "allow", "have", "own"]
+    kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_]
+    crowd = [("c", pa.int64()), ("n", pa.int32()), ("own", pa.bool_()), ("asks", pa.list_(pa.int64())), ("largest", pa.int64()), ("hot", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
+        held: list[tuple] = []
+        crowded: list[tuple] = []
+        total = 0
         for h1, _, prints in _distinct_sets(batches, width):
-            own = band_of(len(prints))
+            n, own = len(prints), band_of(len(prints))
             for plan, sigs, segments, have, need in entries(prints):
                 keep = _in_map(often.value, sigs)
-                sigs = sigs[keep]
+                sigs, segments = sigs[keep], segments[keep]
+                full = _in_map(hot.value, sigs)
+                if full.any():
+                    allow = 2 if plan.deletions else 1
+                    gone = allow * len(np.unique(segments[full]))
+                    row = _crowd_row(h1, n, plan, plan.band == own, sigs[full], segments[full], need - have + gone, levels)
+                    if len(row[3]) or len(row[5]):
+                        crowded.append(row)
+                    have -= gone
+                    sigs, segments = sigs[~full], segments[~full]
                 if len(sigs):
-                    held.append((sigs.view(np.int64), segments[keep], (h1, len(prints), plan.band, 2 if plan.deletions else 1, have, need, plan.band == own)))
-                    total += len(sigs)
+                    held.append((sigs.view(np.int64), segments, (h1, n, plan.band, 2 if plan.deletions else 1, have, plan.band == own)))
+                total += len(sigs) + 50 * bool(full.any())
             if total > 100_000:
-                yield joined(held)
-                held, total = [], 0
-        if held:
-            yield joined(held)
+                yield from joined(held, crowded)
+                held, crowded, total = [], [], 0
+        yield from joined(held, crowded)
 
-    def joined(held: list[tuple]) -> pa.RecordBatch:
-        times = [len(s) for s, _, _ in held]
-        one = [np.repeat(np.array(c, k), times) for c, k in zip(zip(*(f for _, _, f in held), strict=True), (kinds[i] for i in (1, 2, 3, 5, 6, 7, 8)), strict=True)]
-        columns = [np.concatenate([s for s, _, _ in held]), one[0], one[1], one[2], np.concatenate([g for _, g, _ in held]).astype(np.int32), *one[3:]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+    def joined(held: list[tuple], crowded: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if held:
+            times = [len(s) for s, _, _ in held]
+            one = [np.repeat(np.array(c, k), times) for c, k in zip(zip(*(f for _, _, f in held), strict=True), (kinds[i] for i in (1, 2, 3, 5, 6, 7)), strict=True)]
+            columns = [np.concatenate([s for s, _, _ in held]), *one[:3], np.concatenate([g for _, g, _ in held]).astype(np.int32), *one[3:]]
+            rows = len(columns[0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.nulls(rows, pa.struct(crowd))], [*names, "crowd"])
+        if crowded:
+            nulls = [pa.nulls(len(crowded), pa.from_numpy_dtype(k)) for k in kinds]
+            parts = [pa.array(list(c), t) for c, (_, t) in zip(zip(*crowded, strict=True), crowd, strict=True)]
+            yield pa.RecordBatch.from_arrays([*nulls, pa.StructArray.from_arrays(parts, [k for k, _ in crowd])], [*names, "crowd"])
 
     return run
 
 
+def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
+    """Sets (y, yn, hot) with those of their crowded signatures that any set asks for."""
+    for batch in batches:
+        rows = []
+        for y, yn, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sigs = np.array(hot, np.int64)
+            sigs = sigs[_in_map(asked.value, sigs.view(U))]
+            if len(sigs):
+                rows.append((y, yn, sigs))
+        yield _batch(rows, [("y", pa.int64()), ("yn", pa.int32()), ("sigs", pa.list_(pa.int64()))])
+
+
+def sketch_of(prints: np.ndarray) -> bytes:
+    """How many fingerprints fall into each of SKETCH parts; empty if a part has more than 16 bits can count."""
+    counts = np.bincount((prints >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else b""
+
+
+def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a1, a2, b1, b2, sa, sb) whose sketches allow a link: sets share no more in a part than the lesser has there."""
+    for batch in batches:
+        a, b = ([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()] for i in (4, 5))
+        known = np.array([len(x) > 0 and len(y) > 0 for x, y in zip(a, b, strict=True)], bool)
+        keep = ~known
+        if known.any():
+            x, y = (np.stack([v for v, k in zip(c, known, strict=True) if k]).astype(np.int64) for c in (a, b))
+            keep[known] = 9 * np.minimum(x, y).sum(axis=1) >= 4 * (x.sum(axis=1) + y.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], ["a1", "a2", "b1", "b2"])
+
+
 def _wanted_sets(width: int, wanted):
-    kinds = [("h1", pa.int64()), ("h2", pa.int64()), ("prints", pa.binary())]
+    kinds = [("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.binary()), ("prints", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for h1, h2, prints in _distinct_sets(batches, width):
             if _in_map(wanted.value, np.array([h1], np.int64).view(U))[0]:
-                rows.append((h1, h2, prints.tobytes()))
+                rows.append((h1, h2, sketch_of(prints), prints.tobytes()))
                 if len(rows) == 256:
                     yield _batch(rows, kinds)
                     rows = []
@@ -384,18 +461,34 @@ def bit_map(df: DataFrame, column: str, bits: int = MAP_BITS):
     return df.sparkSession.sparkContext.broadcast(out)
 
 
+def level_maps(counts: DataFrame, cap: int):
+    """A broadcast map for each level: bits of the signatures that cap, doubled so often, or more sets have."""
+    at = F.pmod("sig", F.lit(LEVEL_BITS)) + 1
+    top = F.least(F.lit(LEVELS), F.floor(F.log2(F.col("n") / F.lit(cap))).cast("int"))
+    rows = counts.where(F.col("n") >= 2 * cap).select(F.explode(F.sequence(F.lit(1), top)).alias("level"), at.alias("at"))
+    found = rows.groupBy("level", F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
+    out = [np.zeros(LEVEL_BITS // 8, np.uint8) for _ in range(LEVELS)]
+    for r in found.toLocalIterator():
+        part = np.frombuffer(bytes(r["m"]), np.uint8)
+        begin = (r["b"] - 1) * 4096
+        own = out[r["level"] - 1]
+        own[begin : begin + len(part)] = part[: len(own) - begin]
+    return counts.sparkSession.sparkContext.broadcast(out)
+
+
 def sets_of(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """h1, h2, prints of all classes whose first half is among classes (h1), and of few others."""
+    """h1, h2, sketch, prints of all classes whose first half is among classes (h1), and of few others."""
     wanted = bit_map(classes, "h1", 1 << 24)
-    sets = texts.mapInArrow(_wanted_sets(width, wanted), "h1 long, h2 long, prints binary")
-    return table(sets.groupBy("h1", "h2").agg(F.first("prints").alias("prints")), "jaccard-sets")
+    sets = texts.mapInArrow(_wanted_sets(width, wanted), "h1 long, h2 long, sketch binary, prints binary")
+    return table(sets.groupBy("h1", "h2").agg(F.first("sketch").alias("sketch"), F.first("prints").alias("prints")), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a1, a2, b1, b2) between classes among candidate pairs (x, y) of first halves of classes."""
-    a = sets.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("prints").alias("pa"))
-    b = sets.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("prints").alias("pb"))
-    full = pairs.join(a, F.col("x") == F.col("a1")).join(b, F.col("y") == F.col("b1")).select("a1", "a2", "b1", "b2", "pa", "pb")
+    a, b = (lambda what, p=p: sets.select(F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2"), F.col(what).alias(f"{what[0]}{p}")) for p in "ab")
+    able = pairs.join(a("sketch"), F.col("x") == F.col("a1")).join(b("sketch"), F.col("y") == F.col("b1")).select("a1", "a2", "b1", "b2", "sa", "sb")
+    able = table(able.mapInArrow(_able, "a1 long, a2 long, b1 long, b2 long"), "jaccard-able")
+    full = able.join(a("prints"), ["a1", "a2"]).join(b("prints"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "pa", "pb")
     return table(full.mapInArrow(_verify, "a1 long, a2 long, b1 long, b2 long"), "jaccard-links")
 
 
@@ -416,30 +509,25 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     """Edges between classes that connect all that exact comparison would connect, and no others. texts: one column text."""
-    spark = texts.sparkSession
     counts = texts.mapInArrow(_signature_counts(width), "sig long, n int").groupBy("sig").agg(F.sum("n").alias("n"))
-    often = bit_map(counts.where("n > 1"), "sig")
-    rows = texts.mapInArrow(_signature_rows(width, often), "sig long, c long, n int, band int, seg int, allow int, have int, need int, own boolean")
+    counts = table(counts.where("n > 1"), "jaccard-signatures")
+    often, hot = bit_map(counts, "sig"), bit_map(counts.where(F.col("n") > cap), "sig")
+    levels = level_maps(counts, cap)
+    rows = texts.mapInArrow(_signature_rows(width, often, hot, levels), f"sig long, c long, n int, band int, seg int, allow int, have int, own boolean, crowd struct<{CROWD}>")
     rows = table(rows, "jaccard-rows")
-    groups = table(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "jaccard-groups")
-    cold = rows.join(groups.where(F.col("g") <= cap).select("sig"), "sig")
-    hot = table(rows.join(groups.where(F.col("g") > cap).select("sig", "g"), "sig"), "jaccard-crowded")
-    crowded = hot.groupBy("c", "band").agg((F.count_distinct("seg") * F.first("allow")).alias("crowded"))
-    left, right = (cold.select("sig", *[F.col(k).alias(f"{p}{k}") for k in ("c", "n", "band", "seg", "allow", "have", "need", "own")]) for p in ("x", "y"))
+    cold = rows.where("crowd is null")
+    left, right = (cold.select("sig", *[F.col(k).alias(f"{p}{k}") for k in ("c", "n", "band", "seg", "allow", "have", "own")]) for p in ("x", "y"))
     fits = "yown and xc <> yc and (xn > yn or (xn = yn and xc > yc)) and yn * 5 >= xn * 4 and xband = yband"
     near = left.join(right, "sig").where(fits).groupBy("xc", "yc", "xband").agg(F.count_distinct("xseg").alias("shared"), F.first("xhave").alias("have"), F.first("xallow").alias("allow"), F.first("xn").alias("n"), F.first("yn").alias("m"))
-    near = near.join(crowded.select(F.col("c").alias("xc"), F.col("band").alias("xband"), "crowded"), ["xc", "xband"], "left")
-    near = near.where("allow = 2 or shared >= have - coalesce(crowded, 0) - floor((n + m) / 9)").select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
+    near = near.where("allow = 2 or shared >= have - floor((n + m) / 9)").select(F.col("xc").alias("x"), F.col("yc").alias("y")).distinct()
     near = table(near, "jaccard-pairs")
-    # Sets that lack allowances outside crowded signatures choose their least frequent crowded segments.
-    allowances = rows.groupBy("c", "band").agg(F.first("have").alias("have"), F.first("need").alias("need"))
-    lacking = table(crowded.join(allowances, ["c", "band"]).where("have - crowded < need").select("c", "band", F.expr("need - have + crowded").alias("lack")), "jaccard-lacking")
-    by_segment = hot.join(lacking, ["c", "band"]).groupBy("c", "band", "seg", "lack").agg(F.sum("g").alias("size"), F.first("allow").alias("allow"))
-    before = F.sum("allow").over(Window.partitionBy("c", "band").orderBy("size", "seg").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = by_segment.withColumn("before", F.coalesce(before, F.lit(0))).where("before < lack").select("c", "band", "seg")
-    asks = table(hot.join(chosen, ["c", "band", "seg"]).select("sig", F.col("c").alias("x"), F.col("n").alias("xn")).distinct(), "jaccard-asks")
-    members = hot.where("own").join(asks.select("sig").distinct(), "sig").select("sig", F.col("c").alias("y"), F.col("n").alias("yn")).distinct()
-    members = table(members, "jaccard-members")
+    # Sets that lack allowances outside crowded signatures ask by their least frequent crowded segments; each set is one row.
+    crowd_rows = rows.where("crowd is not null").select("crowd.*")
+    asks = crowd_rows.where("size(asks) > 0").groupBy(F.col("c").alias("x"), F.col("n").alias("xn")).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("sigs"), F.min("largest").alias("largest"))
+    asks = table(asks, "jaccard-asks")
+    asked = bit_map(asks.select(F.explode("sigs").alias("sig")), "sig")
+    members = crowd_rows.where("own").select(F.col("c").alias("y"), F.col("n").alias("yn"), "hot").mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sigs array<long>")
+    members = table(members.groupBy("y", "yn").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs")), "jaccard-members")
     named = [near.select("x"), near.select("y"), asks.select("x"), members.select("y")]
     classes = named[0].toDF("h1")
     for c in named[1:]:
@@ -457,22 +545,22 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     parts = table(sets.select("h1", "prints").mapInArrow(_parts(crowd, common, several), "c long, common int, e array<long>"), "jaccard-parts")
     parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e")), "jaccard-parts")
     shares = parts.select("c", "common")
-    asks = asks.join(shares.toDF("x", "xk"), "x")
-    members = members.join(shares.toDF("y", "yk"), "y")
+    asks = asks.join(shares.toDF("x", "xk"), "x").where("5 * xk >= 4 * xn")
+    members = members.join(shares.toDF("y", "yk"), "y").where("5 * yk >= 4 * yn")
     # Sets that share none but common fingerprints share the lesser number of those at most.
     able = "x <> y and 9 * least(xk, yk) >= 4 * (xn + yn)"
     place = F.pmod(F.xxhash64("y", F.lit(LEADERS)), F.lit(LEADERS))
     orders = [F.max_by(F.struct("y", "yn", "yk"), F.when(place == r, F.col("yk") / F.col("yn"))) for r in range(LEADERS)]
     orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
-    lead = members.groupBy("sig").agg(F.count(F.lit(1)).alias("g"), F.array_distinct(F.array_compact(F.array(*orders))).alias("l"))
-    largest = asks.where("5 * xk >= 4 * xn").join(lead.select("sig", "g"), "sig").groupBy("x", "xn", "xk").agg(F.max_by("sig", F.struct("g", "sig")).alias("sig"))
-    tries = largest.join(lead.select("sig", F.inline("l")), "sig").where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
+    lead = members.select("y", "yn", "yk", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.array_distinct(F.array_compact(F.array(*orders))).alias("l"))
+    tries = asks.select("x", "xn", "xk", F.col("largest").alias("sig")).join(lead, "sig").select("x", "xn", "xk", F.inline("l"))
+    tries = tries.where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
     links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
     found = components(links)
     labels = found.select(F.col("h1").alias("c"), "root")
     of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
     apart = "not (coalesce(rx = ry, false))"
-    rest = of(asks.where("5 * xk >= 4 * xn"), "x", "rx").join(of(members.where("5 * yk >= 4 * yn"), "y", "ry"), "sig")
+    rest = of(asks, "x", "rx").withColumn("sig", F.explode("sigs")).drop("sigs").join(of(members, "y", "ry").withColumn("sig", F.explode("sigs")).drop("sigs"), "sig")
     rest = rest.where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y")
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
     left, right = rare.toDF("x", "rx", "e"), rare.toDF("y", "ry", "e")
