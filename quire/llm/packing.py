@@ -2,12 +2,14 @@
 
 Documents are tokenised and cut where they are written: only (doc_id, piece, length, checksum) rows
 go on, never ids. Lengths are whole numbers up to the budget, so their histogram (``budget`` rows at
-most, whatever the size of the corpus) is all that the plan needs: best-fit decreasing places whole
-counts of a length into classes of equally filled bins, then a local search moves documents or
-exchanges one for one, two for one and one for two between classes of underfull bins while the sum
-of squared fills grows: until no two classes gain, or no fewer bins could hold the total. The plan gives, for each length, ranges of ranks with their
-sequence and offset; a piece finds its place by its rank among pieces of its length. Ranks come from
-counts by writing task, so no task holds all pieces of a common length.
+most, whatever the size of the corpus) is all that the plan needs. Whole counts of a length, in an
+order that doesn't look at lengths, go by best fit into classes of equally filled bins; then a local
+search moves documents or exchanges one for one, two for one and one for two between classes of
+underfull bins while the sum of squared fills grows: until no two classes gain, or no fewer bins could
+hold the total. The plan gives, for each length, ranges of ranks with their sequence and offset; a
+piece finds its place by its rank among pieces of its length. Ranks come from counts by writing task,
+joined by sort and merge as their number grows with the tasks, so no task holds all pieces of a
+common length and nothing that grows with the corpus is broadcast.
 
 Defined cases: null text is empty and packs as its closing id alone; null or repeated doc_ids are
 packed row by row; an empty table gives no rows; other columns are ignored.
@@ -66,8 +68,13 @@ def cut_pieces(path: str, budget: int, with_ids: bool):
     return run
 
 
-def best_fit(counts: dict[int, int], budget: int) -> dict[Bin, int]:
-    """Best-fit decreasing on whole counts: bins by their lengths, with how many there are of each."""
+def arrival(counts: dict[int, int]) -> list[int]:
+    """Lengths in an order that doesn't depend on their size, as documents come."""
+    return sorted(counts, key=lambda n: (zlib.crc32(str(n).encode()), n))
+
+
+def best_fit(counts: dict[int, int], budget: int, order: list[int] | None = None) -> dict[Bin, int]:
+    """Best fit on whole counts, longest first or in the given order: bins by their lengths, with how many there are of each."""
     open_bins: dict[int, list[list]] = {}  # room -> [[how many, lengths]]
     rooms: list[int] = []
     full: dict[Bin, int] = {}
@@ -81,7 +88,7 @@ def best_fit(counts: dict[int, int], budget: int) -> dict[Bin, int]:
             insort(rooms, room)
         open_bins[room].append([n, content])
 
-    for length in sorted(counts, reverse=True):
+    for length in order if order is not None else sorted(counts, reverse=True):
         left = counts[length]
         while left:
             i = bisect_left(rooms, length)
@@ -127,19 +134,6 @@ class _Sums:
         self.for_one = sorted({*self.for_two, *self.pairs})
 
 
-def _most(a: _Sums, b: _Sums, least: int, room: int) -> tuple[int, int, int, bool]:
-    """The most that b can gain from a, if more than least and at most room, with the sums out and back and whether two go out."""
-    best = least, 0, 0, False
-    for outs, backs, two in ((a.ones, b.for_one, False), (a.pairs, b.for_two, True)):
-        for x in outs:
-            i = bisect_left(backs, x - room)
-            if i < len(backs) and x - backs[i] > best[0]:
-                best = x - backs[i], x, backs[i], two
-                if best[0] == room:
-                    return best
-    return best
-
-
 class _Log:
     """Classes in the order they came, with all that may come back from each; those that went have no room."""
 
@@ -193,9 +187,43 @@ def _changed(content: Bin, out: Bin, into: Bin) -> Bin:
     return tuple(sorted(rest + list(into), reverse=True))
 
 
+class _Fits:
+    """Which exchanges fill a bin to the budget, by the sum that goes in: the most room first."""
+
+    def __init__(self, budget: int) -> None:
+        self.budget = budget
+        self.of: tuple[dict[int, list], dict[int, list]] = ({}, {})  # for one and for two: sum in -> heap of (-room, sum back, number)
+
+    def add(self, s: _Sums, number: int) -> None:
+        room = self.budget - s.fill
+        for found, backs in zip(self.of, (s.for_one, s.for_two), strict=True):
+            for y in backs:
+                if room + y < self.budget:
+                    heapq.heappush(found.setdefault(room + y, []), (-room, y, number))
+
+    def best(self, a: _Sums, log: _Log, without: int) -> tuple[Bin, int, int, bool] | None:
+        """The exchange from a that fills the roomiest bin; ``without`` is a class to leave out."""
+        most, best = 0, None
+        for found, outs, two in zip(self.of, (a.ones, a.pairs), (False, True), strict=True):
+            for x in outs:
+                heap = found.get(x)
+                aside = []
+                while heap and (log.fill[heap[0][2]] >= self.budget or heap[0][2] == without):
+                    top = heapq.heappop(heap)
+                    if top[2] == without:
+                        aside.append(top)
+                if heap and -heap[0][0] > most:
+                    fill = log.fill[heap[0][2]]
+                    if fill - a.fill - heap[0][0] > 0:
+                        most, best = -heap[0][0], (log.bins[heap[0][2]], x, heap[0][1], two)
+                for top in aside:
+                    heapq.heappush(heap, top)
+        return best
+
+
 def plan(counts: dict[int, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:
     bins: dict[Bin, int] = {}
-    for content, n in best_fit(counts, budget).items():
+    for content, n in best_fit(counts, budget, arrival(counts)).items():
         key = tuple(sorted(content, reverse=True))
         bins[key] = bins.get(key, 0) + n
     return improve(bins, budget, max_moves)
@@ -204,45 +232,44 @@ def plan(counts: dict[int, int], budget: int, max_moves: int | None = None) -> d
 def improve(bins: dict[Bin, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
-    Each move is the best that the emptiest class not yet done has with any other, made for as many
-    bins of both classes as there are. It stops where no fewer bins could hold the total, where no two
-    classes gain, or after max_moves if the caller gives one. Partners are tried by room, until none
-    left could gain more than the best so far; a class that is done looks again only at newer ones.
+    The emptiest class not yet done makes the exchange that fills the roomiest bin to the budget, if
+    there is one, else the one of most gain with any class, for as many bins of both classes as there
+    are. It stops where no fewer bins could hold the total, where no two classes gain, or after
+    max_moves if the caller gives one. A class that is done looks again only at newer ones.
     """
     bins = dict(bins)
     total = sum(sum(c) * n for c, n in bins.items())
     count, floor = sum(bins.values()), -(-total // budget)
-    under = sorted((sum(c), c) for c in bins if sum(c) < budget)
-    sums = {c: _Sums(c) for _, c in under}
-    log = _Log(budget)
-    born = {c: log.add(c, sums[c]) for _, c in under}
+    log, fits = _Log(budget), _Fits(budget)
+    sums: dict[Bin, _Sums] = {}
+    born: dict[Bin, int] = {}
     seen: dict[Bin, int] = {}  # class -> how many classes there were when none of them gained
-    todo = list(under)
+    todo: list[tuple[int, Bin]] = []
+
+    def enter(c: Bin) -> None:
+        if c in born:
+            log.fill[born[c]] = budget
+        sums[c] = _Sums(c)
+        born[c] = log.add(c, sums[c])
+        fits.add(sums[c], born[c])
+        seen.pop(c, None)
+        heapq.heappush(todo, (sums[c].fill, c))
+
+    for c in sorted(bins):
+        if sum(c) < budget:
+            enter(c)
     moves = 0
     while count > floor and (max_moves is None or moves < max_moves):
         while todo and (todo[0][1] not in born or seen.get(todo[0][1]) == log.n):
             heapq.heappop(todo)
         if not todo:
-            todo = [(fill, c) for fill, c in under if seen.get(c) != log.n]
+            todo = sorted((sums[c].fill, c) for c in born if seen.get(c) != log.n)
             if not todo:
                 break
         a = todo[0][1]
-        fa, since, gain, best = sum(a), seen.get(a, 0), 0, None
-        if since:
-            gain, best = log.best(sums[a], since, born[a] if bins[a] < 2 else -1)
-        for fb, b in [] if since else under:
-            room = budget - fb
-            if room < fa and 2 * room * (budget - fa) <= gain:
-                break
-            # Of two classes that gain either way the emptier gives; a bin of a class has itself as a partner if there are two.
-            if b == a and bins[a] < 2:
-                continue
-            room = min(room, fa)
-            if 2 * room * (fb - fa + room) <= gain:
-                continue
-            d, x, y, two = _most(sums[a], sums[b], max(0, fa - fb), room)
-            if x and 2 * d * (fb - fa + d) > gain:
-                gain, best = 2 * d * (fb - fa + d), (b, x, y, two)
+        # A bin of a class has itself as a partner if there are two of them.
+        without = born[a] if bins[a] < 2 else -1
+        best = fits.best(sums[a], log, without) or log.best(sums[a], seen.get(a, 0), without)[1]
         if best is None:
             seen[a] = log.n
             heapq.heappop(todo)
@@ -257,23 +284,15 @@ def improve(bins: dict[Bin, int], budget: int, max_moves: int | None = None) ->
                 log.fill[born.pop(c)] = budget
                 del bins[c], sums[c]
                 seen.pop(c, None)
-                under.pop(bisect_left(under, (sum(c), c)))
         moves += 1
         for c in (_changed(a, out, back), _changed(b, back, out)):
             if not c:
                 count -= m
                 continue
-            fill = sum(c)
-            if fill < budget and bins.get(c, 0) < 2:
-                if c not in bins:
-                    insort(under, (fill, c))
-                    sums[c] = _Sums(c)
-                if c in born:
-                    log.fill[born[c]] = budget
-                born[c] = log.add(c, sums[c])
-                seen.pop(c, None)
-                heapq.heappush(todo, (fill, c))
+            again = sum(c) < budget and bins.get(c, 0) < 2
             bins[c] = bins.get(c, 0) + m
+            if again:
+                enter(c)
     return bins
 
 
@@ -301,7 +320,7 @@ def pack(docs: DataFrame, budget: int = 2048, path: str | None = None, with_ids:
     places = spark.sparkContext.broadcast(slots(plan(counts, budget)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(starts, ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
+    ranked = pieces.join(starts.hint("merge"), ["task", "length"]).withColumn("rank", F.col("nth") + F.col("before")).drop("task", "nth", "before")
 
     def place(frames):
         table = places.value
