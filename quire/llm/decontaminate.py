@@ -1,14 +1,16 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 The patterns are all windows of ``window`` consecutive words of the benchmark items (an item of fewer
-words is one window of its own length). For each length there is a shift table over blocks of two
-words: a block that stands nowhere in a pattern lets the search skip the most positions, another one
-as many as keep it in line; where the shift is zero, the bucket of the suffix block holds the few
-windows to compare directly. Alphabet symbols are words, so a match is always one of whole words.
-
-The benchmark is measured first: up to ``block_bytes`` of its text form one set of tables, sent to
-the executors; a larger one is searched in blocks of that size, each pass adding to the rows of the
-one before, so nothing is cut off. Defined cases: null texts and texts without a word have no words
+words is one window of its own length). For each length there is a shift table over hashed blocks of
+two words: a block that stands nowhere in a pattern lets the search skip the most positions, another
+one as many as keep it in line; where the shift is zero, the bucket of the suffix block holds the few
+windows to compare directly with the text. Alphabet symbols are words, so a match is always one of
+whole words.
+
+Tables are flat arrays over the benchmark's text: some eight bytes for each of its bytes. The benchmark
+is measured first: up to ``block_bytes`` of its text form one set of tables, sent to the executors; a
+larger one is searched in blocks of that size, each pass adding to the rows of the one before, so
+nothing is cut off and neither driver nor executors hold more than one block's tables. Defined cases: null texts and texts without a word have no words
 and are not contaminated; null items and items without words have no window; items that share an
 item_id count as one, a null item_id as the empty string; null or repeated doc_ids are scanned row
 by row; empty tables are scanned or leave all clean; a column named like ``into`` is replaced.
@@ -16,8 +18,10 @@ by row; empty tables are scanned or leave all clean; a column named like ``into`
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,60 +35,90 @@ FOUND = T.StructType([
     T.StructField("spans", T.ArrayType(T.LongType())),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
-Table = tuple[int, dict, dict]  # window length, shifts by block, buckets by suffix block
-
-
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
 
-def shift_tables(items: list[tuple[str, bytes]], window: int) -> list[Table]:
+class ShiftTable:
+    """Windows of one length: shifts by block, buckets of distinct windows by suffix block, and the items of each."""
+
+    def __init__(self, size: int, items: list[tuple[str, list[bytes]]]) -> None:
+        self.size, self.block = size, min(2, size)
+        self.names = [name for name, _ in items]
+        self.raw = b"\n".join(b" ".join(words) for _, words in items)
+        lengths = np.array([len(w) for _, words in items for w in words], np.int64)
+        ends = np.cumsum(lengths + 1) - 1
+        starts = ends - lengths
+        n_words = np.array([len(words) for _, words in items], np.int64)
+        item = np.repeat(np.arange(len(items)), n_words)
+        place = np.arange(len(item)) - np.repeat(np.cumsum(n_words) - n_words, n_words)  # of a word in its item
+        left = np.repeat(n_words, n_words) - place
+        hashes = np.array([zlib.crc32(w) for _, words in items for w in words], np.uint32)
+        if self.block == 2:
+            hashes = np.array([zlib.crc32(b, zlib.crc32(a)) if b is not None else 0 for _, words in items for a, b in zip(words, [*words[1:], None], strict=True)], np.uint32)
+        # A block's shift: how far its end is from the end of the nearest window, as each of its words begins one.
+        inside = left >= self.block
+        self.mask = (1 << max(12, (8 * len(hashes)).bit_length())) - 1
+        shift = np.full(self.mask + 1, min(255, size - self.block + 1), np.uint8)
+        np.minimum.at(shift, hashes[inside] & np.uint32(self.mask), np.clip(size - self.block - place[inside], 0, 255).astype(np.uint8))
+        self.shift = shift.tobytes()
+        first = np.flatnonzero(left >= size)
+        suffix, whole = hashes[first + size - self.block], np.zeros(len(first), np.uint64)
+        for k in range(0, max(1, size - self.block + 1)):
+            whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + hashes[first + k]
+        order = np.lexsort((item[first], whole, suffix))
+        first, suffix, whole = first[order], suffix[order], whole[order]
+        new = np.ones(len(first), bool)
+        new[1:] = (suffix[1:] != suffix[:-1]) | (whole[1:] != whole[:-1])
+        for i in np.flatnonzero(~new).tolist():
+            # Windows of one hash are one window if they are the same in words; else each is its own.
+            a, b = first[i - 1], first[i]
+            new[i] = self.raw[starts[a] : ends[a + size - 1]] != self.raw[starts[b] : ends[b + size - 1]]
+        head = np.flatnonzero(new)
+        self.suffix = suffix[head]
+        self.begin, self.end = starts[first[head]], ends[first[head] + size - 1]
+        self.item, self.items_from = item[first].astype(np.int32), np.append(head, len(first))
+
+    def found(self, block: int, pattern: bytes) -> set[str] | None:
+        """Items of the window, if it is one: all windows with its suffix block are compared."""
+        names = None
+        at = int(np.searchsorted(self.suffix, np.uint32(block)))
+        while at < len(self.suffix) and self.suffix[at] == block:
+            if self.raw[self.begin[at] : self.end[at]] == pattern:
+                own = {self.names[i] for i in np.unique(self.item[self.items_from[at] : self.items_from[at + 1]]).tolist()}
+                names = own if names is None else names | own
+            at += 1
+        return names
+
+
+def shift_tables(items: list[tuple[str, bytes]], window: int) -> list[ShiftTable]:
     """One table for each window length that occurs."""
-    by_length: dict[int, dict[tuple, set[str]]] = {}
+    by_length: dict[int, list[tuple[str, list[bytes]]]] = {}
     for item, raw in items:
         words = words_of(raw)
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1 if size else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-    found = []
-    for size, patterns in sorted(by_length.items()):
-        block = min(2, size)
-        shifts: dict[tuple, int] = {}
-        buckets: dict[tuple, dict[tuple, tuple[str, ...]]] = {}
-        for pattern, names in patterns.items():
-            for end in range(block, size + 1):
-                key = pattern[end - block : end]
-                shifts[key] = min(shifts.get(key, size), size - end)
-            buckets.setdefault(pattern[-block:], {})[pattern] = tuple(sorted(names))
-        found.append((size, shifts, buckets))
-    return found
-
-
-def search(words: list[bytes], tables: list[Table]) -> tuple[list[int], set[str]]:
+        if words:
+            by_length.setdefault(min(window, len(words)), []).append((item, words))
+    return [ShiftTable(size, own) for size, own in sorted(by_length.items())]
+
+
+def search(words: list[bytes], tables: list[ShiftTable]) -> tuple[list[int], set[str]]:
     """Starts and ends of the merged hit spans, one after another, and the items found."""
     spans, items = [], set()
-    n = len(words)
-    for size, shifts, buckets in tables:
-        block = min(2, size)
-        most = size - block + 1
-        at, get = size, shifts.get
-        if block == 2:
-            while at <= n:
-                shift = get((words[at - 2], words[at - 1]), most)
-                if shift:
-                    at += shift
-                    continue
-                hit = buckets[words[at - 2], words[at - 1]].get(tuple(words[at - size : at]))
-                if hit:
-                    spans.append((at - size, at))
-                    items.update(hit)
-                at += 1
-        else:
-            for i, w in enumerate(words):
-                hit = buckets.get((w,))
-                if hit:
-                    spans.append((i, i + 1))
-                    items.update(hit[w,])
+    n, crc = len(words), zlib.crc32
+    for t in tables:
+        size, shift, mask = t.size, t.shift, t.mask
+        at = size
+        while at <= n:
+            block = crc(words[at - 1], crc(words[at - 2])) if size > 1 else crc(words[at - 1])
+            skip = shift[block & mask]
+            if skip:
+                at += skip
+                continue
+            hit = t.found(block, b" ".join(words[at - size : at]))
+            if hit is not None:
+                spans.append((at - size, at))
+                items.update(hit)
+            at += 1
     return _merged(spans), items
 
 
@@ -98,7 +132,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, into: str = "leak", block_bytes: int = 32 << 20) -> DataFrame:
+def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, into: str = "leak", block_bytes: int = 8 << 20) -> DataFrame:
     """docs (with a column text) and a struct ``into``: n_words, n_hit, spans (starts and ends, in words), items (item_ids)."""
     spark = docs.sparkSession
     rest = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
