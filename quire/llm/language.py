@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Letters, and few other characters that count as word characters (numbers as ½ or Ⅷ).
 LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1 << 20
 
@@ -49,6 +50,11 @@ def _grams(raw: bytes) -> np.ndarray:
     return ((key * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter of Unicode's (category L)."""
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
+
+
 def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, np.ndarray] = {}
     for f in frames:
@@ -88,7 +94,7 @@ def infer(text: str | None, langs: list[str], table: np.ndarray, penalty: float
     A language more must raise the log-likelihood by ``penalty`` times log of the trigrams: trigrams
     overlap, so the half of the usual criterion would admit too many.
     """
-    if not langs or not text or not LETTER.search(text):
+    if not langs or not text or not has_letter(text):
         return []
     at, counts = gram_counts(text)
     counts = counts.astype(float)
