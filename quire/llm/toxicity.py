@@ -117,6 +117,7 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     A text's bit comes from its smallest word checksum, which near copies share.
     """
     counts: dict[str, list[int]] = {}
+    held = 0  # characters of the words in counts
 
     def out() -> pd.DataFrame:
         frame = pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["word", "n1", "n0", "texts"])
@@ -131,18 +132,18 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bit = min(zlib.crc32(w.encode("utf-8", "replace")) for w in words) % 64
             bit = (1 << bit) - (1 << 64) * (bit == 63)
             for w in words:
-                if len(w) > 40:
-                    continue
                 c = counts.get(w)
                 if c is None:
                     c = counts[w] = [0, 0, 0]
+                    held += len(w)
                 if toxic:
                     c[0] += 1
                     c[2] |= bit
                 else:
                     c[1] += 1
-            if len(counts) > 200_000:
+            if len(counts) > 200_000 or held > 8 << 20:
                 yield out()
+                held = 0
     if counts:
         yield out()
 
