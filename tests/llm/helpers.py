@@ -103,6 +103,23 @@ def repeats(rows, size):
     return sorted(out, key=key)
 
 
+def license_labels(text, rules):
+    """Labels and score by all rules, no keyword or prefilter; then priority and containment."""
+    line = " ".join(words(text))
+    spans = []
+    for r in rules:
+        for m in re.finditer(r["regex"], line):
+            first = line[: m.start()].count(" ")
+            spans.append((first, -(first + m.group().count(" ")), r["priority"], r["order"], r["label"], r["weight"], r["base"]))
+    labels, score, far = {s[4] for s in spans if s[6]}, 0.5 * any(s[6] for s in spans), {}
+    for first, neg_last, priority, _, label, weight, _ in sorted(spans):
+        if max((last for p, last in far.items() if p <= priority), default=-1) < -neg_last:
+            labels.add(label)
+            score = max(score, weight)
+        far[priority] = max(far.get(priority, -1), -neg_last)
+    return ",".join(sorted(labels)), score
+
+
 def leaks(rows, items, window=10):
     found = []
     wins = []

@@ -33,6 +33,12 @@ def test_language_odd_rows(spark):
     assert language.language_table(H.frame(spark, [])).count() == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, t, lang, None, None) for i, (t, lang) in enumerate([("½", "es"), ("²", "es"), ("Ⅷ 12", "de"), ("_ -", "en"), ("ª", "es"), ("words of a language", "en"), ("x½", "en")] * 3)]
+    got = {r.doc_id % 7: r.lang_pred for r in language.language_table(H.frame(spark, rows)).collect()}
+    assert [got[i] for i in range(4)] == ["und"] * 4 and all(got[i] != "und" for i in (4, 5, 6))
+
+
 def test_mixture_finds_the_shares():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.full(200, 0.2), 3) + 1e-9
@@ -57,6 +63,19 @@ def test_toxicity_held_out(spark, docs):
     assert (known.predicted == known.toxic).mean() > 0.9
     test = got[got.held_out]
     assert (test[test.toxic == 0].predicted == 0).mean() > 0.95 and test[test.toxic == 1].score.mean() > test[test.toxic == 0].score.mean() + 0.3
+    # Held out at ten times the rows, where there are enough toxic ones to count.
+    more = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{more}/labels.parquet")
+    got = toxicity.toxicity_table(spark.read.parquet(f"{more}/documents.parquet"), labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    assert (got[got.toxic == 1].predicted == 1).mean() >= 0.9 and (got[got.toxic == 0].predicted == 0).mean() >= 0.98
+
+
+def test_words_of_any_length_teach(spark):
+    word = "q" * 300 + "zzz"
+    bad = [(f"{word} text {'abcdefghijkl'[i] * 4}", 1) for i in range(12)]
+    fine = [(f"{'q' * 300}other text {'mnopqrstuvwx'[i % 12] * 3} {i}", 0) for i in range(40)]
+    found = toxicity.learn_lexicon(spark.createDataFrame(bad + fine, "text string, toxic int"), 3, 2.0)
+    assert f"={word}" in found
 
 
 def test_toxicity_odd_rows(spark):

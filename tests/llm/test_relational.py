@@ -77,7 +77,8 @@ def test_plans_leave_room_for_all_differences():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    for n in (1, 2, 5, 17, 60, 99, 130, 500, 3000):
+    tops = [jaccard.plan_of(b).hi * 5 // 4 for b in range(26)]
+    for n in (1, 2, 5, 17, 60, 99, 130, 500, 3000, *tops):
         prints = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
         for plan, sigs, segments, have, need in jaccard.entries(prints):
             assert have >= need and len(sigs) == len(segments), plan
@@ -123,6 +124,17 @@ def test_repeats_of_long_texts(spark):
     assert H.collected(repeats.repeat_table(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_index_keeps_runs_only():
+    import random
+
+    from quire.llm.run_length_index import RunLengthIndex
+
+    one = bytes(random.Random(4).choices(b"abcdefghijkl ", k=3000))
+    few, many = (RunLengthIndex([one] * n) for n in (2, 40))
+    assert many.n == 20 * few.n and many.n_runs < 1.2 * few.n_runs and many.kept_bytes < 1.2 * few.kept_bytes
+    assert not hasattr(many, "_order") and (many.matching()[: len(one)] == range(len(one), 0, -1)).all()
+
+
 def test_run_length_index():
     import random
 
@@ -153,6 +165,23 @@ def leaky():
     return [(1, "x One-two three, four five six seven eight nine ten eleven y"), (2, "a short ITEM; solo"), (3, "one two three four"), (4, None), (5, ""), (None, "solo solo"), (5, "two three four five six seven eight nine ten eleven twelve")]
 
 
+def test_shift_tables_are_bounded_by_the_text():
+    import pickle
+    import random
+
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"abcdefghij", k=rng.randint(3, 8))) for _ in range(5000)]
+    items = [(str(i), b" ".join(rng.choices(words, k=200))) for i in range(800)]
+    items += [(f"copy{i}", items[0][1]) for i in range(50)]
+    tables = decontaminate.shift_tables(items, 10)
+    assert len(pickle.dumps(tables)) < 10 * sum(len(raw) for _, raw in items) + (1 << 16)
+    text = rng.choices(words, k=3000)
+    text[100:130] = items[7][1].split()[50:80]
+    text[500:509] = items[8][1].split()[:9]
+    text[900:910] = items[0][1].split()[:10]
+    assert decontaminate.search(text, tables) == ([100, 130, 900, 910], {"7", "0", *(f"copy{i}" for i in range(50))})
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 40])
 def test_leaks(spark, block_bytes):
     df = spark.createDataFrame(leaky(), "doc_id long, text string")
@@ -226,6 +255,20 @@ def test_local_search_empties_a_bin():
     assert sorted(x for b, n in got.items() for x in b * n) == [2, 3, 4, 5, 6]
 
 
+def test_local_search_makes_the_plan():
+    import random
+    from collections import Counter
+
+    rng, budget = random.Random(2), 2048
+    counts = Counter(min(budget, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000))
+    plain = packing.best_fit(counts, budget, packing.arrival(counts))
+    got = [packing.plan(counts, budget, moves) for moves in (0, 100, None)]
+    squares = [sum(sum(c) ** 2 * n for c, n in x.items()) for x in got]
+    assert sum(got[0].values()) == sum(plain.values()) and squares[0] < squares[1] < squares[2]
+    least = -(-sum(counts.elements()) // budget)
+    assert least <= sum(got[2].values()) < sum(plain.values()) and sum(got[2].values()) <= least * 1.005
+
+
 def test_local_search_leaves_no_gain():
     import random
     from collections import Counter
@@ -329,7 +372,7 @@ def test_license_base_and_rules(spark, docs, rows, none):
 
 def test_license_rules_are_behind_the_prefilter():
     rules = licenses.rules()
-    assert len(rules) > 200
+    assert len(licenses.SIGNATURES) > 200 and len({r["regex"] for r in rules}) > 400
     for r in rules:
         assert any(a in f"{r['keyword']} {r['regex']}".lower().replace(" org", ".org") for a in licenses.ANCHORS), r
 
@@ -379,3 +422,40 @@ def test_license_rules_need_no_other_word(spark):
     assert len(got) == len(texts)
     for r in got:
         assert r.label in r.labels.split(",") and r.score > 0, r
+
+
+def test_license_labels_by_all_rules(spark, rows):
+    import re
+
+    rules = licenses.rules()
+    texts = [*LICENSED, *(strings_of(re._parser.parse(r["regex"]))[-1] for r in rules), *(r[1] for r in rows)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["; ".join(x or "" for x in texts[k : k + 9]) for k in range(0, 400, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_table(df).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == H.license_labels(text, rules), text
+
+
+def test_license_identifiers_have_one_name(spark):
+    texts = {"SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "SPDX-License-Identifier: LPPL-1.3c": "lppl-1.3c"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.license_table(df).collect()} == dict(enumerate(texts.values()))
+
+
+def test_sketches_rule_out_no_link():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    import pyarrow as pa
+
+    kept = 0
+    for n in (1, 5, 40, 700, 9000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for gone in (0, n // 20, n // 9, n // 8, n // 5, n // 2, n):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, gone, np.uint64)]))
+            row = [pa.array([1])] * 4 + [pa.array([jaccard.sketch_of(x)], pa.binary()) for x in (a, b)]
+            able = next(jaccard._able(iter([pa.RecordBatch.from_arrays(row, ["a1", "a2", "b1", "b2", "sa", "sb"])]))).num_rows
+            assert able or not jaccard.linked(a, b)
+            kept += able and not jaccard.linked(a, b)
+    assert kept < 12
