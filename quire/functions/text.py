@@ -127,11 +127,20 @@ def valid_value(c: Column) -> Column:
     return F.rlike(c, F.lit("^[A-Za-z0-9_:.,/#?&=%; -]*$"))
 
 
+#: What is said of an answer without exactly one block.
+NO_ANSWER = "No complete <xml>...</xml> block found. Please ensure you have properly closed the XML with </xml> tag."
+MANY_ANSWERS = "Found {n} <xml>...</xml> blocks. Please return only one XML block without any examples or explanations."
+
+
+def wrong_answer(n: int) -> str:
+    return MANY_ANSWERS.format(n=n) if n else NO_ANSWER
+
+
 def single_answer(c: Column) -> tuple[Column, Column]:
     """The one <xml> block of an answer, or an error text that says how many there are."""
     found = F.regexp_extract_all(c, F.lit("(?s)<xml>.*?</xml>"), 0)
     n = F.size(found)
-    error = F.when(n == 0, F.lit("No complete <xml>...</xml> block found. Please ensure you have properly closed the XML with </xml> tag.")).when(n > 1, F.concat(F.lit("Found "), n.cast("string"), F.lit(" <xml>...</xml> blocks. Please return only one XML block without any examples or explanations.")))
+    error = F.when(n == 0, F.lit(NO_ANSWER)).when(n > 1, F.replace(F.lit(MANY_ANSWERS), F.lit("{n}"), n.cast("string")))
     return F.when(n == 1, found[0]), error
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.functions.text import fences
+from quire.sources.markup import renamed
 
 
 def prefix_length(a: Column, b: Column) -> Column:
@@ -43,12 +48,27 @@ def renumber(rows: DataFrame, group: list[str], order: list[str], has_id: Column
 
 
 def rename_duplicates(rows: DataFrame, keys: list[str], id_: str, order: list[str]) -> DataFrame:
-    """unique_id: the first of an id keeps it, the second is id__translated, the n-th id__translated_{n-1}.
+    """rows with unique_id: in order, the first of an id keeps it, the n-th is renamed past all names given before (markup.renamed).
 
-    Names that collide with an id already there are counted on, name by name (see markup.unique_ids).
+    Whether a name is free depends on all names before it, so a document (keys) is one group; null ids stay null.
     """
-    n = F.row_number().over(Window.partitionBy(*keys, id_).orderBy(*order))
-    return rows.withColumn("unique_id", F.when(n == 1, F.col(id_)).when(n == 2, F.concat(id_, F.lit("__translated"))).otherwise(F.concat(F.col(id_), F.lit("__translated_"), (n - 1).cast("string"))))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(order)
+        has = f[id_].notna()
+        f["unique_id"] = None
+        f.loc[has, "unique_id"] = list(renamed(f.loc[has, id_]))
+        return f
+
+    return rows.groupBy(*keys).applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("unique_id", T.StringType())]))
+
+
+def duplicate_ids(logs: DataFrame, key: str, text: str, kind: str = "xml") -> DataFrame:
+    """key, id, n: ids that stand more than once below the root of a fenced block of a log; a block logged again counts once."""
+    blocks = logs.select(key, F.explode(F.array_distinct(fences(F.col(text), kind))).alias("block")).withColumn("no", F.xxhash64("block"))
+    inner = F.regexp_replace("block", "^\\s*<[^>]*>", "")
+    ids = blocks.select(key, "no", F.explode(F.regexp_extract_all(inner, F.lit(r'<[^<>]*\sid="([^"]*)"'), 1)).alias("id"))
+    return ids.groupBy(key, "no", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("no")
 
 
 def incision_of(depth: Column, block_depth: Column, common: Column) -> Column:

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import control, groups, islands, selection
-from quire.sources import markup
+from quire.operators import control, groups, islands, reassembly, selection, serial, templates, translate
+from quire.plans import standin
+from quire.sources import markup, package
 
 FLAGSHIP = "budget_groups"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return lines.withColumn("text", X.normalize_text(F.col("raw"))).where("text is not null").drop("raw")
 
 
+def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = paragraphs(read(spark, sf_dir, "documents"))
+    return p.withColumn("text", X.normalize_text(F.translate("text", "<>&", "   "))).where("text is not null").select("doc_id", "line", "text")
+
+
 def scored(docs: DataFrame) -> DataFrame:
     return paragraphs(docs).select("doc_id", "source", "line", X.n_tokens(F.col("text")).alias("score"))
 
@@ -49,6 +55,8 @@ LINES = r"""lines AS (SELECT doc_id, source, i - 1 AS line, regexp_replace(l[i],
     FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
     WHERE trim(regexp_replace(l[i], '\s+', ' ', 'g')) <> '')"""
 TOKENS = "len(regexp_extract_all(text, '<[^>]*>|[A-Za-z]+|[\\s\\S]'))"
+#: Paragraphs without characters of markup, as they go into chapters.
+PLAIN = f"""{LINES}, plain AS (SELECT doc_id, line, regexp_replace(translate(text, '<>&', '   '), '\\s+', ' ', 'g') AS text FROM lines WHERE trim(translate(text, '<>&', '   ')) <> '')"""
 SCORED = f"{LINES}, scored AS (SELECT doc_id, source, line, {TOKENS} AS score FROM lines)"
 
 
@@ -121,57 +129,59 @@ def block_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.runs(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role").groupBy("conv_id", "run_id").agg(F.first("role").alias("role"), F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT doc_id, line, string_split(text, ' ')[1:4] AS a FROM lines),
+COMMON = "CASE WHEN {0} IS NULL THEN 0 ELSE coalesce(nullif(list_position(list_transform(range(1, least(len(a), len({0})) + 1), lambda i: a[i] = {0}[i]), false), 0) - 1, least(len(a), len({0}))) END"
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, line, string_split(text, ' ') AS a FROM lines),
     n AS (SELECT *, lag(a) OVER w AS p, lead(a) OVER w AS q FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line))
-    SELECT doc_id, line,
-        CASE WHEN p IS NULL OR a[1] IS DISTINCT FROM p[1] THEN 0 WHEN a[2] IS NULL OR a[2] IS DISTINCT FROM p[2] THEN 1 WHEN a[3] IS NULL OR a[3] IS DISTINCT FROM p[3] THEN 2 WHEN a[4] IS NULL OR a[4] IS DISTINCT FROM p[4] THEN 3 ELSE 4 END AS left_common,
-        CASE WHEN q IS NULL OR a[1] IS DISTINCT FROM q[1] THEN 0 WHEN a[2] IS NULL OR a[2] IS DISTINCT FROM q[2] THEN 1 WHEN a[3] IS NULL OR a[3] IS DISTINCT FROM q[3] THEN 2 WHEN a[4] IS NULL OR a[4] IS DISTINCT FROM q[4] THEN 3 ELSE 4 END AS right_common
-    FROM n""")
+    SELECT doc_id, line, {COMMON.format("p")} AS left_common, {COMMON.format("q")} AS right_common FROM n""")
 def neighbour_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "line", F.slice(F.split("text", " "), 1, 4).alias("stack"))
+    """Words of a line as its stack."""
+    rows = paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "line", F.split("text", " ").alias("stack"))
     return islands.common_depths(rows, ["doc_id"], ["line"], "stack").select("doc_id", "line", "left_common", "right_common")
 
 
 @query("""SELECT doc_id, tag_name, trim(text) AS text FROM (SELECT doc_id, 'language' AS tag_name, lang AS text FROM documents UNION ALL SELECT doc_id, 'publisher', source FROM documents
     UNION ALL SELECT doc_id, 'title', string_split(text, chr(10))[1] FROM documents) WHERE tag_name NOT IN ('language', 'identifier', 'date', 'meta', 'contributor') AND trim(text) <> ''""")
 def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.sources import package
-
     fields = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*[F.struct(F.lit(t).alias("tag_name"), c.alias("text")) for t, c in (("language", F.col("lang")), ("publisher", F.col("source")), ("title", F.get(F.split("text", "\n"), F.lit(0))))])).alias("f"))
     return package.translatable(fields.select("doc_id", "f.*"))
 
 
-@query("""WITH o AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 0),
-    n AS (SELECT source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 2 = 1)
+@query("""WITH o AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents),
+    n AS (SELECT source, lang, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS k FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
     SELECT o.source, o.lang, o.doc_id, coalesce(cast(n.n_chars AS varchar), 'kept') AS text FROM o LEFT JOIN n USING (source, lang, k)""")
 def kth_field_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.sources import package
-
-    docs = read(spark, sf_dir, "documents").withColumn("book_id", F.col("source"))
-    old = docs.where("doc_id % 2 = 0").select("book_id", F.col("lang").alias("tag_name"), F.col("doc_id").alias("field_no"), F.lit("kept").alias("text"))
-    new = docs.where("doc_id % 2 = 1").select("book_id", F.col("lang").alias("tag_name"), F.col("doc_id").alias("field_no"), F.col("n_chars").cast("string").alias("text"))
-    return package.updated_fields(old, new).select(F.col("book_id").alias("source"), F.col("tag_name").alias("lang"), F.col("field_no").alias("doc_id"), "text")
+    """Documents as fields of a source; those with labels bring new texts."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("lang").alias("tag_name"), F.col("doc_id").alias("field_no"), "n_chars")
+    new = docs.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("field_no")).distinct(), "field_no").select("book_id", "tag_name", "field_no", F.col("n_chars").cast("string").alias("text"))
+    rows = package.updated_fields(docs.select("book_id", "tag_name", "field_no", F.lit("kept").alias("text")), new)
+    return rows.select(F.col("book_id").alias("source"), F.col("tag_name").alias("lang"), F.col("field_no").alias("doc_id"), "text")
 
 
 @query("""WITH m AS (SELECT cast(p_size AS varchar) AS id, arg_max(p_name, p_partkey) AS href, arg_max(p_type, p_partkey) AS media FROM part GROUP BY 1)
     SELECT l_orderkey AS book_id, l_linenumber AS spine_pos, count(*) AS n, 'OPS/' || any_value(href) AS path FROM lineitem JOIN m ON m.id = cast(cast(l_quantity AS int) AS varchar) WHERE media IN ('ECONOMY', 'STANDARD') GROUP BY 1, 2, href""")
 def spine_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.sources import package
-
     manifest = read(spark, sf_dir, "part").select(F.lit("all").alias("shelf"), F.col("p_size").cast("string").alias("id"), F.col("p_name").alias("href"), F.col("p_type").alias("media_type"), F.col("p_partkey").alias("pos"))
     refs = read(spark, sf_dir, "lineitem").select(F.lit("all").alias("shelf"), F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("spine_pos"), F.col("l_quantity").cast("int").cast("string").alias("idref"))
     rows = package.spine(manifest, refs, ["shelf"], F.lit("OPS"), ("ECONOMY", "STANDARD"))
     return rows.groupBy("book_id", "spine_pos", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'new' ELSE cast(n_chars AS varchar) END AS content FROM documents")
 def members_copy_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Members without new content keep what they had; those with labels get one."""
+    docs = read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("entry_no"), F.col("doc_id").cast("string").alias("path"), F.lit(8).alias("compress_type"), F.col("n_chars").cast("string").alias("content"))
+    marked = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("entry_no")).distinct()
+    new = docs.join(marked, "entry_no").select("book_id", "path", F.lit("new").alias("content"))
+    return package.with_replaced(docs, new).select(F.col("entry_no").alias("doc_id"), "content")
 
 
-@query("SELECT doc_id FROM documents WHERE source LIKE 'src1%'")
+@query(f"WITH {PLAIN} SELECT DISTINCT cast(doc_id // 25 AS varchar) AS book_id, 'OPS/c' || cast(doc_id AS varchar) || '.xhtml' AS path FROM plain")
 def list_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where(F.startswith(F.col("source"), F.lit("src1"))).select("doc_id")
+    """Chapters by the start of their names, of archives that were put together and opened again."""
+    archives = package.zipped(standin.bound(plain(spark, sf_dir)))
+    return package.listed(package.unzipped(archives), "OPS/c").where("path <> 'OPS/cover.png'").select("book_id", "path")
 
 
 @query("""SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) AS n FROM events) WHERE n = 1""")
@@ -208,34 +218,52 @@ def priority_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.demoted(rows, ["user_id", "block_id"]).select("user_id", "block_id", "attempt", "shown_level")
 
 
-@query("""WITH e AS (SELECT o_custkey AS answer, o_orderkey AS id, o_orderpriority AS tag FROM orders WHERE o_orderkey % 5 <> 0),
-    f AS (SELECT o_custkey AS answer, o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'other' ELSE o_orderpriority END AS tag FROM orders WHERE o_orderkey % 7 <> 0),
+@query("""WITH e AS (SELECT o_custkey AS answer, o_orderkey AS id, o_orderpriority AS tag FROM orders WHERE o_orderstatus <> 'P'),
+    f AS (SELECT o_custkey AS answer, o_orderkey AS id, CASE WHEN o_totalprice > 250000 THEN 'other' ELSE o_orderpriority END AS tag FROM orders WHERE o_orderpriority <> '5-LOW'),
     j AS (SELECT coalesce(e.answer, f.answer) AS answer, coalesce(e.id, f.id) AS id, e.tag AS et, f.tag AS ft FROM e FULL JOIN f ON e.answer = f.answer AND e.id = f.id)
     SELECT answer, 'block_unexpected_id' AS kind, id AS block_id, cast(1 AS bigint) AS n_ids, cast(27 AS bigint) AS weight FROM j WHERE et IS NULL
     UNION ALL SELECT answer, 'block_wrong_tag', id, 1, 243 FROM j WHERE et <> ft
     UNION ALL SELECT answer, 'block_expected_ids', NULL, count(DISTINCT id), 729 * count(DISTINCT id) FROM j WHERE ft IS NULL GROUP BY 1""")
 def block_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("answer"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("tag"), F.lit(0).alias("position"))
-    found = o.where("id % 7 <> 0").withColumn("tag", F.when(F.col("id") % 11 == 0, "other").otherwise(F.col("tag")))
-    return selection.validate_blocks(o.where("id % 5 <> 0"), found, ["answer"]).select("answer", "kind", "block_id", "n_ids", "weight")
+    """Orders of a customer as blocks: those in progress aren't asked for, those of low priority aren't answered."""
+    o = read(spark, sf_dir, "orders")
+    ids = [F.col("o_custkey").alias("answer"), F.col("o_orderkey").alias("id")]
+    found = o.where("o_orderpriority <> '5-LOW'").select(*ids, F.when(F.col("o_totalprice") > 250000, "other").otherwise(F.col("o_orderpriority")).alias("tag"), F.lit(0).alias("position"))
+    expected = o.where("o_orderstatus <> 'P'").select(*ids, F.col("o_orderpriority").alias("tag"))
+    return selection.validate_blocks(expected, found, ["answer"]).select("answer", "kind", "block_id", "n_ids", "weight")
 
 
-@query("""WITH w AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS expected FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1, 2), h AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS found FROM orders WHERE o_orderkey % 6 <> 0 GROUP BY 1, 2)
+@query("""WITH w AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS expected FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2), h AS (SELECT o_custkey AS parent, o_orderpriority AS tag, count(*) AS found FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2)
     SELECT h.parent, h.tag, coalesce(expected, 0) AS expected, found FROM h LEFT JOIN w ON h.parent = w.parent AND h.tag = w.tag WHERE coalesce(expected, 0) <> found""")
 def tag_count_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderpriority").alias("tag"), "o_orderkey")
-    return selection.validate_tag_counts(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 6 <> 0"), ["parent"])
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("parent"), F.col("o_orderpriority").alias("tag"), "o_orderstatus")
+    return selection.validate_tag_counts(o.where("o_orderstatus <> 'P'"), o.where("o_orderstatus <> 'O'"), ["parent"])
+
+
+COLLIDING = "CASE WHEN length(text) % 3 = 0 THEN role || '__translated' ELSE role END"
 
 
-@query("""SELECT conv_id, turn, CASE WHEN n = 1 THEN role WHEN n = 2 THEN role || '__translated' ELSE role || '__translated_' || cast(n - 1 AS varchar) END AS unique_id
-    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations)""")
+@query(f"""WITH RECURSIVE n AS (SELECT conv_id, turn, {COLLIDING} AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+    f AS (SELECT conv_id, turn, k, id AS unique_id, [id] AS given, [id] AS ids FROM n WHERE k = 1
+        UNION ALL SELECT conv_id, turn, k, unique_id, list_append(given, unique_id), list_append(ids, id) FROM (
+            SELECT n.conv_id, n.turn, n.k, n.id, f.given, f.ids, CASE WHEN NOT list_contains(f.given, n.id) THEN n.id ELSE list_filter(list_transform(
+                range(greatest(1, len(list_filter(f.ids, lambda x: x = n.id))), 60), lambda j: n.id || '__translated' || (CASE WHEN j = 1 THEN '' ELSE '_' || cast(j AS varchar) END)), lambda x: NOT list_contains(f.given, x))[1] END AS unique_id
+            FROM f JOIN n ON n.conv_id = f.conv_id AND n.k = f.k + 1))
+    SELECT conv_id, turn, unique_id FROM f""")
 def dup_id_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.rename_duplicates(read(spark, sf_dir, "conversations"), ["conv_id"], "role", ["turn"]).select("conv_id", "turn", "unique_id")
+    """Turns as elements; some have an id that looks like a renamed one."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(COLLIDING).alias("id"))
+    return islands.rename_duplicates(rows, ["conv_id"], "id", ["turn"]).select("conv_id", "turn", "unique_id")
 
 
 @query("""SELECT conv_id, role AS id, count(*) AS n FROM conversations GROUP BY 1, 2 HAVING count(*) > 1""")
 def dup_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").groupBy("conv_id", F.col("role").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Logs with a fenced block that is logged twice: the turns of a conversation as elements, roles as ids."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    elements = F.array_join(F.transform("t", lambda x: F.concat(F.lit('<p id="'), x["role"], F.lit('">x</p>'))), "")
+    block = F.concat(F.lit('```XML\n<xml id="user">'), elements, F.lit("</xml>\n```"))
+    log = turns.select("conv_id", F.concat(F.lit("asked\n"), block, F.lit("\nagain\n"), block, F.lit("\n```json\n{}\n```")).alias("log"))
+    return islands.duplicate_ids(log, "conv_id", "log")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN d THEN sum(cast(d AS int)) OVER (PARTITION BY conv_id ORDER BY turn) END AS child_id
@@ -282,11 +310,12 @@ def sampling_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", X.sampling_value(0.2, 0.8, F.col("turn")).alias("temperature"))
 
 
-@query("SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(text) AS key FROM documents) WHERE key NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+@query("SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(text) AS key FROM documents) WHERE key NOT IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY 1")
 def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of labelled documents are known already."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    firsts = docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    return control.cache_misses(firsts, docs.where("doc_id % 3 = 0"), "key")
+    known = docs.join(read(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    return control.cache_misses(docs.groupBy("key").agg(F.min("doc_id").alias("doc_id")), known, "key")
 
 
 @query(r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '<br>', '<br/>', 'g'), '<(area|base|br|col|embed|hr|img|input|link|param|source|track|wbr)([^>A-Za-z0-9_:.-][^>]*?)??\s*/>', '<\1\2>', 'g')) AS digest FROM pages""")
@@ -323,10 +352,10 @@ def text_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", X.token_hint(F.col("text")).alias("hint"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 3 ELSE 2 END AS version FROM pages")
+@query(f"WITH {PLAIN} SELECT DISTINCT cast(doc_id // 25 AS varchar) AS book_id, CASE WHEN (doc_id // 25) % 4 < 2 THEN 3 ELSE 2 END AS version FROM plain")
 def toc_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.when(F.col("page_id") % 4 == 0, "3.0").when(F.col("page_id") % 4 == 1, "2.0")
-    return read(spark, sf_dir, "pages").select("page_id", X.toc_version(v).alias("version"))
+    """Versions as the package files of archives state them."""
+    return package.packages(standin.bound(plain(spark, sf_dir))).select("book_id", "version")
 
 
 @query("SELECT page_id, regexp_extract(html, '^((?s:.*?))<[A-Za-z]', 1) AS header FROM pages")
@@ -334,19 +363,22 @@ def page_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", X.header_of(F.col("html")).alias("header"))
 
 
-@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pre FROM events)
-    SELECT user_id, event_id, pre AS play_order FROM n""")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS play_order FROM conversations")
 def play_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("play_order"))
+    """Contents with an entry for each turn, all with one play order, read and written again."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    point = lambda t: F.concat(F.lit('<navPoint id="t'), t.cast("string"), F.lit('" playOrder="7"><navLabel><text>Turn</text></navLabel><content src="c.xhtml#t'), t.cast("string"), F.lit('"/></navPoint>'))
+    ncx = F.concat(F.lit('<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>'), F.array_join(F.transform("turns", point), ""), F.lit("</navMap></ncx>"))
+    rows = package.renumbered(turns.select(F.col("conv_id").cast("string").alias("book_id"), F.lit(2).alias("version"), F.encode(ncx, "utf-8").alias("content")))
+    points = F.regexp_extract_all(F.decode("content", "utf-8"), F.lit("<navPoint [^>]*>"), 0)
+    each = rows.select(F.col("book_id").cast("long").alias("conv_id"), F.explode(points).alias("p"))
+    return each.select("conv_id", F.regexp_extract("p", ' id="t([0-9]+)"', 1).cast("long").alias("turn"), F.regexp_extract("p", 'playOrder="([0-9]+)"', 1).cast("long").alias("play_order"))
 
 
-@query("""WITH a AS (SELECT user_id, event_id AS lo, event_id + 200 AS hi FROM events WHERE event_id % 100 = 0)
-    SELECT a.user_id, a.lo, count(*) AS n FROM a JOIN events e ON e.user_id = a.user_id AND e.event_id BETWEEN a.lo AND a.hi GROUP BY 1, 2""")
+@query("""SELECT a.user_id, a.event_id AS lo, count(*) AS n FROM events a JOIN events e ON e.user_id = a.user_id AND e.event_id BETWEEN a.event_id AND a.event_id + 200 GROUP BY 1, 2""")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.operators import reassembly
-
     e = read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pre"))
-    spans = e.where("pre % 100 = 0").select("user_id", F.col("pre").alias("lo"), (F.col("pre") + 200).alias("hi"))
+    spans = e.select("user_id", F.col("pre").alias("lo"), (F.col("pre") + 200).alias("hi"))
     return reassembly.contained(e, spans, ["user_id"]).groupBy("user_id", "lo").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -385,22 +417,148 @@ def page_strict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model stage over page segments (upper case), put back into the pages in the append_block way."""
-    from quire.operators import reassembly
-
     return reassembly.translate_pages(read(spark, sf_dir, "pages"), "page_id", "html", str.upper, "append_block")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SCORED}, nums AS (SELECT doc_id, line, score, row_number() OVER w AS k, sum(score) OVER w AS upto FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    fold AS (SELECT doc_id, k, score AS s, 0 AS group_no FROM nums WHERE k = 1
+        UNION ALL SELECT n.doc_id, n.k, CASE WHEN f.s + n.score > 465 THEN n.score ELSE f.s + n.score END, CASE WHEN f.s + n.score > 465 THEN f.group_no + 1 ELSE f.group_no END
+        FROM fold f JOIN nums n ON n.doc_id = f.doc_id AND n.k = f.k + 1),
+    g AS (SELECT doc_id, group_no, min(k) AS lo, max(k) AS hi FROM fold GROUP BY 1, 2),
+    c AS (SELECT g.*, a.upto - a.score AS before, b.upto AS upto FROM g JOIN nums a ON a.doc_id = g.doc_id AND a.k = g.lo JOIN nums b ON b.doc_id = g.doc_id AND b.k = g.hi),
+    x AS (SELECT c.doc_id, c.group_no, c.lo, c.hi, cast(count(*) FILTER (n.k < c.lo AND c.before - (n.upto - n.score) <= 18) AS int) AS n_head, cast(count(*) FILTER (n.k > c.hi AND n.upto - c.upto <= 17) AS int) AS n_tail FROM c JOIN nums n ON n.doc_id = c.doc_id GROUP BY ALL)
+    SELECT n.doc_id, n.line, x.group_no, x.n_head, x.n_tail FROM x JOIN nums n ON n.doc_id = x.doc_id AND n.k BETWEEN x.lo AND x.hi""")
 def serial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of paragraphs with overlapping context, each mapped as a whole and cut back to its body."""
-    from quire.operators import serial
-
-    return serial.transform(scored(read(spark, sf_dir, "documents")), ["doc_id"], "line", "score", 2600)
+    """Groups of paragraphs with overlapping context: 500 tokens, of them 18 before and 17 after the body."""
+    return serial.transform(scored(read(spark, sf_dir, "documents")), ["doc_id"], "line", "score", 500)
 
 
 @query()
 def page_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of the blocks of pages with their ids and scores. No SQL: a tree parser stands before it."""
-    from quire.operators import templates
-
     return templates.block_scores(read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+# -- whole books -----------------------------------------------------------------------------------
+
+#: Blocks of the archives that standin.bound makes, with what their templates cost: a title for each book, then the lines of its chapters.
+BLOCKS = f"""{PLAIN}, blocks AS (SELECT doc_id // 25 AS book, doc_id, line, text, '<p id="99" data-orig-len="9999">' || text || '</p>' AS shown FROM plain
+        UNION ALL SELECT DISTINCT doc_id // 25, -1, 0, 'Volume ' || cast(doc_id // 25 AS varchar), '<field id="99" data-orig-len="9999">Volume ' || cast(doc_id // 25 AS varchar) || '</field>' FROM plain),
+    nums AS (SELECT book, doc_id, line, text, 80 + {TOKENS.replace("text", "shown")} AS score, row_number() OVER (PARTITION BY book ORDER BY doc_id, line) AS k FROM blocks),
+    fold AS (SELECT book, k, score AS s, 0 AS group_no FROM nums WHERE k = 1
+        UNION ALL SELECT n.book, n.k, CASE WHEN f.s + n.score > 5580 THEN n.score ELSE f.s + n.score END, CASE WHEN f.s + n.score > 5580 THEN f.group_no + 1 ELSE f.group_no END
+        FROM fold f JOIN nums n ON n.book = f.book AND n.k = f.k + 1),
+    around AS (SELECT book, k, lag(score) OVER w AS s1, lag(score, 2) OVER w AS s2, lead(score) OVER w AS t1, lead(score, 2) OVER w AS t2 FROM nums WINDOW w AS (PARTITION BY book ORDER BY k)),
+    g AS (SELECT book, group_no, min(k) AS lo, max(k) AS hi FROM fold GROUP BY 1, 2),
+    sized AS (SELECT g.book, g.group_no, cast(hi - lo + 1 + CASE WHEN a.s1 <= 210 THEN CASE WHEN a.s1 + a.s2 <= 210 THEN 2 ELSE 1 END ELSE 0 END
+        + CASE WHEN b.t1 <= 210 THEN CASE WHEN b.t1 + b.t2 <= 210 THEN 2 ELSE 1 END ELSE 0 END AS int) AS n_blocks
+        FROM g JOIN around a ON a.book = g.book AND a.k = g.lo JOIN around b ON b.book = g.book AND b.k = g.hi)"""
+UPPERED = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+def translation(spark: SparkSession, sf_dir: str) -> translate.Translation:
+    """Documents bound as books, translated by a model that fails as planned, in groups of 6,000 tokens."""
+    return translate.Translation(standin.bound(plain(spark, sf_dir)), standin.MODEL, translate.Settings(budget=6000))
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, tries AS (SELECT *, unnest(range(0, n_blocks % 3 + 1)) AS attempt FROM sized)
+    SELECT cast(book AS varchar) AS book_id, group_no, n_blocks, cast(attempt AS int) AS attempt, cast(CASE WHEN attempt = n_blocks % 3 THEN 0 WHEN attempt = 0 THEN 729 ELSE 243 END AS bigint) AS weight,
+        cast(CASE WHEN attempt = n_blocks % 3 THEN 0 ELSE 1 END AS int) AS n_errors FROM tries""")
+def book_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attempts that each group of a book took: packing, templates, fill loop, checks."""
+    return translation(spark, sf_dir).attempts().select("book_id", "group_no", "n_blocks", "attempt", "weight", "n_errors")
+
+
+@query(f"""WITH RECURSIVE {BLOCKS} SELECT cast(book AS varchar) AS book_id, group_no, cast(attempt + 1 AS int) AS retried_count, false AS over_maximum_retries, CASE attempt WHEN 0 THEN 'Missing block' ELSE 'Wrong tag' END AS what
+    FROM (SELECT *, unnest(range(0, n_blocks % 3)) AS attempt FROM sized)""")
+def book_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of attempts that failed, by the first words of what was told."""
+    what = F.regexp_extract("error_message", "(Missing block|Wrong tag)", 1)
+    return translation(spark, sf_dir).failures().select("book_id", "group_no", "retried_count", "over_maximum_retries", what.alias("what"))
+
+
+@query(f"""WITH {PLAIN} SELECT cast(doc_id // 25 AS varchar) AS book_id, 'OPS/c' || cast(doc_id AS varchar) || '.xhtml' AS path, 2 * count(*) AS n_paragraphs, md5(string_agg(text || '|' || {UPPERED}, '|' ORDER BY line)) AS digest FROM plain GROUP BY doc_id
+    UNION ALL SELECT DISTINCT cast(doc_id // 25 AS varchar), 'OPS/book.opf', 1, md5('Volume ' || cast(doc_id // 25 AS varchar) || ' VOLUME ' || cast(doc_id // 25 AS varchar)) FROM plain
+    UNION ALL SELECT DISTINCT cast(doc_id // 25 AS varchar), 'OPS/cover.png', 0, md5('picture ' || cast(doc_id // 25 AS varchar)) FROM plain""")
+def book_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the translated books: paragraphs of chapters with their translations, the title, a picture as it was."""
+    rows = translation(spark, sf_dir).result().where("path not in ('mimetype', 'META-INF/container.xml')").withColumn("content", F.decode("content", "utf-8"))
+    title = F.regexp_extract("content", "<dc:title>(.*?)</dc:title>", 1)
+    parts = F.regexp_extract_all("content", F.lit("(?s)<p[^>]*>(.*?)</p>"), 1)
+    said = F.when(F.col("path") == "OPS/book.opf", title).when(F.col("path") == "OPS/cover.png", F.col("content")).otherwise(F.array_join(parts, "|"))
+    n = F.when(F.col("path") == "OPS/book.opf", 1).when(F.col("path") == "OPS/cover.png", 0).otherwise(F.size(parts))
+    return rows.select("book_id", "path", n.cast("long").alias("n_paragraphs"), F.md5(said).alias("digest"))
+
+
+@query(f"""WITH {PLAIN}, t AS (SELECT DISTINCT doc_id // 25 AS book, doc_id FROM plain), u AS (SELECT book, doc_id, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY book) AS n FROM t)
+    SELECT cast(book AS varchar) AS book_id, cast(k + 1 AS int) AS task_no, cast(round(1000 * (0.05 + 0.95 * k / n)) AS bigint) AS permille FROM u UNION ALL SELECT DISTINCT cast(book AS varchar), 1, 50 FROM u""")
+def book_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of work done with each task of a book."""
+    return translation(spark, sf_dir).progress().select("book_id", "task_no", F.round(F.col("progress") * 1000).cast("long").alias("permille"))
+
+
+# -- markup that SQL can read ----------------------------------------------------------------------
+
+
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, html: lines as paragraphs with their first word in bold, a rule after each and the last paragraph left open."""
+    p = plain(spark, sf_dir).withColumn("text", F.trim("text"))
+    first = F.substring_index("text", " ", 1)
+    one = F.concat(F.lit("<p><b>"), first, F.lit("</b>"), F.expr("substring(text, length(substring_index(text, ' ', 1)) + 1)"))
+    lines = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", one.alias("html")))).alias("l"))
+    return lines.select("doc_id", F.concat(F.lit("<body>"), F.array_join(F.transform("l", lambda x: x["html"]), "</p><hr>"), F.lit("</body>")).alias("html"))
+
+
+#: Paragraphs of marked_up: number from 0, how many there are, first word, what follows it.
+MARKED = f"""{PLAIN}, marked AS (SELECT doc_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n, split_part(trim(text), ' ', 1) AS word, substring(trim(text), length(split_part(trim(text), ' ', 1)) + 1) AS rest FROM plain WINDOW w AS (PARTITION BY doc_id ORDER BY line))"""
+#: Their segments. Node numbers in preorder: the root 0, body 1, then paragraph, bold and rule of each.
+PIECES = f"""{MARKED}, pieces AS (SELECT doc_id, i, 0 AS part, word AS text, [1, 3 * i + 2, 3 * i + 3] AS stack FROM marked UNION ALL SELECT doc_id, i, 1, rest, [1, 3 * i + 2] FROM marked WHERE trim(rest) <> ''),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1 AS seg FROM pieces)"""
+
+
+@query(f"""WITH {MARKED} SELECT doc_id, tag, count(*) AS n, sum(chars) AS n_chars FROM (SELECT doc_id, 'b' AS tag, length(word) AS chars FROM marked UNION ALL SELECT doc_id, 'p', length(word) + length(rest) FROM marked WHERE i < n - 1
+    UNION ALL SELECT doc_id, 'body', sum(length(word) + length(rest)) FROM marked GROUP BY 1) GROUP BY 1, 2""")
+def marked_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements that close, by tag: an open paragraph or a void element never does."""
+    rows = markup.elements(marked_up(spark, sf_dir), "doc_id", "html")
+    return rows.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query(f"""WITH {PIECES}, s AS (SELECT *, lag(stack) OVER w AS p, lead(stack) OVER w AS q FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY seg))
+    SELECT doc_id, cast(seg AS int) AS seg_no, md5(text) AS digest, cast(len(stack) AS int) AS depth, cast(2 AS int) AS block_depth, 'p' AS block_tag, CASE part WHEN 0 THEN 'text' ELSE 'tail' END AS position,
+        cast(CASE WHEN p IS NULL THEN 0 WHEN p[2] = stack[2] THEN 2 ELSE 1 END AS int) AS left_common, cast(CASE WHEN q IS NULL THEN 0 WHEN q[2] = stack[2] THEN 2 ELSE 1 END AS int) AS right_common FROM s""")
+def marked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text segments with the ancestors they share with their neighbours."""
+    rows = islands.common_depths(markup.text_segments(marked_up(spark, sf_dir), "doc_id", "html"), ["doc_id"], ["seg_no"], "stack")
+    return rows.select("doc_id", "seg_no", F.md5("text").alias("digest"), F.size("stack").alias("depth"), "block_depth", "block_tag", "position", "left_common", "right_common")
+
+
+@query(f"""WITH {PIECES} SELECT doc_id, cast(i + 1 AS bigint) AS run_id, cast(min(seg) AS int) AS first_seg, count(*) AS n, sum({TOKENS}) AS score FROM numbered GROUP BY 1, 2""")
+def marked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline runs: consecutive segments of one block."""
+    rows = islands.runs(markup.text_segments(marked_up(spark, sf_dir), "doc_id", "html"), ["doc_id"], ["seg_no"], "block_node")
+    return rows.groupBy("doc_id", "run_id").agg(F.min("seg_no").alias("first_seg"), F.count(F.lit(1)).alias("n"), F.sum(X.n_tokens(F.col("text"))).alias("score"))
+
+
+@query(f"""WITH {MARKED} SELECT doc_id, n % 2 = 0 AS well_formed, cast(CASE WHEN n % 2 = 0 THEN 3 * n + 1 END AS int) AS n_nodes FROM marked WHERE i = 0""")
+def marked_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are well-formed: void elements are closed, but a paragraph that stays open isn't; of an even number of paragraphs the last is closed here."""
+    pages = marked_up(spark, sf_dir)
+    even = F.regexp_count("html", F.lit("<p>")) % 2 == 0
+    return markup.strict_parse(pages.withColumn("html", F.when(even, F.replace("html", F.lit("</body>"), F.lit("</p><hr></body>"))).otherwise(F.col("html"))), "doc_id", "html").select("doc_id", "well_formed", "n_nodes")
+
+
+@query(f"""WITH {MARKED} SELECT doc_id, cast(i AS int) AS block_no, 'p' AS tag, 1 AS n_ids, cast(80 + 4 + len(regexp_extract_all(word, '<[^>]*>|[A-Za-z]+|[\\s\\S]')) + len(regexp_extract_all(rest, '<[^>]*>|[A-Za-z]+|[\\s\\S]')) AS bigint) AS score FROM marked""")
+def marked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of blocks with their ids and scores."""
+    return templates.block_scores(marked_up(spark, sf_dir), "doc_id", "html")
+
+
+@query(f"""WITH {MARKED}, b AS (SELECT doc_id, i, word || rest AS text FROM marked) SELECT doc_id, cast(count(*) AS int) AS n_blocks, md5(string_agg(text || '|' || {UPPERED}, '|' ORDER BY i)) AS digest FROM b GROUP BY 1""")
+def marked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their upper case after them: documents parsed, mapped, put together, and read again."""
+    done = reassembly.translate_pages(marked_up(spark, sf_dir), "doc_id", "html", standin.upper, "append_block")
+    again = markup.text_segments(done, "doc_id", "markup").groupBy("doc_id", "block_node").agg(F.array_sort(F.collect_list(F.struct("seg_no", "text"))).alias("s"))
+    texts = again.select("doc_id", F.array_min(F.transform("s", lambda x: x["seg_no"])).alias("at"), F.trim(F.array_join(F.transform("s", lambda x: x["text"]), "")).alias("text"))
+    texts = texts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "|").alias("t"))
+    return done.join(texts, "doc_id").select("doc_id", "n_blocks", F.md5("t").alias("digest"))

@@ -8,9 +8,11 @@ tables keyed by (document, node number in preorder).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.entities import html5
+from itertools import count
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -336,22 +338,23 @@ def write(doc: Document, html: bool = False) -> bytes:
     return (doc.header + show(doc.root, True)).encode(doc.encoding if doc.encoding != "utf-8-sig" else "utf-8", "xmlcharrefreplace")
 
 
+def renamed(ids: Iterable[str]) -> Iterator[str]:
+    """Ids in order, each once: the second of an id becomes id__translated, the n-th id__translated_{n-1}, counted on past names given before."""
+    given: set[str] = set()
+    times: Counter[str] = Counter()
+    for own in ids:
+        times[own] = times[own] + 1 if own in given and times[own] else 1 + (own in given)
+        names = (own if n == 0 else f"{own}__translated" + f"_{n}" * (n > 1) for n in count(times[own] - 1))
+        name = next(n for n in names if n not in given)
+        given.add(name)
+        yield name
+
+
 def unique_ids(root: Node) -> None:
-    """Each id once: the second becomes id__translated, the n-th id__translated_{n-1}, counted on while taken."""
-    seen: dict[str, int] = {}
-    taken = {n.attrs["id"] for _, n in root.walk() if "id" in n.attrs}
-    for _, node in root.walk():
-        if (own := node.attrs.get("id")) is None:
-            continue
-        seen[own] = seen.get(own, 0) + 1
-        k = seen[own]
-        if k > 1:
-            name = f"{own}__translated" if k == 2 else f"{own}__translated_{k - 1}"
-            while name in taken:
-                k += 1
-                name = f"{own}__translated_{k - 1}"
-            node.attrs["id"] = name
-            taken.add(name)
+    """Each id of a tree once, in document order (see renamed)."""
+    owners = [n for _, n in root.walk() if "id" in n.attrs]
+    for node, name in zip(owners, renamed([n.attrs["id"] for n in owners]), strict=True):
+        node.attrs["id"] = name
 
 
 # -- segments --------------------------------------------------------------------------------------

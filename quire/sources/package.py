@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -60,6 +62,32 @@ def zipped(all_members: DataFrame) -> DataFrame:
     return all_members.groupBy("book_id").applyInPandas(run, "book_id string, content binary")
 
 
+def saved(archives: DataFrame, folder: str) -> DataFrame:
+    """book_id, target: archives (book_id, content) as files of a folder that all executors have mounted.
+
+    A file appears under its name only once it is whole: it is written beside it and renamed.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            targets = []
+            for book, raw in zip(f["book_id"], f["content"], strict=True):
+                target = os.path.join(folder, posixpath.basename(book.rstrip("/")).removesuffix(".epub") + ".epub")
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as out:
+                    out.write(raw)
+                os.replace(part, target)
+                targets.append(target)
+            yield pd.DataFrame({"book_id": f["book_id"], "target": targets})
+
+    return archives.mapInPandas(run, "book_id string, target string")
+
+
+def listed(all_members: DataFrame, prefix: str) -> DataFrame:
+    """Members whose path begins with prefix, in the order of their archive."""
+    return all_members.where(F.startswith(F.col("path"), F.lit(prefix)))
+
+
 def opf_path(container: bytes) -> str:
     """Where the package file is; ValueError if the container doesn't say."""
     node = parse_strict(container).root.find("rootfile")
@@ -101,15 +129,20 @@ def spine(manifest: DataFrame, refs: DataFrame, keys: list[str], opf_dir: Column
     """refs (keys, idref, ...) with the path of the chapter, of the last manifest item (by pos) of that id; others are left out."""
     items = manifest.groupBy(*keys, "id").agg(F.max_by(F.struct("href", "media_type"), "pos").alias("item"))
     rows = refs.where(F.coalesce(F.col("idref"), F.lit("")) != "").join(items.withColumnRenamed("id", "idref"), [*keys, "idref"])
-    return rows.where(F.col("item.media_type").isin(*media_types)).withColumn("path", F.concat_ws("/", F.nullif(opf_dir, F.lit("")), F.col("item.href"))).drop("item")
+    return rows.where(F.col("item.media_type").isin(*media_types)).withColumns({"path": F.concat_ws("/", F.nullif(opf_dir, F.lit("")), F.col("item.href")), "media_type": F.col("item.media_type")}).drop("item")
 
 
 def chapters(package_rows: DataFrame) -> DataFrame:
     """book_id, spine_pos, path of every chapter in reading order."""
+    return spined(package_rows).select("book_id", "spine_pos", "path")
+
+
+def spined(package_rows: DataFrame) -> DataFrame:
+    """book_id, spine_pos, path, media_type of the chapters that the spine refers to."""
     directory = F.regexp_extract("opf_path", "^(.*)/[^/]*$", 1)
     m = package_rows.select("book_id", F.posexplode("manifest").alias("pos", "i")).select("book_id", "pos", "i.id", "i.href", "i.media_type")
     r = package_rows.select("book_id", directory.alias("dir"), F.posexplode("spine").alias("spine_pos", "idref"))
-    return spine(m, r, ["book_id"], F.col("dir")).select("book_id", "spine_pos", "path")
+    return spine(m, r, ["book_id"], F.col("dir")).select("book_id", "spine_pos", "path", "media_type")
 
 
 def toc_path(package_rows: DataFrame) -> DataFrame:
@@ -280,6 +313,17 @@ def write_toc(raw: bytes, version: int, entries: list[Toc]) -> bytes:
     return write(doc)
 
 
+def renumbered(contents: DataFrame) -> DataFrame:
+    """contents (book_id, version, content) read and written again: entries kept, play order from 1 on."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raws = [write_toc(bytes(raw), int(v), read_toc(bytes(raw), int(v))) for raw, v in zip(f["content"], f["version"], strict=True)]
+            yield f[["book_id", "version"]].assign(content=raws)
+
+    return contents.select("book_id", "version", "content").mapInPandas(run, "book_id string, version int, content binary")
+
+
 def flat_toc(entries: list[Toc]) -> list[tuple]:
     """(node_no, parent_no, depth, title, href, fragment, id) in preorder."""
     rows: list[tuple] = []

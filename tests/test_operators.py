@@ -103,9 +103,7 @@ def test_control(spark):
     with pytest.raises(KeyError):
         control.with_retries(lambda: {}["x"], 5, sleep=lambda s: None)
     assert control.rendered("to {{ lang }}", lang="French") == "to French"
-    g = spark.createDataFrame([(0, "s", "t")], "group_no long, source string, template string")
-    got = control.fill_attempts(g, lambda t, m, k: f"try {k}", lambda t, a: (3.0, "bad") if a != "try 2" else (0.0, None), 5).orderBy("attempt").collect()
-    assert [(r.attempt, r.weight, r.last) for r in got] == [(0, 3.0, False), (1, 3.0, False), (2, 0.0, True)]
+    g = spark.createDataFrame([(0, "s")], "group_no long, source string")
     assert [r.answer for r in control.model_stage(g.select("group_no", F.col("source").alias("text")), str.upper).collect()] == ["S"]
     t = spark.createDataFrame([(1, i, k) for i, k in enumerate(["toc", "metadata", "chapter", "chapter"])], "b int, no int, kind string")
     assert [round(r.progress, 2) for r in control.progress(t, ["b"], "no").orderBy("no").collect()] == [0.05, 0.1, 0.55, 1.0]
@@ -118,3 +116,21 @@ def test_serial_covers_each_item_once():
     assert got == [x * 10 for x in range(9)]
     for head, first, end, tail in serial.split(scores, 100):
         assert head <= first < end <= tail
+
+
+def test_memberships_cover_bodies_once_and_bring_context(spark):
+    scores = [3, 30, 4, 5, 60, 1, 2, 200, 3]
+    rows = spark.createDataFrame([("b", i, x) for i, x in enumerate(scores)], "book string, seq int, score int")
+    got = serial.memberships(rows, ["book"], "seq", "score", 100).collect()
+    want = [("b", i, g, first <= i < end) for g, (head, first, end, tail) in enumerate(serial.split(scores, 100)) for i in range(head, tail)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(r.seq for r in got if r.body) == list(range(len(scores)))
+
+
+def test_scorecard_and_audit(spark):
+    cases = spark.createDataFrame([(0, True), (0, True), (2, True), (5, False)], "retries int, success boolean")
+    assert sorted(map(tuple, selection.scorecard(cases).collect())) == [(0, 2, 0.5), (2, 1, 0.25)]
+    assert selection.scorecard(cases.where("false")).count() == 0
+    block = '```xml\n<xml id="1"><p id="1">a<b id="2"/></p><i id="2"/></xml>\n```'
+    logs = spark.createDataFrame([("one", f"x\n{block}\ny\n{block}"), ("two", '```xml\n<xml><p id="1"/></xml>\n```'), ("three", None)], "log string, text string")
+    assert [tuple(r) for r in islands.duplicate_ids(logs, "log", "text").collect()] == [("one", "2", 2)]

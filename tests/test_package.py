@@ -1,8 +1,11 @@
 import io
+import re
 import zipfile
 
-from quire.operators.translate import translate_books
+from quire.operators.translate import Model, Settings, Translation, translate_books
+from quire.plans import standin
 from quire.sources import package
+from quire.sources.markup import closed_elements, encode
 from quire.sources.package import Toc
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
@@ -33,7 +36,7 @@ def test_tables_of_a_book(spark):
 
 def test_books_translated_and_written(spark):
     rows = package.unzipped(spark.createDataFrame([("b", bytearray(book())), ("bad", bytearray(book()))], "book_id string, content binary"))
-    done = package.zipped(translate_books(rows, str.upper, "append_block")).where("book_id = 'b'").first()["content"]
+    done = package.zipped(translate_books(rows, standin.MODEL, "append_block")).where("book_id = 'b'").first()["content"]
     with zipfile.ZipFile(io.BytesIO(bytes(done))) as z:
         assert z.namelist()[0] == "mimetype" and len(z.namelist()) == 6
         assert z.getinfo("mimetype").compress_type == zipfile.ZIP_STORED
@@ -69,3 +72,83 @@ def test_matching_and_transcoding():
     fields = [("title", "line\ntwo"), ("creator", "A & B"), ("creator", "C")]
     assert package.decode_metadata(package.encode_metadata(fields)) == fields
     assert [r[:4] for r in package.flat_toc(toc)] == [(0, None, 0, "T & <x>"), (1, 0, 1, "sub")]
+
+
+RICH = '''<html xmlns="http://www.w3.org/1999/xhtml"><body><h1 id="t">A <em>new</em> tale</h1><p id="p">Let <math display="inline"><mi>u</mi><mo>→</mo><mi>v</mi></math> be <b class="x">one</b> and <b>two</b>.</p>
+<math display="block"><mi>w</mi></math><ul><li>x<br/>y</li><li><img src="i.png"/>z</li></ul></body></html>'''
+
+
+def rich_book(spark, chapters):
+    files = {"META-INF/container.xml": CONTAINER, "mimetype": "application/epub+zip", "OPS/book.opf": OPF, "OPS/toc.ncx": NCX, "OPS/s.css": "p{}", **chapters}
+    rows = [("b", i, path, 0, bytearray(text.encode())) for i, (path, text) in enumerate(files.items())]
+    return spark.createDataFrame(rows, package.MEMBERS)
+
+
+def test_chapters_keep_their_markup(spark):
+    done = Translation(rich_book(spark, {"OPS/c1.xhtml": RICH}), standin.MODEL, Settings(budget=3000, action="replace"))
+    got = {r.path: bytes(r.content).decode() for r in done.result().collect()}
+    chapter = got["OPS/c1.xhtml"]
+    assert '<h1 id="t">A <em>NEW</em> TALE</h1>' in chapter
+    close = re.sub(r"\s*(<[^>]*>)\s*", r"\1", chapter)  # a template is laid out, so white space beside tags may be new
+    assert '<p id="p">LET<math display="inline"><mi>u</mi><mo>→</mo><mi>v</mi></math>BE<b class="x">ONE</b>AND<b>TWO</b>.</p>' in close
+    assert '<math display="block"><mi>w</mi></math>' in chapter and "<li>XY</li><li>Z</li>" in close
+    assert "CHAPTER I" in got["OPS/toc.ncx"] and "<dc:title>A BOOK</dc:title>" in got["OPS/book.opf"] and got["OPS/s.css"] == "p{}"
+
+
+def test_requests_are_remembered(spark):
+    members = rich_book(spark, {"OPS/c1.xhtml": RICH})
+    first = Translation(members, standin.MODEL, Settings(budget=400))
+    known = first.remembered.collect()
+    assert len(known) == first.filled.count() > 1
+    memo = spark.createDataFrame(known, "key string, answer string")
+
+    def never(messages):
+        raise AssertionError("asked again")
+
+    again = Translation(members, Model(never, standin.fill, retries=0), Settings(budget=400), memo)
+    assert again.remembered.count() == 0
+    assert sorted(map(tuple, again.result().select("path", "content").collect())) == sorted(map(tuple, first.result().select("path", "content").collect()))
+    other = Translation(members, standin.MODEL, Settings(budget=400, target_language="Finnish"), memo)
+    assert other.remembered.count() == len(known)
+
+
+def test_blocks_that_no_attempt_fills_stay_as_they_were(spark):
+    def fill(messages):
+        return "no block at all"
+
+    done = Translation(rich_book(spark, {"OPS/c1.xhtml": CHAPTER}), Model(standin.translate, fill, retries=0), Settings(attempts=3))
+    events = sorted((r.retried_count, r.over_maximum_retries, r.error_message[:11]) for r in done.failures().collect())
+    assert events == [(1, False, "No complete"), (2, False, "No complete"), (3, False, "No complete"), (3, True, "No complete")]
+    assert {r.path: bytes(r.content) for r in done.result().collect()} == {r.path: bytes(r.content) for r in done.members.collect()}
+    assert [(r.task_no, round(r.progress, 2)) for r in done.progress().orderBy("task_no").collect()] == [(0, 0.05), (1, 0.1), (2, 1.0)]
+
+
+def test_best_attempts_are_kept_by_block(spark):
+    def fill(messages):
+        raw = messages[1][1].split("```XML\n", 1)[1].split("\n```\n", 1)[0]
+        root = next(closed_elements(raw, ("xml",)))
+        for n in root.children:
+            n.text, n.children = n.text.strip().upper() + str(len(messages)), []
+        # The first try has the first block only, later ones all but the first.
+        root.children = root.children[:1] if len(messages) == 2 else root.children[1:]
+        return encode(root)
+
+    chapter = '<html xmlns="http://www.w3.org/1999/xhtml"><body><p>a</p><p>b</p><p>c</p></body></html>'
+    done = Translation(rich_book(spark, {"OPS/c1.xhtml": chapter}), Model(standin.translate, fill, retries=0), Settings(attempts=2, action="replace"))
+    got = {r.path: bytes(r.content).decode() for r in done.result().collect()}
+    assert "<p>A4</p><p>B4</p><p>C4</p>" in got["OPS/c1.xhtml"] and "Chapter" not in got["OPS/toc.ncx"]
+    assert [(r.attempt, r.n_errors) for r in done.attempts().orderBy("attempt").collect()] == [(0, 1), (1, 1)]
+
+
+def test_saved_archives(spark, tmp_path):
+    whole = package.zipped(rich_book(spark, {"OPS/c1.xhtml": RICH}))
+    assert [tuple(r) for r in package.saved(whole, str(tmp_path)).collect()] == [("b", f"{tmp_path}/b.epub")]
+    assert [x.name for x in tmp_path.iterdir()] == ["b.epub"]
+    again = package.members(spark, f"{tmp_path}/*.epub")
+    assert again.count() == 6 and package.listed(again, "OPS/").count() == 4
+
+
+def test_contents_are_renumbered(spark):
+    rows = spark.createDataFrame([("b", 2, bytearray(NCX.encode()))], "book_id string, version int, content binary")
+    raw = bytes(package.renumbered(rows).first().content).decode()
+    assert [raw.count(f'playOrder="{i}"') for i in (1, 2, 7)] == [1, 1, 0]
