@@ -52,10 +52,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove an intermediate table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove intermediate tables (of table()) that no later plan reads."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            p = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, buckets: int = 256, by: Column | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import marked, table
+from quire.llm.common import dropped, marked, table
 
 CAP = 16
 #: Leaders of a crowded signature: so many by their common part, and as many by hash.
@@ -267,7 +267,7 @@ def _signature_counts(width: int):
             for _, sigs, _, _, _ in entries(prints):
                 held.append(np.unique(sigs))
                 total += len(sigs)
-            if total > 500_000:
+            if total > 300_000:
                 yield _counted(held)
                 held, total = [], 0
         if held:
@@ -287,7 +287,7 @@ def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 #: Crowded signatures by how many sets have them: twice the cap and more, four times, and so on, as far as it matters for a choice.
 LEVELS = 14
-LEVEL_BITS = 1 << 23
+LEVEL_BITS = 1 << 21
 CROWD = "c: long, n: int, own: boolean, asks: array<long>, largest: long, hot: array<long>"
 
 
@@ -338,7 +338,7 @@ def _signature_rows(width: int, often, hot, levels):
                 if len(sigs):
                     held.append((sigs.view(np.int64), segments, (h1, n, plan.band, 2 if plan.deletions else 1, have, plan.band == own)))
                 total += len(sigs) + 50 * bool(full.any())
-            if total > 100_000:
+            if total > 60_000:
                 yield from joined(held, crowded)
                 held, crowded, total = [], [], 0
         yield from joined(held, crowded)
@@ -511,7 +511,7 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     """Edges between classes that connect all that exact comparison would connect, and no others. texts: one column text."""
     counts = texts.mapInArrow(_signature_counts(width), "sig long, n int").groupBy("sig").agg(F.sum("n").alias("n"))
     counts = table(counts.where("n > 1"), "jaccard-signatures")
-    often, hot = bit_map(counts, "sig"), bit_map(counts.where(F.col("n") > cap), "sig")
+    often, hot = bit_map(counts, "sig"), bit_map(counts.where(F.col("n") > cap), "sig", 1 << 25)
     levels = level_maps(counts, cap)
     rows = texts.mapInArrow(_signature_rows(width, often, hot, levels), f"sig long, c long, n int, band int, seg int, allow int, have int, own boolean, crowd struct<{CROWD}>")
     rows = table(rows, "jaccard-rows")
@@ -525,9 +525,10 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     crowd_rows = rows.where("crowd is not null").select("crowd.*")
     asks = crowd_rows.where("size(asks) > 0").groupBy(F.col("c").alias("x"), F.col("n").alias("xn")).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("sigs"), F.min("largest").alias("largest"))
     asks = table(asks, "jaccard-asks")
-    asked = bit_map(asks.select(F.explode("sigs").alias("sig")), "sig")
+    asked = bit_map(asks.select(F.explode("sigs").alias("sig")), "sig", 1 << 24)
     members = crowd_rows.where("own").select(F.col("c").alias("y"), F.col("n").alias("yn"), "hot").mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sigs array<long>")
     members = table(members.groupBy("y", "yn").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs")), "jaccard-members")
+    dropped(rows, counts)
     named = [near.select("x"), near.select("y"), asks.select("x"), members.select("y")]
     classes = named[0].toDF("h1")
     for c in named[1:]:

@@ -141,7 +141,7 @@ def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     c[2] |= bit
                 else:
                     c[1] += 1
-            if len(counts) > 200_000 or held > 8 << 20:
+            if len(counts) > 100_000 or held > 8 << 20:
                 yield out()
                 held = 0
     if counts:
