@@ -172,9 +172,14 @@ def count_edits(docs: DataFrame, edits: Column, path: str | None = None, tree: C
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the edits (doc_id, seq, at, remove, insert) of each row in order, as column ``edits``."""
+    """docs with the edits (doc_id, seq, at, remove, insert) of each row in order, as column ``edits``.
+
+    Rows that share a doc_id each get its edits, rows with a null doc_id those with a null one; a column
+    of docs that is named edits already is replaced.
+    """
     lists = edits.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "at", "remove", "insert"))), lambda e: F.struct(e["at"], e["remove"], e["insert"])).alias("edits"))
-    return docs.drop("edits").join(lists, "doc_id", "left")
+    lists = lists.withColumnRenamed("doc_id", "_edited")
+    return docs.drop("edits").join(lists, docs["doc_id"].eqNullSafe(lists["_edited"]), "left").drop("_edited")
 
 
 def drawn_edits(n: int = 3) -> Column:

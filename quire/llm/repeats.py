@@ -3,12 +3,13 @@
 A run-compressed index of a whole corpus can't be built in bounded memory, so the corpus is first cut
 along content. Every ``size``-byte window is assigned to an anchor, its smallest hashed 50-gram, which
 equal windows share wherever they stand; consecutive windows of one anchor form a block. Anchors that
-occur once can't hold a repeat and drop out in one count by hash. Of the others one block of each kind
-(128 bits of checksum) goes, with its bytes, to the task of its anchor, twice if the kind occurs more
-than once; there a run-length index (see run_length_index) of up to ``INDEX_BYTES`` of such blocks
-yields by matching statistics which windows occur elsewhere, and every block of the kind loses them.
-An anchor with more than ``HOT`` kinds of block is not gathered in a task: its windows are counted by
-128-bit checksum instead, in salted groups, which is exact in the same sense.
+occur once can't hold a repeat and drop out in one count by hash. Blocks equal as a whole (128 bits of
+checksum) are repeats, and all that their anchor has if it has no other kind of block. Of each kind of
+the other anchors one block goes, with its bytes, to the task of its anchor, where a run-length index
+(see run_length_index) of up to ``INDEX_BYTES`` of such blocks yields by matching statistics which
+windows occur in another block too. An anchor with more than ``HOT`` kinds of block is not gathered in a
+task: its windows are counted by 128-bit checksum instead, in salted groups, which is exact in the same
+sense.
 
 The result doesn't depend on how documents are dealt over tasks. Defined cases: null text is empty;
 texts shorter than ``size`` bytes keep everything; repeated rows (same doc_id and text) are occurrences
@@ -134,24 +135,29 @@ def _anchor_rows(size: int):
     return run
 
 
+PLACES = "doc_id long, row long, first int, anchor long, block long, twice boolean"
+
+
 def _contexts(size: int):
-    """(row texts, wanted blocks) to the bytes of cool blocks, and to checksums of each window of hot ones."""
+    """(doc_id, row, text, wanted blocks) to the bytes of cool blocks, and to checksums of each window of hot ones."""
+    names = [x.split()[0] for x in PLACES.split(", ")] + ["bytes", "at", "w1", "w2"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for raw, wanted in zip(_raw(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for doc_id, row, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for w in wanted:
                     a, b = w["first"], w["last"]
+                    place = (doc_id, row, a, w["anchor"], w["block"], w["twice"])
                     if not w["hot"]:
-                        rows.append((w["anchor"], w["block"], w["twice"], raw[a : b + size], None, None, None))
+                        rows.append((*place, raw[a : b + size], None, None, None))
                     else:
                         for s in range(a, b + 1):
                             d = xxhash.xxh3_128_digest(raw[s : s + size])
-                            rows.append((w["anchor"], w["block"], w["twice"], None, s - a, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["anchor", "block", "twice", "bytes", "at", "w1", "w2"])
+                            rows.append((*place, None, s, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -162,34 +168,36 @@ def _spans(hit: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _matched(size: int, index_bytes: int):
-    """Blocks sorted by anchor to spans of windows that occur elsewhere too; whole anchors go into one index."""
-    kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    """Blocks (doc_id, row, first, anchor, block, twice, bytes) sorted by anchor to the spans of those that occur once.
+
+    Whole anchors go into one index. Blocks that occur twice are there for the others to match.
+    """
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
 
-    def flush(held: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
-        index = RunLengthIndex([b for _, _, twice, b in held for _ in range(1 + twice)])
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        index = RunLengthIndex([x[6] for x in held], [x[5] for x in held])
         long = index.matching() >= size
-        rows, k = [], 0
-        for anchor, block, twice, raw in held:
-            at = int(index.starts[k])
-            k += 1 + twice
-            spans = [{"a": a, "b": b} for a, b in zip(*_spans(long[at : at + len(raw) - size + 1]), strict=True)]
-            if spans:
-                rows.append((anchor, block, spans))
+        rows = []
+        for (doc_id, row, first, _, _, twice, raw), at in zip(held, index.starts.tolist(), strict=False):
+            if not twice:
+                spans = [{"a": first + a, "b": first + b + size} for a, b in zip(*_spans(long[at : at + len(raw) - size + 1]), strict=True)]
+                if spans:
+                    rows.append((doc_id, row, spans))
         columns = zip(*rows, strict=True) if rows else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), kinds), strict=True)], ["anchor", "block", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "row", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bool, bytes]] = []
+        held: list[tuple] = []
         total = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][:2] == row[:2]:
+                if held and held[-1][3:5] == row[3:5]:
                     continue  # the same block from a repeated row
-                if total > index_bytes and held[-1][0] != row[0]:
+                if total > index_bytes and held[-1][3] != row[3]:
                     yield flush(held)
                     held, total = [], 0
                 held.append(row)
-                total += (len(row[3]) + 1) * (1 + row[2])
+                total += len(row[6]) + 1
         if held:
             yield flush(held)
 
@@ -218,12 +226,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-SPANS = "anchor long, block long, spans array<struct<a:int,b:int>>"
+SPANS = "doc_id long, row long, spans array<struct<a:int,b:int>>"
 SALTS = 32
 
 
-def _counted(windows: DataFrame) -> DataFrame:
-    """Spans of hot blocks, by how often their windows (anchor, block, twice, at, w1, w2) occur.
+def _counted(windows: DataFrame, size: int) -> DataFrame:
+    """Spans of hot blocks that occur once, by how often their windows (places, at, w1, w2) occur.
 
     First among the blocks of one salt, then one row of each salt among those of the window, so that a
     window that stands in very many blocks isn't counted in one task.
@@ -232,37 +240,39 @@ def _counted(windows: DataFrame) -> DataFrame:
     # A repeated row brings its windows once more, but these are of blocks that occur twice anyway.
     salted = windows.withColumn("salt", F.pmod("block", F.lit(SALTS)))
     local = salted.withColumns({"n": F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(group), "r": F.row_number().over(group.orderBy("block", "at"))})
-    local = table(local.select("anchor", "block", "at", "w1", "w2", "n", "r"), "repeat-windows")
+    # Of blocks that occur twice the first row of a window is enough: it counts for the others.
+    local = table(local.where("not twice or r = 1").select("doc_id", "row", "twice", "at", "w1", "w2", "n", "r"), "repeat-windows")
     one = local.where("r = 1").withColumn("all", F.sum("n").over(Window.partitionBy("w1", "w2"))).where("n = 1 and all > 1")
-    found = local.where("n > 1").select("anchor", "block", "at").unionByName(one.select("anchor", "block", "at"))
-    starts = found.groupBy("anchor", "block").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    found = local.where("n > 1 and not twice").select("doc_id", "row", "at").unionByName(one.select("doc_id", "row", "at"))
+    starts = found.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("at"))
     before, after = (lambda i, d=d: F.get("at", i + d) for d in (-1, 1))
     firsts = F.filter("at", lambda x, i: (i == 0) | (before(i) != x - 1))
     lasts = F.filter("at", lambda x, i: F.coalesce(after(i) != x + 1, F.lit(True)))
-    return starts.select("anchor", "block", F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("spans"))
+    return starts.select("doc_id", "row", F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("a"), (b + size).alias("b"))).alias("spans"))
 
 
 def repeat_spans(rows: DataFrame, size: int = SIZE, hot: int = HOT, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, row, spans of bytes [a, b) of repeats in rows (doc_id, row, text), by block; they may overlap."""
+    """doc_id, row, spans of bytes [a, b) of repeats in rows (doc_id, row, text); they may overlap."""
     counts = rows.select("text").mapInArrow(_anchor_counts(size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     often = table(counts.where("n > 1").select("anchor"), "repeat-anchors")
     blocks = rows.select("doc_id", "row", "text").mapInArrow(_anchor_rows(size), "doc_id long, row long, first int, last int, anchor long, block long")
     blocks = table(blocks.join(often, "anchor", "left_semi"), "repeat-blocks")
     kinds = table(blocks.groupBy("anchor", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row", "first", "last")).alias("at")), "repeat-kinds")
-    # A block that is the only one of its anchor has nothing to be held against.
-    wanted = kinds.join(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all")).where("all > 1").drop("all"), "anchor")
-    wanted = wanted.select("at.*", "anchor", "block", (F.col("n") > 1).alias("twice"), (F.col("m") > hot).alias("hot"))
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    wanted = kinds.join(mixed, "anchor").select("at.*", "anchor", "block", (F.col("n") > 1).alias("twice"), (F.col("m") > hot).alias("hot"))
     wanted = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "anchor", "block", "twice", "hot")).alias("wanted"))
-    same_row = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["row"] == y["row"])
+    same_row = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["row"] == wanted["row"])
     # Of repeated rows each brings the same bytes: one of them is enough, two would match each other.
-    found = rows.join(wanted, same_row(rows, wanted)).select("text", "wanted").mapInArrow(_contexts(size), "anchor long, block long, twice boolean, bytes binary, at int, w1 long, w2 long")
+    found = rows.join(wanted, same_row).select(rows["doc_id"], rows["row"], "text", "wanted").mapInArrow(_contexts(size), f"{PLACES}, bytes binary, at int, w1 long, w2 long")
     found = table(found, "repeat-contexts")
-    cool = found.where("bytes is not null").select("anchor", "block", "twice", "bytes")
+    names = [x.split()[0] for x in PLACES.split(", ")]
+    cool = found.where("bytes is not null").select(*names, "bytes")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cool = cool.repartition(n, "anchor").sortWithinPartitions("anchor", "block").mapInArrow(_matched(size, index_bytes), SPANS)
-    warm = _counted(found.where("bytes is null").select("anchor", "block", "twice", "at", "w1", "w2"))
-    matched = table(cool.unionByName(warm), "repeat-matched")
-    return blocks.join(matched, ["anchor", "block"]).select("doc_id", "row", F.transform("spans", lambda s: F.struct((F.col("first") + s["a"]).alias("a"), (F.col("first") + s["b"] + size).alias("b"))).alias("spans"))
+    warm = _counted(found.where("bytes is null").select(*names, "at", "w1", "w2"), size)
+    whole = blocks.join(kinds.where("n > 1").select("anchor", "block"), ["anchor", "block"], "left_semi")
+    whole = whole.select("doc_id", "row", F.array(F.struct(F.col("first").alias("a"), (F.col("last") + size).alias("b"))).alias("spans"))
+    return whole.unionByName(cool).unionByName(warm)
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, **limits: int) -> DataFrame:

@@ -6,7 +6,8 @@ are kept: the symbol and first place of each, and at both ends a sample of the t
 the length that its suffix shares with the neighbour outside the run. Inside a run the neighbour of
 the next position is the neighbour's next position, so the shared length falls by one a step; streaming
 through the text from sample to sample gives the matching statistic of every position. The suffix
-order lives only while the index is built.
+order lives only while the index is built. A string may stand for several equal ones: the runs of equal
+strings are those of one, only longer, so it is indexed once and matches itself as a whole.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ FIRST = 7
 
 
 class RunLengthIndex:
-    def __init__(self, strings: list[bytes]) -> None:
+    def __init__(self, strings: list[bytes], several: list[bool] | None = None) -> None:
         lengths = np.array([len(s) for s in strings], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.n = n = int(self.starts[-1])
+        self.several = np.flatnonzero(several) if several is not None else []
         text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
         text[self.starts[1:] - 1] = 0
         left = np.repeat(self.starts[1:] - 1, lengths + 1) - np.arange(n)  # symbols up to the end of the string
@@ -51,6 +53,9 @@ class RunLengthIndex:
             if len(at):
                 last = np.searchsorted(at, place, "right") - 1
                 np.maximum(best, np.where(last >= 0, length[last] - (place - at[last]), 0), out=best)
+        for i in self.several:
+            a, b = self.starts[i], self.starts[i + 1]
+            best[a:b] = np.arange(b - a - 1, -1, -1)
         return best
 
 

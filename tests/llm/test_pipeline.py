@@ -39,6 +39,12 @@ def test_stages_over_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path)).cache()
         assert docs.count() > 0
+    clash = H.clashing(H.frame(spark, H.corpus(n=20)))
+    names = clash.columns
+    for name, stage in corpus_pipeline.STAGES:
+        clash = stage(spark, clash, str(tmp_path)).cache()
+        assert clash.count() > 0 and (clash.columns == names or name == "packing")
+    assert {r.doc_id for r in clash.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     empty = H.frame(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path)).cache()

@@ -130,6 +130,8 @@ def test_index_keeps_runs_only():
     from quire.llm.run_length_index import RunLengthIndex
 
     one = bytes(random.Random(4).choices(b"abcdefghijkl ", k=3000))
+    several = RunLengthIndex([one, one[:500]], [True, False])
+    assert (several.matching()[: len(one)] == range(len(one), 0, -1)).all() and (several.matching()[len(one) + 1 : -1] == range(500, 0, -1)).all()
     few, many = (RunLengthIndex([one] * n) for n in (2, 40))
     assert many.n == 20 * few.n and many.n_runs < 1.2 * few.n_runs and many.kept_bytes < 1.2 * few.kept_bytes
     assert not hasattr(many, "_order") and (many.matching()[: len(one)] == range(len(one), 0, -1)).all()
