@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD_BYTES, table, unused
+from quire.llm.common import WORD_BYTES, sliced, table, unused
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -155,7 +155,7 @@ def _scanned(df: DataFrame, tables, into: str, first: bool) -> DataFrame:
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             before = None if first else batch.column(len(names)).to_pylist()
             for i, raw in enumerate(batch.column(text_at).cast(pa.binary())):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import dropped, marked, table
+from quire.llm.common import dropped, marked, sliced, table
 
 CAP = 16
 #: Leaders of a crowded signature: so many by their common part, and as many by hash.
@@ -240,7 +240,7 @@ def _sizes(width: int):
     kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, prints, row in zip(batch.column(0).to_pylist(), all_fingerprints(_raw(batch.column(1)), width), batch.column(2).to_pylist(), strict=True):
                 rows.append((doc_id, row, *class_of(prints), len(prints)))
@@ -251,7 +251,7 @@ def _sizes(width: int):
 
 def _distinct_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """The non-empty sets of the texts, each class once per batch."""
-    for batch in batches:
+    for batch in sliced(batches):
         seen = set()
         for prints in all_fingerprints(_raw(batch.column(0)), width):
             key = class_of(prints)
@@ -360,7 +360,7 @@ def _signature_rows(width: int, often, hot, levels):
 
 def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
     """Sets (y, yn, hot) with those of their crowded signatures that any set asks for."""
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for y, yn, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sigs = np.array(hot, np.int64)
@@ -378,7 +378,7 @@ def sketch_of(prints: np.ndarray) -> bytes:
 
 def _able(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a1, a2, b1, b2, sa, sb) whose sketches allow a link: sets share no more in a part than the lesser has there."""
-    for batch in batches:
+    for batch in sliced(batches, 4000):
         a, b = ([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()] for i in (4, 5))
         known = np.array([len(x) > 0 and len(y) > 0 for x, y in zip(a, b, strict=True)], bool)
         keep = ~known
@@ -409,7 +409,7 @@ def _element_counts(crowd):
     """Sums per batch of how many of the crowd's sets have a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             inside = _in_map(crowd.value, batch.column(0).to_numpy().view(U))
             held = [np.frombuffer(p, U) for p in batch.column(1).filter(pa.array(inside)).to_pylist()]
             if held:
@@ -424,7 +424,7 @@ def _parts(crowd, common, several):
     kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             inside = _in_map(crowd.value, batch.column(0).to_numpy().view(U))
             for h1, raw, take in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), inside.tolist(), strict=True):
@@ -439,7 +439,7 @@ def _parts(crowd, common, several):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         a, b = ([np.frombuffer(x, U) for x in batch.column(i).to_pylist()] for i in (4, 5))
         keep = pa.array([linked(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:4]], ["a1", "a2", "b1", "b2"])
