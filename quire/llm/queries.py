@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, sharding, toxicity
+from quire.llm import decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, secrets, sharding, toxicity
 from quire.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_table(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_shards": op1_balanced_shards,
     "op2_jaccard_groups": op2_jaccard_groups,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_assigned_secrets": op11_assigned_secrets,
 }
 
 ORACLES: dict[str, str] = {
