@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, secrets, sharding, toxicity
+from quire.llm import collocations, decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, secrets, sharding, toxicity
 from quire.llm.common import documents
 
 
@@ -54,6 +54,10 @@ def op11_assigned_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_table(documents(spark, sf_dir))
 
 
+def op12_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_shards": op1_balanced_shards,
     "op2_jaccard_groups": op2_jaccard_groups,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_grammar": op9_toxic_grammar,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_assigned_secrets": op11_assigned_secrets,
+    "op12_apriori_phrases": op12_apriori_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +94,20 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op12_apriori_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+        n AS (SELECT lang, cast(sum(len(w)) AS bigint) AS n FROM w GROUP BY 1),
+        g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+        parts AS (SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS left_part, array_to_string(w[j + 1 : k], ' ') AS right_part FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        cuts AS (SELECT p.lang, p.phrase, a, j, x.f AS l, y.f AS r, cast((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS bigint) AS score
+                 FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.left_part JOIN f y ON y.lang = p.lang AND y.phrase = p.right_part),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        longer AS (SELECT lang, phrase, max(a) AS a FROM (SELECT lang, a, array_to_string(w[1 : 2], ' ') AS phrase FROM c WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2 : 3], ' ') FROM c WHERE k = 3) GROUP BY 1, 2),
+        kept AS (SELECT b.* FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }
