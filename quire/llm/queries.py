@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import collocations, decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, secrets, sharding, toxicity
+from quire.llm import collocations, decontaminate, edit_counts, exact_dedup, jaccard, language, licenses, packing, repeats, secrets, sharding, spelling, toxicity
 from quire.llm.common import documents
 
 
@@ -58,6 +58,10 @@ def op12_apriori_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_balanced_shards": op1_balanced_shards,
     "op2_jaccard_groups": op2_jaccard_groups,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_assigned_secrets": op11_assigned_secrets,
     "op12_apriori_phrases": op12_apriori_phrases,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
