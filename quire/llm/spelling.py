@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,15 +96,17 @@ def halves(found: DataFrame) -> DataFrame:
 
 def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     """rows, those of keys with more than limit words with their regions halved until no key has more, or the region is one letter."""
+    done = []
     while True:
         hot = table(rows.where("hi - lo > 1").groupBy("key").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > limit).select("key", F.lit(True).alias("hot")), "spelling-hot")
         n = hot.count()
         if not n:
-            return rows
+            return reduce(DataFrame.unionByName, done, rows)
         marked = rows.join(F.broadcast(hot) if n <= MOST_SENT else hot, "key", "left")
+        done.append(marked.where("hot is null").drop("hot"))
         middle = F.expr("cast((lo + hi) div 2 as int)")
-        parts = F.when(F.col("hot"), F.array(F.struct(middle.alias("lo"), "hi"), F.struct("lo", middle.alias("hi")))).otherwise(F.array(F.struct("lo", "hi")))
-        rows = table(_keyed(marked.withColumn("part", F.explode(parts)).select("word", "n", "size", "part.lo", "part.hi")), "spelling-rows")
+        parts = F.array(F.struct(middle.alias("lo"), "hi"), F.struct("lo", middle.alias("hi")))
+        rows = table(_keyed(marked.where("hot").withColumn("part", F.explode(parts)).select("word", "n", "size", "part.lo", "part.hi")), "spelling-rows")
 
 
 def _matrix(strings: list[bytes], width: int) -> np.ndarray:
