@@ -106,6 +106,20 @@ def block_incisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.incisions(scored(read(spark, sf_dir, "documents")), ["doc_id"], ["line"]).select("doc_id", "line", "start_incision", "end_incision")
 
 
+@query(f"""WITH RECURSIVE {SCORED}, c AS (SELECT doc_id, line, score, 1 + length(text) % 3 AS inc FROM scored JOIN lines USING (doc_id, source, line)),
+    d AS (SELECT doc_id, list(score ORDER BY line) AS s, list(inc ORDER BY line) AS c, list(upto ORDER BY line) AS p FROM (SELECT *, sum(score) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM c) GROUP BY 1),
+    best AS (SELECT doc_id, s, c, list_prepend(0, p) AS p, 0 AS j, [0::BIGINT] AS v, []::BIGINT[] AS f FROM d
+        UNION ALL SELECT doc_id, s, c, p, j + 1, list_append(v, m // 1000000 + 1 + CASE WHEN j + 1 < len(s) THEN 1000000 * c[j + 1] ELSE 0 END), list_append(f, m % 1000000)
+        FROM (SELECT *, list_min([v[i + 1] * 1000000 + i for i in range(0, j + 1) if i = j or p[j + 2] - p[i + 1] <= 600]) AS m FROM best WHERE j < len(s))),
+    back AS (SELECT doc_id, s, f, len(s) AS hi, f[len(s)] AS lo FROM best WHERE j = len(s) UNION ALL SELECT doc_id, s, f, lo, f[lo] FROM back WHERE lo > 0)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1 AS segment_no, hi - lo AS n_items, cast(list_sum(s[lo + 1 : hi]) AS bigint) AS score FROM back""")
+def border_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in segments of 600 tokens at most, cut where that costs least; what a border costs follows from the text before it."""
+    lines = paragraphs(read(spark, sf_dir, "documents")).select("doc_id", "line", X.n_tokens(F.col("text")).alias("score"), (1 + F.length("text") % 3).alias("incision"))
+    cut = groups.border_split(lines, ["doc_id"], ["line"], "score", "incision", 600)
+    return cut.join(lines, ["doc_id", "line"]).groupBy("doc_id", F.col("segment_no").cast("long").alias("segment_no")).agg(F.count(F.lit(1)).alias("n_items"), F.sum("score").alias("score"))
+
+
 VOLUMES = f"""{SCORED}, g AS (SELECT source, doc_id // 500 AS volume, doc_id, least(sum(score), 40) AS head, sum(score) AS body, least(sum(score), 60) AS tail FROM scored GROUP BY 1, 2, 3),
     nums AS (SELECT *, row_number() OVER (PARTITION BY source, volume ORDER BY doc_id) AS k FROM g)"""
 
@@ -441,18 +455,29 @@ def page_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- whole books -----------------------------------------------------------------------------------
 
-#: Blocks of the archives that standin.bound makes, with what their templates cost: a title for each book, then the lines of its chapters.
+#: Blocks of the archives that standin.bound makes, with what their templates cost: a title for each book, then the lines of its
+#: chapters; segments of chapters (all cuts cost the same, so the best split fills from the end), groups of segments that fit, and
+#: what a group's request says: its body and the context on both sides, in part where the budget ends.
 BLOCKS = f"""{PLAIN}, blocks AS (SELECT doc_id // 25 AS book, doc_id, line, text, '<p id="99" data-orig-len="9999">' || text || '</p>' AS shown FROM plain
         UNION ALL SELECT DISTINCT doc_id // 25, -1, 0, 'Volume ' || cast(doc_id // 25 AS varchar), '<field id="99" data-orig-len="9999">Volume ' || cast(doc_id // 25 AS varchar) || '</field>' FROM plain),
-    nums AS (SELECT book, doc_id, line, text, 80 + {TOKENS.replace("text", "shown")} AS score, row_number() OVER (PARTITION BY book ORDER BY doc_id, line) AS k FROM blocks),
-    fold AS (SELECT book, k, score AS s, 0 AS group_no FROM nums WHERE k = 1
-        UNION ALL SELECT n.book, n.k, CASE WHEN f.s + n.score > 5580 THEN n.score ELSE f.s + n.score END, CASE WHEN f.s + n.score > 5580 THEN f.group_no + 1 ELSE f.group_no END
-        FROM fold f JOIN nums n ON n.book = f.book AND n.k = f.k + 1),
-    around AS (SELECT book, k, lag(score) OVER w AS s1, lag(score, 2) OVER w AS s2, lead(score) OVER w AS t1, lead(score, 2) OVER w AS t2 FROM nums WINDOW w AS (PARTITION BY book ORDER BY k)),
-    g AS (SELECT book, group_no, min(k) AS lo, max(k) AS hi FROM fold GROUP BY 1, 2),
-    sized AS (SELECT g.book, g.group_no, cast(hi - lo + 1 + CASE WHEN a.s1 <= 210 THEN CASE WHEN a.s1 + a.s2 <= 210 THEN 2 ELSE 1 END ELSE 0 END
-        + CASE WHEN b.t1 <= 210 THEN CASE WHEN b.t1 + b.t2 <= 210 THEN 2 ELSE 1 END ELSE 0 END AS int) AS n_blocks
-        FROM g JOIN around a ON a.book = g.book AND a.k = g.lo JOIN around b ON b.book = g.book AND b.k = g.hi)"""
+    scores AS (SELECT book, doc_id, line, text, 80 + {TOKENS.replace("text", "shown")} AS score, {TOKENS.replace("len(", "", 1)[:-1]} AS tokens FROM blocks),
+    nums AS (SELECT *, row_number() OVER (PARTITION BY book, doc_id ORDER BY line DESC) AS k, sum(score) OVER (PARTITION BY book, doc_id ORDER BY line) AS upto, sum(score) OVER (PARTITION BY book, doc_id) AS total FROM scores),
+    fold AS (SELECT book, doc_id, k, score AS s, 0 AS seg FROM nums WHERE k = 1
+        UNION ALL SELECT n.book, n.doc_id, n.k, CASE WHEN f.s + n.score > 5580 THEN n.score ELSE f.s + n.score END, CASE WHEN f.s + n.score > 5580 THEN f.seg + 1 ELSE f.seg END
+        FROM fold f JOIN nums n ON n.book = f.book AND n.doc_id = f.doc_id AND n.k = f.k + 1),
+    segs AS (SELECT book, doc_id, seg, sum(score) AS body, min(upto - score) AS before, max(upto) AS upto, least(min(upto - score), 210) AS head, least(max(total) - max(upto), 210) AS tail,
+        row_number() OVER (PARTITION BY book ORDER BY doc_id, seg DESC) AS k FROM nums JOIN fold USING (book, doc_id, k) GROUP BY 1, 2, 3),
+    folded AS (SELECT book, k, head + body AS s, 0 AS group_no FROM segs WHERE k = 1
+        UNION ALL SELECT n.book, n.k, CASE WHEN f.s + n.body + n.tail > 6000 THEN n.head + n.body ELSE f.s + n.body END, CASE WHEN f.s + n.body + n.tail > 6000 THEN f.group_no + 1 ELSE f.group_no END
+        FROM folded f JOIN segs n ON n.book = f.book AND n.k = f.k + 1),
+    g AS (SELECT book, group_no, arg_min(doc_id, k) AS doc_a, min_by(before, k) AS before, arg_max(doc_id, k) AS doc_b, max_by(upto, k) AS upto FROM folded JOIN segs USING (book, k) GROUP BY 1, 2),
+    near AS (SELECT g.book, group_no, n.doc_id, line, text, tokens, score, -1 AS side, least(score, 210 - (before - n.upto)) AS kept FROM g JOIN nums n ON n.book = g.book AND n.doc_id = doc_a AND n.upto <= before AND before - n.upto < 210
+        UNION ALL SELECT g.book, group_no, n.doc_id, line, text, tokens, score, 1, least(score, 210 - (n.upto - score - g.upto)) FROM g JOIN nums n ON n.book = g.book AND n.doc_id = doc_b AND n.upto - score >= g.upto AND n.upto - score - g.upto < 210),
+    cut AS (SELECT *, kept - (score - len(tokens)) AS n FROM near),
+    context AS (SELECT book, group_no, doc_id, line, CASE WHEN kept = score THEN text WHEN n <= 0 THEN '' WHEN side < 0 THEN trim(array_to_string(tokens[len(tokens) - n + 1 :], '')) ELSE trim(array_to_string(tokens[1 : n], '')) END AS said, kept < score AS part, side FROM cut),
+    parts AS (SELECT f.book, group_no, n.doc_id, line, text AS said FROM folded f JOIN segs s USING (book, k) JOIN fold l ON l.book = s.book AND l.doc_id = s.doc_id AND l.seg = s.seg JOIN nums n ON n.book = l.book AND n.doc_id = l.doc_id AND n.k = l.k
+        UNION ALL SELECT book, group_no, doc_id, line, CASE WHEN NOT part THEN said WHEN side < 0 THEN '... ' || said ELSE said || ' ...' END FROM context WHERE said <> ''),
+    sized AS (SELECT book, group_no, cast(count(*) AS int) AS n_blocks, string_agg(said, chr(10) || chr(10) ORDER BY doc_id, line) AS source FROM parts GROUP BY 1, 2)"""
 UPPERED = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
@@ -497,6 +522,21 @@ def book_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation(spark, sf_dir).progress().select("book_id", "task_no", F.round(F.col("progress") * 1000).cast("long").alias("permille"))
 
 
+@query(f"""WITH RECURSIVE {BLOCKS} SELECT cast(book AS varchar) AS book_id, group_no, n_blocks, length(source) AS n_chars, md5(source) AS digest FROM sized""")
+def book_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each request of a book says: chapters cut at their borders, short ones together, context cut to its budget."""
+    return translation(spark, sf_dir).requests.select("book_id", "group_no", F.size("blocks").alias("n_blocks"), F.length("source").cast("long").alias("n_chars"), F.md5("source").alias("digest"))
+
+
+@query(f"""WITH RECURSIVE {BLOCKS}, asked AS (SELECT DISTINCT source FROM sized)
+    SELECT 'translate' AS kind, count(*) AS requests, cast(sum(length(source)) AS bigint) AS input, cast(sum(length(source)) AS bigint) AS output, cast(sum(2 * length(source)) AS bigint) AS total FROM asked
+    UNION ALL SELECT 'fill', cast(sum(n_blocks % 3 + 1) AS bigint), 0, 0, cast(sum(n_blocks * (n_blocks % 3 + 1)) AS bigint) FROM sized""")
+def book_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made and tokens counted for all books: each request once, however many tables are made of the run."""
+    t = translation(spark, sf_dir)
+    return t.usage().select("kind", "requests", "input", "output", "total")
+
+
 # -- markup that SQL can read ----------------------------------------------------------------------
 
 

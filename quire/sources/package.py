@@ -43,10 +43,13 @@ def unzipped(archives: DataFrame) -> DataFrame:
 
 
 def with_replaced(all_members: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Members with the new content of those replaced (book_id, path, content); the rest as they were."""
-    kept = all_members.join(replaced.select("book_id", "path"), ["book_id", "path"], "left_anti")
-    changed = all_members.drop("content").join(replaced.select("book_id", "path", "content"), ["book_id", "path"])
-    return kept.select(*all_members.columns).unionByName(changed.select(*all_members.columns))
+    """Members with the new content of those replaced (book_id, path, content), the rest as they were; each member once.
+
+    replaced is used once, so it may come from a stage that isn't repeatable; of several rows of a member one is taken.
+    """
+    new = replaced.groupBy("book_id", "path").agg(F.first("content", ignorenulls=True).alias("_new"))
+    joined = all_members.join(new, ["book_id", "path"], "left").withColumn("content", F.coalesce("_new", "content"))
+    return joined.select(*all_members.columns)
 
 
 def zipped(all_members: DataFrame) -> DataFrame:
@@ -97,19 +100,38 @@ def opf_path(container: bytes) -> str:
 
 
 def packages(all_members: DataFrame) -> DataFrame:
-    """book_id, opf_path, version, manifest, spine and metadata of each book, or an error."""
-    small = all_members.where((F.col("path") == "META-INF/container.xml") | F.endswith(F.lower("path"), F.lit(".opf")))
+    """book_id, opf_path, version, manifest, spine and metadata of each book, or an error.
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        book, files = f["book_id"].iloc[0], dict(zip(f["path"], f["content"], strict=True))
-        try:
-            path = opf_path(files["META-INF/container.xml"])
-            row = (book, path, *read_package(files[path]), None)
-        except (KeyError, ValueError) as e:
-            row = (book, None, None, [], [], [], f"{type(e).__name__}: {e}")
-        return pd.DataFrame([row], columns=["book_id", "opf_path", "version", "manifest", "spine", "metadata", "error"])
-
-    return small.groupBy("book_id").applyInPandas(run, "book_id string, opf_path string, version int, manifest array<struct<id:string,href:string,media_type:string,properties:string>>, spine array<string>, metadata array<struct<tag_name:string,text:string>>, error string")
+    The container names the package file, whatever its name; only these two members of a book are read.
+    """
+    schema = "book_id string, opf_path string, version int, manifest array<struct<id:string,href:string,media_type:string,properties:string>>, spine array<string>, metadata array<struct<tag_name:string,text:string>>, error string"
+
+    def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for book, raw in zip(f["book_id"], f["content"], strict=True):
+                try:
+                    rows.append((book, opf_path(raw), None))
+                except ValueError as e:
+                    rows.append((book, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["book_id", "path", "error"])
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples(index=False):
+                error = r.error if r.error is not None else None if r.content is not None else f"KeyError: {r.path!r}"
+                try:
+                    rows.append((r.book_id, r.path, *read_package(r.content), None) if error is None else (r.book_id, None, None, [], [], [], error))
+                except ValueError as e:
+                    rows.append((r.book_id, None, None, [], [], [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["book_id", "opf_path", "version", "manifest", "spine", "metadata", "error"])
+
+    content = all_members.select("book_id", "path", "content")
+    containers = content.where(F.col("path") == "META-INF/container.xml").select("book_id", "content").mapInPandas(named, "book_id string, path string, error string")
+    books = content.select("book_id").distinct().join(containers, "book_id", "left").withColumn("error", F.when(F.col("path").isNull(), F.coalesce("error", F.lit("KeyError: 'META-INF/container.xml'"))))
+    found = content.join(books.select("book_id", "path"), ["book_id", "path"])  # the small side is the list of names
+    return books.join(found, ["book_id", "path"], "left").select("book_id", "path", "error", "content").mapInPandas(read, schema)
 
 
 def read_package(opf: bytes) -> tuple[int, list[dict], list[str], list[dict]]:
