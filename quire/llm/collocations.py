@@ -26,15 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import dropped, sliced, table
+from quire.llm.common import sliced, table
 
 #: Bits of the map for each frequent gram, and the most that a map has (2^28 bits are 32 MiB).
 BITS_EACH = 16
 MAX_MAP_BITS = 1 << 28
 SALTS = 8
+#: Rows and characters that a task counts at once.
+ROWS = 4000
+CHARACTERS = 1 << 24
 
 #: Bytes to bytes: A-Z in lower case, a tab is a space, all marks that end a piece are one.
 END = b"."
@@ -43,10 +47,26 @@ _PIECES = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else END[0] if chr(c)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def words_of(texts: list[str | None]) -> list[bytes]:
-    """The words of all texts in order; END stands between pieces and between texts."""
-    joined = END.join(t.encode() for t in texts if t).translate(_PIECES)
-    return [w for w in joined.replace(END, b" . ").split(b" ") if w]
+def coded(texts: list[str | None]) -> tuple[np.ndarray, pa.Array, int]:
+    """Of the words of all texts in order their codes, the words by code, and the code that stands between pieces."""
+    joined = END.join([b"", *[t.encode() for t in texts if t], b""]).translate(_PIECES)
+    parts = pc.split_pattern(pa.array([joined.replace(END, b" . ")], pa.binary()), b" ").flatten().dictionary_encode()
+    codes, kinds = parts.indices.to_numpy(), parts.dictionary
+    return codes[codes != pc.index(kinds, b"").as_py()], kinds, pc.index(kinds, END).as_py()
+
+
+def batched(texts: Iterator[str | None], size: int) -> Iterator[list[str | None]]:
+    """The texts in lists of about so many characters; a longer one is a list of its own."""
+    own: list[str | None] = []
+    total = 0
+    for t in texts:
+        if own and total + len(t or "") > size:
+            yield own
+            own, total = [], 0
+        own.append(t)
+        total += len(t or "")
+    if own:
+        yield own
 
 
 def gram_slots(word_hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
@@ -59,14 +79,10 @@ def gram_slots(word_hashes: np.ndarray, k: int, bits: int) -> np.ndarray:
     return h & np.uint64(bits - 1)
 
 
-def hashes_of(words: list[bytes], lang: str) -> np.ndarray:
-    """64-bit hashes of words of a language, the same in every process."""
-    key = f"{hash_text(lang):016d}"[-16:]
-    return pd.util.hash_array(np.array([w.decode() for w in words], dtype=object), hash_key=key, categorize=False)
-
-
-def hash_text(lang: str) -> int:
-    return int(pd.util.hash_array(np.array([lang], dtype=object), categorize=False)[0] % 10**16)
+def hashes_of(words: np.ndarray, lang: str) -> np.ndarray:
+    """64-bit hashes of the words (bytes) of a language, the same in every process."""
+    own = int(pd.util.hash_array(np.array([lang], dtype=object), categorize=False)[0]) % 10**16
+    return pd.util.hash_array(words, hash_key=f"{own:016d}", categorize=False)
 
 
 def frequent_map(level: DataFrame, k: int, max_bits: int = MAX_MAP_BITS) -> tuple[int, bytes]:
@@ -80,8 +96,8 @@ def frequent_map(level: DataFrame, k: int, max_bits: int = MAX_MAP_BITS) -> tupl
             f = batch.to_pandas()
             slots = []
             for lang, grams in f.groupby("lang")["gram"]:
-                words = [w for g in grams for w in g.encode().split(b" ")]
-                slots.append(gram_slots(hashes_of(words, lang), k, bits)[::k])
+                words = b" ".join(g.encode() for g in grams).split(b" ")
+                slots.append(gram_slots(hashes_of(np.array(words, dtype=object), lang), k, bits)[::k])
             at = np.concatenate(slots) if slots else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64))], ["slot"])
 
@@ -100,39 +116,38 @@ def counted(docs: DataFrame, k: int, least: int, below: tuple[int, bytes] | None
     """
     sent = docs.sparkSession.sparkContext.broadcast(below) if below else None
 
-    def grams(lang: str, texts: list[str | None]) -> tuple[list[str | None], np.ndarray]:
-        words = words_of(texts)
-        codes, kinds = pd.factorize(np.array([*words, END], dtype=object))
-        ends = codes == codes[-1]
+    def grams(lang: str, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        codes, kinds, end = coded(texts)
         if k == 1:
             n = np.bincount(codes, minlength=len(kinds))
-            named = [(w.decode(), c) for w, c in zip(kinds, n.tolist()) if w != END]
-            return [*[w for w, _ in named], None], np.array([*[c for _, c in named], len(words) - int(ends[:-1].sum())], dtype=np.int64)
+            total = n.sum() - n[end]
+            n[end] = 0
+            at = np.flatnonzero(n)
+            return pa.concat_arrays([kinds.take(pa.array(at)), pa.nulls(1, pa.binary())]), np.append(n[at], total)
         bits, bitmap = sent.value
         is_set = np.frombuffer(bitmap, dtype=np.uint8)
-        slots = gram_slots(hashes_of(list(kinds), lang)[codes], k - 1, bits).astype(np.int64)
+        slots = gram_slots(hashes_of(kinds.to_numpy(zero_copy_only=False), lang)[codes], k - 1, bits).astype(np.int64)
         frequent = (is_set[slots >> 3] >> (slots & 7)) & 1 == 1
+        ends = codes == end
         whole = ~np.logical_or.reduce([ends[i : len(ends) - k + 1 + i] for i in range(k)])
         at = np.flatnonzero(frequent[:-1] & frequent[1:] & whole)
-        if not len(at):
-            return [], np.zeros(0, dtype=np.int64)
         key = codes[at].astype(np.int64)
         if k == 3:  # pairs first, so that no product passes 64 bits
             key = np.unique(key * len(kinds) + codes[at + 1], return_inverse=True)[1]
         _, first, n = np.unique(key * len(kinds) + codes[at + k - 1], return_index=True, return_counts=True)
-        return [b" ".join(kinds[codes[p : p + k]]).decode() for p in at[first]], n
+        return pc.binary_join_element_wise(*[kinds.take(pa.array(codes[at[first] + i])) for i in range(k)], b" "), n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for batch in sliced(batches, ROWS):
             by: dict[str, list] = {}
-            for lang, text in zip(langs, texts, strict=True):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(text)
-            for lang, own in by.items():
-                found, n = grams(lang, own)
-                for i in range(0, len(found), 100_000):
-                    part = found[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(n[i : i + 100_000])], ["lang", "gram", "n"])
+            for lang, all_of_it in by.items():
+                for own in batched(all_of_it, CHARACTERS):
+                    found, n = grams(lang, own)
+                    for i in range(0, len(found), 100_000):
+                        part = found[i : i + 100_000].cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(n[i : i + 100_000])], ["lang", "gram", "n"])
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text").where("text is not null")
     sums = rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("f"))
