@@ -6,7 +6,7 @@ most, whatever the size of the corpus) is all that the plan needs. Whole counts
 order that doesn't look at lengths, go by best fit into classes of equally filled bins; then a local
 search moves documents or exchanges one for one, two for one and one for two between classes of
 underfull bins while the sum of squared fills grows: until no two classes gain, or no fewer bins could
-hold the total. The plan gives, for each length, ranges of ranks with their sequence and offset; a
+hold the total; a plan that is stuck is shaken and searched again (``plan``). The plan gives, for each length, ranges of ranks with their sequence and offset; a
 piece finds its place by its rank among pieces of its length. Ranks come from counts by writing task,
 joined by sort and merge as their number grows with the tasks, so no task holds all pieces of a
 common length and nothing that grows with the corpus is broadcast.
@@ -32,6 +32,8 @@ from quire.llm import common, tokens
 
 Bin = tuple[int, ...]  # lengths, largest first
 
+#: Shares of the bins that are filled anew where the search is stuck.
+SHAKES = (1 / 8, 1)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
@@ -222,11 +224,45 @@ class _Fits:
 
 
 def plan(counts: dict[int, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:
-    bins: dict[Bin, int] = {}
-    for content, n in best_fit(counts, budget, arrival(counts)).items():
+    """Bins by content: local search from best fit in order of arrival, and on from where it is stuck.
+
+    A local optimum above the lower bound is shaken: its underfull bins, with a share of the others, those
+    of the shortest documents first, are emptied and filled again by best fit, longest first, and the search
+    goes on from there. The last share is all of them, so the plan is never worse than best fit decreasing.
+    """
+    bins = improve(_sorted(best_fit(counts, budget, arrival(counts))), budget, max_moves)
+    floor = -(-sum(length * n for length, n in counts.items()) // budget)
+    for share in SHAKES:
+        if sum(bins.values()) <= floor:
+            break
+        other = improve(shaken(bins, budget, share), budget, max_moves)
+        if sum(other.values()) < sum(bins.values()):
+            bins = other
+    return bins
+
+
+def _sorted(bins: dict[Bin, int]) -> dict[Bin, int]:
+    out: dict[Bin, int] = {}
+    for content, n in bins.items():
         key = tuple(sorted(content, reverse=True))
-        bins[key] = bins.get(key, 0) + n
-    return improve(bins, budget, max_moves)
+        out[key] = out.get(key, 0) + n
+    return out
+
+
+def shaken(bins: dict[Bin, int], budget: int, share: float) -> dict[Bin, int]:
+    """bins with all underfull ones, and a share of the whole, filled anew."""
+    left = share * sum(bins.values())
+    kept, loose = {}, {}
+    for content, n in sorted(bins.items(), key=lambda x: (sum(x[0]) == budget, x[0][-1], x[0])):
+        if sum(content) < budget or left > 0:
+            left -= n
+            for length in content:
+                loose[length] = loose.get(length, 0) + n
+        else:
+            kept[content] = n
+    for content, n in _sorted(best_fit(loose, budget)).items():
+        kept[content] = kept.get(content, 0) + n
+    return kept
 
 
 def improve(bins: dict[Bin, int], budget: int, max_moves: int | None = None) -> dict[Bin, int]:

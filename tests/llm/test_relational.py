@@ -264,13 +264,50 @@ def test_local_search_makes_the_plan():
     rng, budget = random.Random(2), 2048
     counts = Counter(min(budget, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000))
     plain = packing.best_fit(counts, budget, packing.arrival(counts))
-    got = [packing.plan(counts, budget, moves) for moves in (0, 100, None)]
+    got = [packing.improve(packing._sorted(plain), budget, moves) for moves in (0, 100, None)]
     squares = [sum(sum(c) ** 2 * n for c, n in x.items()) for x in got]
     assert sum(got[0].values()) == sum(plain.values()) and squares[0] < squares[1] < squares[2]
     least = -(-sum(counts.elements()) // budget)
     assert least <= sum(got[2].values()) < sum(plain.values()) and sum(got[2].values()) <= least * 1.005
 
 
+def lengths(table, budget=2048):
+    """Histogram of the pieces of a table's texts."""
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    encode, counts = tokens.encoder(tokens.tokenizer_path()).packed, Counter()
+    for t in pq.read_table(table, columns=["text"])["text"].to_pylist():
+        n = len(encode(t or "")) // 4 + 1
+        counts.update([budget] * ((n - 1) // budget) + [(n - 1) % budget + 1])
+    return counts
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_no_more_sequences_than_best_fit(sf):
+    counts = lengths(f"/root/testdata/{sf}/documents.parquet")
+    got = packing.plan(counts, 2048)
+    assert sum(got.values()) <= sum(packing.best_fit(counts, 2048).values())
+
+
+def test_shaken_plans_hold_the_same_and_are_never_worse():
+    import random
+    from collections import Counter
+
+    rng = random.Random(9)
+    for budget, lo in ((100, 5), (100, 20), (64, 1), (2048, 300)):
+        for _ in range(6):
+            counts = Counter(rng.randint(lo, budget) for _ in range(rng.randint(1, 150)))
+            start = packing._sorted(packing.best_fit(counts, budget, packing.arrival(counts)))
+            for share in (0, 0.125, 1):
+                other = packing.shaken(start, budget, share)
+                assert Counter(x for c, n in other.items() for x in c * n) == counts and all(sum(c) <= budget for c in other)
+            got = packing.plan(counts, budget)
+            assert Counter(x for c, n in got.items() for x in c * n) == counts
+            assert sum(got.values()) <= min(sum(packing.best_fit(counts, budget).values()), sum(start.values()))
+
+
 def test_local_search_leaves_no_gain():
     import random
     from collections import Counter
@@ -278,7 +315,7 @@ def test_local_search_leaves_no_gain():
 
     rng, budget = random.Random(5), 2048
     counts = Counter(rng.randint(400, 900) for _ in range(500))
-    got = packing.plan(counts, budget)
+    got = packing.improve(packing._sorted(packing.best_fit(counts, budget, packing.arrival(counts))), budget)
     assert Counter(x for c, n in got.items() for x in c * n) == counts and all(0 < sum(c) <= budget and n > 0 for c, n in got.items())
     assert sum(got.values()) > -(-sum(counts.elements()) // budget)
     some = lambda c, sizes: {sum(x) for k in sizes for x in combinations(c, k)}
