@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import control, groups, islands, reassembly, selection, serial, templates, translate
+from quire.operators import control, groups, islands, reassembly, runs, selection, serial, templates, translate, trees
 from quire.plans import standin
-from quire.sources import markup, package
+from quire.sources import archive, markup, package
 
 FLAGSHIP = "budget_groups"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,6 +191,48 @@ def members_copy_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package.with_replaced(docs, new).select(F.col("entry_no").alias("doc_id"), "content")
 
 
+@query(f"WITH {PLAIN} SELECT doc_id // 25 AS book, 'OPS/c' || cast(doc_id AS varchar) || '.xhtml' AS path, md5('<html xmlns=\"http://www.w3.org/1999/xhtml\"><body>' || string_agg('<p>' || text || '</p>', '' ORDER BY line) || '</body></html>') AS digest FROM plain GROUP BY doc_id")
+def archive_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written as files in one commit, then their chapters read without inflating the rest."""
+    folder = f"{runs.Run(spark).folder}/books"
+    archive.written(standin.bound(plain(spark, sf_dir)), folder)
+    book = F.regexp_extract("book_id", "([0-9]+)[.]epub$", 1).cast("long").alias("book")
+    return archive.members(spark, folder, "OPS/c", ".xhtml").select(book, "path", F.md5("content").alias("digest"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN NULL ELSE (turn - 1) // 2 END AS parent, (turn + 1) % 2 AS child_no, length(text) % 7 = 0 AS blank FROM conversations),
+    p AS (SELECT conv_id, turn, [child_no] AS path, [turn] AS above FROM t WHERE parent IS NULL AND NOT blank
+        UNION ALL SELECT t.conv_id, t.turn, list_append(p.path, t.child_no), list_append(p.above, t.turn) FROM p JOIN t ON t.conv_id = p.conv_id AND t.parent = p.turn WHERE NOT t.blank),
+    n AS (SELECT conv_id, a, count(*) - 1 AS below FROM (SELECT conv_id, unnest(above) AS a FROM p) GROUP BY 1, 2)
+    SELECT p.conv_id, turn, len(path) - 1 AS depth, row_number() OVER (PARTITION BY p.conv_id ORDER BY path) - 1 AS lo, row_number() OVER (PARTITION BY p.conv_id ORDER BY path) - 1 + below AS hi, array_to_string(path, '.') AS path
+    FROM p JOIN n ON n.conv_id = p.conv_id AND n.a = turn""")
+def tree_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as trees, two answers to each, in preorder intervals; a turn that counts as blank goes with all below it."""
+    turns = read(spark, sf_dir, "conversations").where("length(text) % 7 != 0")
+    nodes = turns.select("conv_id", "turn", F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2")).alias("parent"), ((F.col("turn") + 1) % 2).alias("child_no"))
+    rows = trees.placed(nodes, ["conv_id"], "turn")
+    return rows.select("conv_id", "turn", F.col("depth").cast("long").alias("depth"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.array_join("path", ".").alias("path"))
+
+
+#: Turns as entries of contents: some have ids, some repeat, and the new ones stand in another order.
+ENTRIES = """old AS (SELECT conv_id, turn AS pos, CASE WHEN turn % 3 > 0 THEN role END AS id, CASE WHEN turn % 4 > 0 THEN length(text) % 5 END AS href FROM conversations),
+    new AS (SELECT conv_id, length(text) * 1000 + turn AS pos, CASE WHEN turn % 2 = 0 THEN role END AS id, CASE WHEN turn % 5 > 0 THEN length(text) % 5 END AS href FROM conversations WHERE turn % 7 <> 3)"""
+
+
+@query(f"""WITH {ENTRIES},
+    i AS (SELECT a.conv_id, a.pos, b.pos AS old_pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY pos) AS k FROM new WHERE id IS NOT NULL) a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, id ORDER BY pos) AS k FROM old WHERE id IS NOT NULL) b USING (conv_id, id, k)),
+    n1 AS (SELECT * FROM new WHERE NOT EXISTS (FROM i WHERE i.conv_id = new.conv_id AND i.pos = new.pos)), o1 AS (SELECT * FROM old WHERE NOT EXISTS (FROM i WHERE i.conv_id = old.conv_id AND i.old_pos = old.pos)),
+    h AS (SELECT a.conv_id, a.pos, b.pos AS old_pos FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, href ORDER BY pos) AS k FROM n1 WHERE href IS NOT NULL) a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id, href ORDER BY pos) AS k FROM o1 WHERE href IS NOT NULL) b USING (conv_id, href, k)),
+    n2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM n1 WHERE NOT EXISTS (FROM h WHERE h.conv_id = n1.conv_id AND h.pos = n1.pos)), o2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM o1 WHERE NOT EXISTS (FROM h WHERE h.conv_id = o1.conv_id AND h.old_pos = o1.pos))
+    SELECT conv_id, pos, old_pos FROM i UNION ALL SELECT conv_id, pos, old_pos FROM h UNION ALL SELECT n2.conv_id, n2.pos, o2.pos FROM n2 LEFT JOIN o2 USING (conv_id, k)""")
+def contents_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which old entry each new one goes on, by id, then by href, then by place, each old one once."""
+    turns = read(spark, sf_dir, "conversations")
+    old = turns.select("conv_id", F.col("turn").alias("at"), F.when(F.col("turn") % 3 > 0, F.col("role")).alias("id"), F.when(F.col("turn") % 4 > 0, F.length("text") % 5).alias("href"))
+    new = turns.where("turn % 7 <> 3").select("conv_id", (F.length("text") * 1000 + F.col("turn")).alias("at"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("id"), F.when(F.col("turn") % 5 > 0, F.length("text") % 5).alias("href"))
+    return trees.matched(old, new, ["conv_id"], ("id", "href")).select("conv_id", F.col("at").alias("pos"), F.col("old_at").alias("old_pos"))
+
+
 @query(f"WITH {PLAIN} SELECT DISTINCT cast(doc_id // 25 AS varchar) AS book_id, 'OPS/c' || cast(doc_id AS varchar) || '.xhtml' AS path FROM plain")
 def list_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by the start of their names, of archives that were put together and opened again."""
