@@ -16,6 +16,7 @@ from quire.functions import text as X
 from quire.operators import control, groups, islands, reassembly, runs, selection, serial, templates, translate, trees
 from quire.plans import standin
 from quire.sources import archive, markup, package
+from quire.streaming import answers
 
 FLAGSHIP = "budget_groups"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -579,6 +580,24 @@ def book_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.usage().select("kind", "requests", "input", "output", "total")
 
 
+@query("""SELECT conv_id, turn, cast(ceil(length(text) / 16.0) AS int) AS n_chunks, true AS complete, length(text) AS input, 2 * length(text) AS output, md5(text) AS digest FROM conversations WHERE length(text) > 0""")
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as answers in chunks of 16 characters that come out of order and some of them twice, put together in a stream."""
+    turns = read(spark, sf_dir, "conversations").where("length(text) > 0")
+    request = F.concat_ws(":", "conv_id", "turn")
+    chunks = turns.select(request.alias("request"), "text", F.explode(F.expr("sequence(0, cast(ceil(length(text) / 16.0) as int) - 1)")).alias("no"))
+    chunks = chunks.select("request", "no", F.expr("substr(text, 16 * no + 1, 16)").alias("text"), F.expr("16 * (no + 1) >= length(text)").alias("last"), F.expr("timestamp_seconds(1700000000 + no)").alias("ts"),
+        F.length("text").cast("long").alias("input"), (2 * F.length("text")).cast("long").alias("output"), F.expr("explode(if(no % 3 = 1, array(0, 1), array(0)))").alias("again"))
+    run = runs.Run(spark)
+    chunks.repartition(8, F.xxhash64("request", "no", "again") % 8).drop("again").write.parquet(f"{run.folder}/chunks")
+    feed = spark.readStream.schema(spark.read.parquet(f"{run.folder}/chunks").schema).option("maxFilesPerTrigger", 3).parquet(f"{run.folder}/chunks")
+    sink = answers.answers(feed).writeStream.format("parquet").option("path", f"{run.folder}/answers").option("checkpointLocation", f"{run.folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(answers.ANSWER).parquet(f"{run.folder}/answers")
+    part = lambda i: F.split("request", ":")[i].cast("long")
+    return done.select(part(0).alias("conv_id"), part(1).alias("turn"), "n_chunks", "complete", "input", "output", F.md5("answer").alias("digest"))
+
+
 # -- markup that SQL can read ----------------------------------------------------------------------
 
 

@@ -308,3 +308,42 @@ def test_context_in_part():
     cut = templates.trimmed(p, whole[0].score + whole[1].fixed + 1, False)
     assert cut.plain() == "one two ..." and [c.tag for c in cut.children] == ["b"]
     assert templates.trimmed(p, 1, True) is None
+
+
+# -- answers in chunks
+
+
+def chunk_rows(seed):
+    """Requests whose chunks come in any order, some twice, some never, some without an end."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(40):
+        n = rng.randint(1, 6)
+        for no in range(n):
+            if rng.random() < 0.9:
+                for _ in range(rng.choice([1, 1, 2])):
+                    rows.append((f"r{i}", no, rng.choice(["ab", "", None]) if no else "x", no == n - 1, 1000 + no, 10 + i if no == n - 1 else None, None))
+    texts = {}
+    rows = [(r, no, texts.setdefault((r, no), t), *rest) for r, no, t, *rest in rows]  # a chunk that comes again is the same
+    rng.shuffle(rows)
+    return rows
+
+
+def test_answers_in_a_stream_equal_those_in_a_batch(spark, tmp_path):
+    from quire.streaming import answers
+
+    schema = "request string, no int, text string, last boolean, at int, input long, output long"
+    rows = chunk_rows(3)
+    shaped = lambda df: df.select("request", "no", "text", "last", F.timestamp_seconds("at").alias("ts"), "input", "output")
+    batch = {r.request: r for r in answers.folded(shaped(spark.createDataFrame(rows, schema))).collect()}
+    for i in range(0, len(rows), 40):
+        shaped(spark.createDataFrame(rows[i : i + 40], schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    # News of another request long after: what was not complete is given up.
+    for at in (10_000, 20_000, 30_000):
+        shaped(spark.createDataFrame([("late", 0, "z", False, at, None, None)], schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    feed = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/feed").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
+    answers.answers(feed).writeStream.format("memory").queryName("folded").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("folded").where("request != 'late'").collect()
+    assert len({r.request for r in got}) == len(got) == len(batch)
+    assert {r.request: r for r in got} == batch
+    assert {r.complete for r in got} == {True, False}
