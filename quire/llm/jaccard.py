@@ -13,8 +13,8 @@ their group, which must also share as many segments as the bound demands. Signat
 copies) choose their least frequent crowded ones. For them the universe is parted once more: fingerprints
 that many of these sets have make one segment that is not indexed, each other one is a segment of its own.
 Pairs that share one of the latter are candidates. All other pairs have common fingerprints in common only,
-so few that most can't link by their numbers; those that can are held first against group leaders (those
-with the largest common part, and others by hash), then, as far as still in different components, against
+so few that most can't link by their numbers; those that can are held first against two group leaders (that
+with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, against
 the rest. Every candidate is verified on the whole sets.
 
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
@@ -553,22 +553,34 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     place = F.pmod(F.xxhash64("y", F.lit(LEADERS)), F.lit(LEADERS))
     orders = [F.max_by(F.struct("y", "yn", "yk"), F.when(place == r, F.col("yk") / F.col("yn"))) for r in range(LEADERS)]
     orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
-    lead = members.select("y", "yn", "yk", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.array_distinct(F.array_compact(F.array(*orders))).alias("l"))
-    tries = asks.select("x", "xn", "xk", F.col("largest").alias("sig")).join(lead, "sig").select("x", "xn", "xk", F.inline("l"))
-    tries = tries.where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4").select("x", "y").distinct()
-    links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
-    found = components(links)
-    labels = found.select(F.col("h1").alias("c"), "root")
-    of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
+    # Two leaders first, which connect most of a group; the others are asked only by sets that are still apart from them.
+    rounds = ([orders[0], orders[LEADERS]], [o for i, o in enumerate(orders) if i % LEADERS])
+    spread = members.select("y", "yn", "yk", F.explode("sigs").alias("sig")).groupBy("sig")
+    lead = table(spread.agg(*[F.array_distinct(F.array_compact(F.array(*o))).alias(f"l{i}") for i, o in enumerate(rounds)]), "jaccard-leaders")
     apart = "not (coalesce(rx = ry, false))"
+    found, labels = None, None
+    of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
+    for i in range(len(rounds)):
+        led = asks.select("x", "xn", "xk", F.col("largest").alias("sig"))
+        led = of(led, "x", "rx") if labels is not None else led.withColumn("rx", F.lit(None))
+        tries = led.join(lead.select("sig", f"l{i}"), "sig").select("x", "xn", "xk", "rx", F.inline(f"l{i}"))
+        tries = tries.where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4")
+        if labels is not None:
+            tries = of(tries, "y", "ry").where(apart)
+        tries = table(tries.select("x", "y").distinct(), "jaccard-tries")
+        if labels is not None and tries.isEmpty():
+            continue
+        links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
+        found = components(links)
+        labels = found.select(F.col("h1").alias("c"), "root")
+        # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
+        links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
     rest = of(asks, "x", "rx").withColumn("sig", F.explode("sigs")).drop("sigs").join(of(members, "y", "ry").withColumn("sig", F.explode("sigs")).drop("sigs"), "sig")
     rest = rest.where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y")
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
     left, right = rare.toDF("x", "rx", "e"), rare.toDF("y", "ry", "e")
     rest = table(rest.unionByName(left.join(right, "e").where(f"x > y and {apart}").select("x", "y")).distinct(), "jaccard-rest")
-    # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
-    stars = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
-    return stars if rest.isEmpty() else stars.unionByName(verified(rest, sets))
+    return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
 
 
 def _less(docs: DataFrame, gone: DataFrame) -> DataFrame:
