@@ -9,9 +9,10 @@ whole words.
 
 Tables are flat arrays over the benchmark's text: some eight bytes for each of its bytes. The benchmark
 is measured first: up to ``block_bytes`` of its text form one set of tables, sent to the executors; a
-larger one is searched in blocks of that size, each pass adding to the rows of the one before, so
-nothing is cut off and neither driver nor executors hold more than one block's tables. Defined cases: null texts and texts without a word have no words
-and are not contaminated; null items and items without words have no window; items that share an
+larger one is searched in blocks of that size, so nothing is cut off and neither driver nor executors
+hold more than one block's tables. Each block is a pass that reads the texts and writes only what it found,
+by checksum of the text; documents are written never, and joined with what all blocks found once. Defined
+cases: null texts and texts without a word have no words and are not contaminated; texts of any length are searched whole; null items and items without words have no window; items that share an
 item_id count as one, a null item_id as the empty string; null or repeated doc_ids are scanned row
 by row; empty tables are scanned or leave all clean; a column named like ``into`` is replaced.
 """
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import WORD_BYTES, sliced, table, unused
+from quire.llm.common import WORD_BYTES, marked, sliced, table, unused
 
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -35,6 +37,9 @@ FOUND = T.StructType([
     T.StructField("spans", T.ArrayType(T.LongType())),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
+KIND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
 def words_of(raw: bytes) -> list[bytes]:
     return raw.translate(WORD_BYTES).split()
 
@@ -138,37 +143,59 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, into
     rest = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = rest.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = size // block_bytes + 1
-    df = docs.drop(into)
-    for b in range(blocks):
-        part = rest.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else rest
-        tables = spark.sparkContext.broadcast(shift_tables([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window))
-        df = _scanned(df, tables, into, first=b == 0)
-        if blocks > 1:
-            df = table(df, "leaks")
-    return df
 
+    def tables(part: DataFrame):
+        return spark.sparkContext.broadcast(shift_tables([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], window))
 
-def _scanned(df: DataFrame, tables, into: str, first: bool) -> DataFrame:
-    fields = [f for f in df.schema.fields if f.name != into]
-    names = [f.name for f in fields]
+    if blocks == 1:
+        return _scanned(docs.drop(into), tables(rest), into)
+    # What a text holds depends on the text alone: each block gives rows for texts with hits, by their checksum, and documents are joined once.
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hits = []
+    for b in range(blocks):
+        part = _scanned(texts, tables(rest.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)), "leak").where("leak.n_hit > 0")
+        hits.append(table(part.groupBy(F.sha2("text", 256).alias("digest")).agg(F.first("leak").alias("leak")), "leak-hits"))
+    together = reduce(DataFrame.unionByName, hits).groupBy("digest").agg(
+        F.first("leak.n_words").alias("n_words"), F.flatten(F.collect_list("leak.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("leak.items")))).alias("items"))
+    found = table(together.mapInArrow(_joined_spans, T.StructType([T.StructField("digest", T.StringType()), T.StructField(into, FOUND)])), "leak-hits")
+    return _with_found(docs.drop(into), found, into)
+
+
+def _joined_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of all blocks as spans that don't touch, and how many words they hold."""
+    for batch in batches:
+        rows = []
+        for n, flat, items in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            spans = _merged([*zip(flat[::2], flat[1::2], strict=True)])
+            rows.append({"n_words": n, "n_hit": sum(spans[1::2]) - sum(spans[::2]), "spans": spans, "items": items})
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, KIND)], ["digest", "found"])
+
+
+def _with_found(docs: DataFrame, found: DataFrame, into: str) -> DataFrame:
+    """docs with what was found for their texts; only rows whose checksum may be among those found go into the join."""
+    # The row as one struct: no name that docs may have is in the way.
+    counted = _scanned(docs, docs.sparkSession.sparkContext.broadcast([]), into)
+    rows = counted.select(F.struct(*docs.columns).alias("doc"), F.col(into).alias("none"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("digest"))
+    rows = marked(rows, found, ["digest"])
+    joined = rows.where("_maybe").join(found.select("digest", F.col(into).alias("leak")), "digest", "left")
+    out = joined.select("doc.*", F.coalesce("leak", "none").alias(into))
+    return rows.where("not _maybe").select("doc.*", F.col("none").alias(into)).unionByName(out)
+
+
+def _scanned(df: DataFrame, tables, into: str) -> DataFrame:
+    names = df.columns
     text_at = names.index("text")
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             found = []
-            before = None if first else batch.column(len(names)).to_pylist()
-            for i, raw in enumerate(batch.column(text_at).cast(pa.binary())):
+            for raw in batch.column(text_at).cast(pa.binary()):
                 words = words_of(raw.as_py() or b"")
                 spans, items = search(words, tables.value)
-                if before:
-                    old = before[i]["spans"]
-                    spans = _merged([*zip(spans[::2], spans[1::2], strict=True), *zip(old[::2], old[1::2], strict=True)])
-                    items |= set(before[i]["items"])
                 found.append({"n_words": len(words), "n_hit": sum(spans[1::2]) - sum(spans[::2]), "spans": spans, "items": sorted(items)})
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, kind)], [*names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, KIND)], [*names, into])
 
-    return df.mapInArrow(run, T.StructType([*fields, T.StructField(into, FOUND)]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, FOUND)]))
 
 
 def leak_table(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
