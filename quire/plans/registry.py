@@ -490,6 +490,28 @@ def serial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serial.transform(scored(read(spark, sf_dir, "documents")), ["doc_id"], "line", "score", 500)
 
 
+@query(f"""WITH RECURSIVE {SCORED}, nums AS (SELECT doc_id, line, score, row_number() OVER w AS k, sum(score) OVER w AS upto FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+    fold AS (SELECT doc_id, k, score AS s, 0 AS group_no FROM nums WHERE k = 1
+        UNION ALL SELECT n.doc_id, n.k, CASE WHEN f.s + n.score > 465 THEN n.score ELSE f.s + n.score END, CASE WHEN f.s + n.score > 465 THEN f.group_no + 1 ELSE f.group_no END
+        FROM fold f JOIN nums n ON n.doc_id = f.doc_id AND n.k = f.k + 1),
+    g AS (SELECT doc_id, group_no, min(k) AS lo, max(k) AS hi FROM fold GROUP BY 1, 2),
+    c AS (SELECT g.*, a.upto - a.score AS before, b.upto AS upto FROM g JOIN nums a ON a.doc_id = g.doc_id AND a.k = g.lo JOIN nums b ON b.doc_id = g.doc_id AND b.k = g.hi),
+    x AS (SELECT c.doc_id, c.lo, c.hi, sum(n.score) AS total FROM c JOIN nums n ON n.doc_id = c.doc_id AND (n.k BETWEEN c.lo AND c.hi OR n.k < c.lo AND c.before - (n.upto - n.score) <= 18 OR n.k > c.hi AND n.upto - c.upto <= 17) GROUP BY ALL)
+    SELECT n.doc_id, n.line, cast(n.score AS varchar) || '/' || cast(x.total AS varchar) AS share FROM x JOIN nums n ON n.doc_id = x.doc_id AND n.k BETWEEN x.lo AND x.hi""")
+def serial_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of whole groups over paragraphs: each one's tokens, and those of its group with context."""
+    rows = scored(read(spark, sf_dir, "documents")).withColumn("share", F.col("score").cast("string"))
+    return serial.transformed(rows, ["doc_id"], "line", "score", "share", 500, lambda xs: [f"{x}/{sum(map(int, xs))}" for x in xs])
+
+
+@query("SELECT conv_id, role, cast(row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS int) AS no, string_agg(cast(turn AS varchar), ',' ORDER BY turn) AS turns, count(DISTINCT length(text)) + max(CASE WHEN text IS NULL THEN 1 ELSE 0 END) <= 1 AS same FROM conversations GROUP BY 1, 2")
+def turns_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation by role, roles in the order in which they come first, and whether all are of one length."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("turn").cast("string").alias("said"), F.length("text").alias("size"))
+    same = groups.all_same(turns, ["conv_id", "role"], "size")
+    return groups.nested(turns, ["conv_id"], "turn", "role", "said").join(same, ["conv_id", "role"]).select("conv_id", "role", "no", F.array_join("values", ",").alias("turns"), "same")
+
+
 @query()
 def page_block_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of the blocks of pages with their ids and scores. No SQL: a tree parser stands before it."""
@@ -571,6 +593,15 @@ def book_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation(spark, sf_dir).requests.select("book_id", "group_no", F.size("blocks").alias("n_blocks"), F.length("source").cast("long").alias("n_chars"), F.md5("source").alias("digest"))
 
 
+@query(f"""WITH {PLAIN} SELECT cast(doc_id // 25 AS varchar) AS book_id, cast(1 + dense_rank() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id) AS int) AS task_no, cast(row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS int) AS block_no,
+    (doc_id // 25) % 2 = 0 AS answered FROM plain UNION ALL SELECT DISTINCT cast(doc_id // 25 AS varchar), 1, 0, (doc_id // 25) % 2 = 0 FROM plain""")
+def book_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block of every book in its place; a hook takes the answers of odd books away, whose blocks are null then."""
+    keep_even = translate.Hooks(filled=lambda f: f.withColumn("best", F.when(F.col("book_id").cast("long") % 2 == 0, F.col("best")).otherwise(F.slice("best", 1, 0))))
+    t = translate.Translation(standin.bound(plain(spark, sf_dir)), standin.MODEL, translate.Settings(budget=6000), hooks=keep_even)
+    return t.mappings().select("book_id", "task_no", "block_no", F.col("answer").isNotNull().alias("answered"))
+
+
 @query(f"""WITH RECURSIVE {BLOCKS}, asked AS (SELECT DISTINCT source FROM sized)
     SELECT 'translate' AS kind, count(*) AS requests, cast(sum(length(source)) AS bigint) AS input, cast(sum(length(source)) AS bigint) AS output, cast(sum(2 * length(source)) AS bigint) AS total FROM asked
     UNION ALL SELECT 'fill', cast(sum(n_blocks % 3 + 1) AS bigint), 0, 0, cast(sum(n_blocks * (n_blocks % 3 + 1)) AS bigint) FROM sized""")
