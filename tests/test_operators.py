@@ -134,3 +134,30 @@ def test_scorecard_and_audit(spark):
     block = '```xml\n<xml id="1"><p id="1">a<b id="2"/></p><i id="2"/></xml>\n```'
     logs = spark.createDataFrame([("one", f"x\n{block}\ny\n{block}"), ("two", '```xml\n<xml><p id="1"/></xml>\n```'), ("three", None)], "log string, text string")
     assert [tuple(r) for r in islands.duplicate_ids(logs, "log", "text").collect()] == [("one", "2", 2)]
+
+
+def test_incisions_of_neighbours(spark):
+    """A border that leaves inline elements only costs one for each, one that leaves blocks three for each of those too."""
+    rows = spark.createDataFrame([(3, 2, 3), (3, 2, 2), (3, 2, 1), (5, 3, 0), (2, 2, 2)], "depth int, block int, common int")
+    got = [r.c for r in rows.select(islands.incision_of(F.col("depth"), F.col("block"), F.col("common")).alias("c")).collect()]
+    assert got == [0, 1, 4, 11, 0]
+
+
+def test_series_by_groups(spark):
+    rows = spark.createDataFrame([(d, i, 3 + i % 4, str(i)) for d in range(3) for i in range(30)], "doc int, at int, score int, value string")
+    got = serial.transformed(rows, ["doc"], "at", "score", "value", 40, lambda xs: [f"{xs[0]}-{x}" for x in xs], bound=2).collect()
+    assert sorted((r.doc, r["at"], r.value.split("-")[1]) for r in got) == [(d, i, str(i)) for d in range(3) for i in range(30)]
+    firsts = {(r.doc, r.value.split("-")[0]) for r in got}
+    assert 6 < len(firsts) < 45
+    numbers = serial.transformed(rows, ["doc"], "at", "score", "score", 40, lambda xs: [x * 2 for x in xs], "int").collect()
+    assert sorted(r.score for r in numbers) == sorted(2 * r.score for r in rows.collect())
+    with pytest.raises(Exception, match="an item for each"):
+        serial.transformed(rows, ["doc"], "at", "score", "value", 40, lambda xs: xs[1:]).collect()
+    assert serial.transformed(rows.limit(0), ["doc"], "at", "score", "value", 40, lambda xs: xs).count() == 0
+
+
+def test_nested_and_all_same(spark):
+    rows = spark.createDataFrame([("k", 0, "b", 1), ("k", 1, "a", 2), ("k", 2, "b", 3), ("l", 5, None, None), ("l", 6, None, None), ("m", 7, "x", 1), ("m", 8, "x", None)], "key string, at int, by string, value int")
+    got = sorted(((r.key, r.no, r.by, list(r["values"])) for r in groups.nested(rows, ["key"], "at", "by", "value").collect()), key=str)
+    assert got == [("k", 0, "b", [1, 3]), ("k", 1, "a", [2]), ("l", 0, None, [None, None]), ("m", 0, "x", [1, None])]
+    assert {r.key: r.same for r in groups.all_same(rows, ["key"], "value").collect()} == {"k": False, "l": True, "m": False}
