@@ -10,7 +10,8 @@ updated. A leaf that has grown too long makes the tree be built anew.
 Trees are kept as two arrays (characters and tokens by leaf), so a later feed of edits goes on from
 them without encoding the text again. Defined cases: null text is empty, null edits are none; edits
 are applied in order, each on the text that the one before left; positions and lengths are cut to the
-text; null or repeated doc_ids are counted row by row; an empty table gives no rows.
+text; null or repeated doc_ids are counted row by row; an empty table gives no rows;
+texts of any length are counted whole.
 """
 
 from __future__ import annotations

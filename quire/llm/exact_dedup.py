@@ -11,7 +11,8 @@ rows that differ (a collision of digests) are grouped by their whole text instea
 Only DataFrame and SQL functions are used. Defined cases: null text counts as empty; texts of spaces
 only normalise to one space, which differs from empty; rows with a null doc_id form groups as others
 do, and a null stays only where the whole group has none; repeated rows (same doc_id and text) are
-each returned, one of them kept; an empty table gives an empty result; other columns are ignored.
+each returned, one of them kept; texts of any length are compared whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

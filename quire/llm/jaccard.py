@@ -20,7 +20,8 @@ the rest. Every candidate is verified on the whole sets.
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
 without words have an empty set and link with nothing; fewer words than the width make one shingle; a
 null doc_id takes part and yields to any other as component_id; repeated rows are one class; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored; texts of any length bring all their shingles; a tie in
+similarity at the bound links.
 """
 
 from __future__ import annotations

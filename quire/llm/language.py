@@ -9,7 +9,8 @@ language with the largest share, its share the score.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is everything
 if no row has a language to learn from; a null doc_id is neither held out nor learned from; ties go
-to the first language by name; rows come back one for one; extra columns are ignored.
+to the first language by name; rows come back one for one; texts of any length are read
+whole; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ rules too; their places are counted and their labels always stay.
 
 Everything happens within the row by higher-order functions, in time linear in the text: no
 shuffle, no Python. Defined cases: null text is empty (0 words, no labels, score 0); rows with null
-or repeated doc_id are each returned; other columns are ignored.
+or repeated doc_id are each returned; texts of any length are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations

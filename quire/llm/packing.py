@@ -12,7 +12,8 @@ joined by sort and merge as their number grows with the tasks, so no task holds
 common length and nothing that grows with the corpus is broadcast.
 
 Defined cases: null text is empty and packs as its closing id alone; null or repeated doc_ids are
-packed row by row; an empty table gives no rows; other columns are ignored.
+packed row by row; texts of any length are cut into pieces and packed whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ sense.
 
 The result doesn't depend on how documents are dealt over tasks. Defined cases: null text is empty;
 texts shorter than ``size`` bytes keep everything; repeated rows (same doc_id and text) are occurrences
-of their own; null doc_ids are rows as others; an empty table gives no rows; other columns are ignored.
+of their own; null doc_ids are rows as others; an empty table gives no rows; texts of any
+length are read whole, in chunks that share no window start; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ fills the gaps of the others.
 A hub may hold a third of all rows, more than a shard: its rows fill the shards it can, and joins and
 ranks split it (adaptive joins; ranks by hash buckets). Defined cases: null text has size 1 and
 checksum 0; null texts are linked with one another; null or repeated doc_ids are placed row by row; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; other columns are ignored;
+texts of any length count by their bytes; of shards that draw a hub equally one is taken by hash.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ bounded sample of labelled rows (``fit_rows``).
 
 Defined cases: null and empty texts match nothing and get the base score; a null doc_id is not held
 out and, having no label, is never learned from; of several labels of one doc_id the highest counts;
-without any toxic label the lexicon is empty and all scores are low; rows come back one for one; a
+without any toxic label the lexicon is empty and all scores are low; texts of any
+length are scored whole; rows come back one for one; a
 column named like ``into`` is replaced.
 """
 
