@@ -455,7 +455,7 @@ def bit_map(df: DataFrame, column: str, bits: int = MAP_BITS):
     at = F.pmod(F.col(column), F.lit(bits)) + 1
     found = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in found.toLocalIterator():
+    for r in found.collect():  # blocks of 4 KiB, as many as the map has at most
         part = np.frombuffer(bytes(r["m"]), np.uint8)
         begin = (r["b"] - 1) * 4096
         out[begin : begin + len(part)] = part[: len(out) - begin]
@@ -469,7 +469,7 @@ def level_maps(counts: DataFrame, cap: int):
     rows = counts.where(F.col("n") >= 2 * cap).select(F.explode(F.sequence(F.lit(1), top)).alias("level"), at.alias("at"))
     found = rows.groupBy("level", F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("m"))
     out = [np.zeros(LEVEL_BITS // 8, np.uint8) for _ in range(LEVELS)]
-    for r in found.toLocalIterator():
+    for r in found.collect():  # blocks of 4 KiB, as many as the map has at most
         part = np.frombuffer(bytes(r["m"]), np.uint8)
         begin = (r["b"] - 1) * 4096
         own = out[r["level"] - 1]
