@@ -494,18 +494,29 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """h1, h2, root: the least class of each class's component; classes without links aren't listed."""
-    edges = links.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("u"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("v"))
-    edges = table(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "cc-edges")
-    labels = table(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")), "cc-labels")
+    """h1, h2, root: the least class of each class's component; classes without links aren't listed.
+
+    Large and small stars in turn. Each edge is one row, from the greater class u to the lesser v, and no
+    step makes more rows than there are edges, so a group's joins grow with its links and not with their square.
+    """
+    a, b = (F.struct(F.col(f"{p}1").alias("h1"), F.col(f"{p}2").alias("h2")) for p in "ab")
+    edges = table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc-edges")
     while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("l")), "v").groupBy("u").agg(F.min("l").alias("l"))
-        better = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        new = table(better.join(jump, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "cc-labels")
-        if new.where("label <> old").isEmpty():
-            return new.select("u.h1", "u.h2", F.col("label").alias("root"))
-        labels = new.select("u", "label")
+        # Large star: what is greater than v goes to the least that v has; small star: what u has goes to the least of it.
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(least.toDF("v", "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = table(large.distinct(), "cc-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        others = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = table(others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc-small")
+        dropped(edges, large)
+        # Stars alone are left once nobody has two lesser classes and no centre has one.
+        several = small.groupBy("u").agg((F.min("v") < F.max("v")).alias("two")).where("two").select("u")
+        if several.unionByName(small.select("u").join(small.select(F.col("v").alias("u")), "u", "left_semi")).isEmpty():
+            roots = small.select("v").distinct()
+            both = small.unionByName(roots.select(F.col("v").alias("u"), "v"))
+            return both.select("u.h1", "u.h2", F.col("v").alias("root"))
+        edges = small
 
 
 def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
