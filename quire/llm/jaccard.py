@@ -10,12 +10,13 @@ The allocation of a band is chosen by cost: rows to shuffle and candidates to ex
 Signatures that occur once drop out in a count by hash. Signatures of few sets give candidates within
 their group, which must also share as many segments as the bound demands. Signatures of many sets
 (``CAP``) are left aside as long as a set has enough others; the sets that haven't (large groups of near
-copies) choose their least frequent crowded ones. For them the universe is parted once more: fingerprints
-that many of these sets have make one segment that is not indexed, each other one is a segment of its own.
-Pairs that share one of the latter are candidates. All other pairs have common fingerprints in common only,
-so few that most can't link by their numbers; those that can are held first against two group leaders (that
-with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, against
-the rest. Every candidate is verified on the whole sets.
+copies) choose their least frequent crowded ones and are held against two leaders of such a group first.
+Crowded signatures whose sets are all connected by then are settled. For the sets of the others the
+universe is parted once more: fingerprints that many of these sets have make one segment that is not
+indexed, each other one is a segment of its own. Pairs that share one of the latter are candidates. All
+other pairs have common fingerprints in common only, so few that most can't link by their numbers; those
+that can are held against more leaders that they aren't connected with, then, as far as still in different
+components, against the rest. Every candidate is verified on the whole sets.
 
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
 without words have an empty set and link with nothing; fewer words than the width make one shingle; a
@@ -360,15 +361,16 @@ def _signature_rows(width: int, often, hot, levels):
 
 
 def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
-    """Sets (y, yn, hot) with those of their crowded signatures that any set asks for."""
+    """Rows with those of their signatures (sigs) that are in a map, and few others; rows that have none left go."""
     for batch in sliced(batches):
-        rows = []
-        for y, yn, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            sigs = np.array(hot, np.int64)
-            sigs = sigs[_in_map(asked.value, sigs.view(U))]
-            if len(sigs):
-                rows.append((y, yn, sigs))
-        yield _batch(rows, [("y", pa.int64()), ("yn", pa.int32()), ("sigs", pa.list_(pa.int64()))])
+        at = batch.schema.names.index("sigs")
+        sigs = batch.column(at).flatten().to_numpy()
+        keep = _in_map(asked.value, sigs.view(U))
+        ends = np.cumsum(batch.column(at).value_lengths().to_numpy())
+        offsets = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
+        left = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sigs[keep]))
+        columns = [left if i == at else c for i, c in enumerate(batch.columns)]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(np.diff(offsets) > 0))
 
 
 def sketch_of(prints: np.ndarray) -> bytes:
@@ -519,6 +521,30 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
+def _connected(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links as one edge for each class, to its root, and the roots (c, root) by first halves of classes."""
+    found = components(links)
+    stars = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
+    return stars, found.select(F.col("h1").alias("c"), "root")
+
+
+def _unsettled(asks: DataFrame, members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """asks and members with the crowded signatures whose sets aren't all in one component; sets without such go.
+
+    A signature whose askers and members are connected can't bring a link that matters. Its sets meet in
+    sums of their roots, both halves, and a map of bits says which are left; it errs towards leaving them.
+    """
+    rooted = lambda df, c: df.join(labels.withColumnRenamed("c", c), c, "left").select(F.explode("sigs").alias("sig"), F.coalesce("root.h1", c).alias("r1"), F.coalesce("root.h2", F.lit(0)).alias("r2"))
+    roots = rooted(asks, "x").unionByName(rooted(members, "y")).groupBy("sig")
+    roots = roots.agg(*[f(r).alias(f"{n}_{r}") for r in ("r1", "r2") for n, f in (("lo", F.min), ("hi", F.max))])
+    apart = bit_map(roots.where("lo_r1 <> hi_r1 or lo_r2 <> hi_r2"), "sig", 1 << 24)
+    left = [df.select(*names).mapInArrow(lambda b: _asked(b, apart), kinds) for df, names, kinds in (
+        (asks, ["x", "xn", "sigs", "largest"], "x long, xn int, sigs array<long>, largest long"),
+        (members, ["y", "yn", "sigs"], "y long, yn int, sigs array<long>"),
+    )]
+    return table(left[0], "jaccard-asks"), table(left[1], "jaccard-members")
+
+
 def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     """Edges between classes that connect all that exact comparison would connect, and no others. texts: one column text."""
     counts = texts.mapInArrow(_signature_counts(width), "sig long, n int").groupBy("sig").agg(F.sum("n").alias("n"))
@@ -538,7 +564,7 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     asks = crowd_rows.where("size(asks) > 0").groupBy(F.col("c").alias("x"), F.col("n").alias("xn")).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("sigs"), F.min("largest").alias("largest"))
     asks = table(asks, "jaccard-asks")
     asked = bit_map(asks.select(F.explode("sigs").alias("sig")), "sig", 1 << 24)
-    members = crowd_rows.where("own").select(F.col("c").alias("y"), F.col("n").alias("yn"), "hot").mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sigs array<long>")
+    members = crowd_rows.where("own").select(F.col("c").alias("y"), F.col("n").alias("yn"), F.col("hot").alias("sigs")).mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sigs array<long>")
     members = table(members.groupBy("y", "yn").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs")), "jaccard-members")
     dropped(rows, counts)
     named = [near.select("x"), near.select("y"), asks.select("x"), members.select("y")]
@@ -549,7 +575,17 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     links = verified(near, sets)
     if asks.isEmpty():
         return links
-    # One universe for all sets in question: their common fingerprints, and the others one by one. The maps
+    # Two leaders for each set first, which connect most of a group: that with the most crowded signatures, and another by hash.
+    close = "x <> y and yn * 5 >= xn * 4 and xn * 5 >= yn * 4"
+    spread = members.select(F.struct("y", "yn").alias("m"), "y", F.size("sigs").alias("w"), F.explode("sigs").alias("sig")).groupBy("sig")
+    lead = spread.agg(F.array_distinct(F.array(F.max_by("m", "w"), F.min_by("m", F.xxhash64("y", F.lit(0))))).alias("l"))
+    tries = asks.select("x", "xn", F.col("largest").alias("sig")).join(lead, "sig").select("x", "xn", F.inline("l")).where(close)
+    tries = table(tries.select("x", "y").distinct(), "jaccard-tries")
+    links, labels = _connected(links.unionByName(verified(tries, sets)))
+    asks, members = _unsettled(asks, members, labels)
+    if asks.isEmpty():
+        return links
+    # One universe for all sets still in question: their common fingerprints, and the others one by one. The maps
     # err towards common only, so a fingerprint outside of them is in ``cap`` sets at most.
     crowd = bit_map(asks.select(F.col("x").alias("h1")).union(members.select("y")), "h1", 1 << 24)
     elements = sets.select("h1", "prints").mapInArrow(_element_counts(crowd), "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
@@ -562,31 +598,19 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     members = members.join(shares.toDF("y", "yk"), "y").where("5 * yk >= 4 * yn")
     # Sets that share none but common fingerprints share the lesser number of those at most.
     able = "x <> y and 9 * least(xk, yk) >= 4 * (xn + yn)"
+    apart = "not (coalesce(rx = ry, false))"
+    of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
+    # More leaders, for sets that are still apart from them.
     place = F.pmod(F.xxhash64("y", F.lit(LEADERS)), F.lit(LEADERS))
     orders = [F.max_by(F.struct("y", "yn", "yk"), F.when(place == r, F.col("yk") / F.col("yn"))) for r in range(LEADERS)]
-    orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
-    # Two leaders first, which connect most of a group; the others are asked only by sets that are still apart from them.
-    rounds = ([orders[0], orders[LEADERS]], [o for i, o in enumerate(orders) if i % LEADERS])
+    orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(1, LEADERS)]
     spread = members.select("y", "yn", "yk", F.explode("sigs").alias("sig")).groupBy("sig")
-    lead = table(spread.agg(*[F.array_distinct(F.array_compact(F.array(*o))).alias(f"l{i}") for i, o in enumerate(rounds)]), "jaccard-leaders")
-    apart = "not (coalesce(rx = ry, false))"
-    found, labels = None, None
-    of = lambda df, c, to: df.join(labels.select(F.col("c").alias(c), F.col("root").alias(to)), c, "left")
-    for i in range(len(rounds)):
-        led = asks.select("x", "xn", "xk", F.col("largest").alias("sig"))
-        led = of(led, "x", "rx") if labels is not None else led.withColumn("rx", F.lit(None))
-        tries = led.join(lead.select("sig", f"l{i}"), "sig").select("x", "xn", "xk", "rx", F.inline(f"l{i}"))
-        tries = tries.where(f"{able} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4")
-        if labels is not None:
-            tries = of(tries, "y", "ry").where(apart)
-        tries = table(tries.select("x", "y").distinct(), "jaccard-tries")
-        if labels is not None and tries.isEmpty():
-            continue
-        links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
-        found = components(links)
-        labels = found.select(F.col("h1").alias("c"), "root")
-        # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
-        links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
+    lead = spread.agg(F.array_distinct(F.array_compact(F.array(*orders))).alias("l"))
+    led = of(asks.select("x", "xn", "xk", F.col("largest").alias("sig")), "x", "rx")
+    tries = led.join(lead, "sig").select("x", "xn", "xk", "rx", F.inline("l")).where(f"{able} and {close}")
+    tries = table(of(tries, "y", "ry").where(apart).select("x", "y").distinct(), "jaccard-tries")
+    if not tries.isEmpty():
+        links, labels = _connected(links.unionByName(verified(tries, sets)))
     rest = of(asks, "x", "rx").withColumn("sig", F.explode("sigs")).drop("sigs").join(of(members, "y", "ry").withColumn("sig", F.explode("sigs")).drop("sigs"), "sig")
     rest = rest.where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y")
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
