@@ -14,8 +14,8 @@ copies) choose their least frequent crowded ones. For them the universe is parte
 that many of these sets have make one segment that is not indexed, each other one is a segment of its own.
 Pairs that share one of the latter are candidates. All other pairs have common fingerprints in common only,
 so few that most can't link by their numbers; those that can are held first against two group leaders (that
-with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, against
-the rest. Every candidate is verified on the whole sets.
+with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, by a few
+pairs of any two components, and what is apart after that whole. Every candidate is verified on the whole sets.
 
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
 without words have an empty set and link with nothing; fewer words than the width make one shingle; a
@@ -587,11 +587,27 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
         labels = found.select(F.col("h1").alias("c"), "root")
         # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
         links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
-    rest = of(asks, "x", "rx").withColumn("sig", F.explode("sigs")).drop("sigs").join(of(members, "y", "ry").withColumn("sig", F.explode("sigs")).drop("sigs"), "sig")
-    rest = rest.where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4").select("x", "y")
-    rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
-    left, right = rare.toDF("x", "rx", "e"), rare.toDF("y", "ry", "e")
-    rest = table(rest.unionByName(left.join(right, "e").where(f"x > y and {apart}").select("x", "y")).distinct(), "jaccard-rest")
+
+    def between() -> DataFrame:
+        """Pairs (x, y) left between different components, and these components' least classes."""
+        asking, asked_ = (of(df, c, f"r{c}").withColumn("sig", F.explode("sigs")).drop("sigs") for df, c in ((asks, "x"), (members, "y")))
+        near = asking.join(asked_, "sig").where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4")
+        rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
+        same = rare.toDF("x", "rx", "e").join(rare.toDF("y", "ry", "e"), "e").where(f"x > y and {apart}")
+        pairs = near.select("x", "y", "rx", "ry").unionByName(same.select("x", "y", "rx", "ry"))
+        ends = [F.coalesce(F.col(f"r{c}"), F.struct(F.col(c).alias("h1"), F.lit(0).cast("long").alias("h2"))) for c in "xy"]
+        return pairs.select("x", "y", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+
+    # A few pairs of any two components first: one link of them settles all others. What is still apart then is held whole.
+    few = [F.min_by(F.struct("x", "y"), F.xxhash64("x", "y", F.lit(r))) for r in range(LEADERS)]
+    few = between().groupBy("low", "high").agg(F.array_distinct(F.array(*few)).alias("l")).select(F.inline("l")).distinct()
+    few = table(few, "jaccard-few")
+    if few.isEmpty():
+        return links
+    links = table(links.unionByName(verified(few, sets)), "jaccard-links")
+    found = components(links)
+    labels = found.select(F.col("h1").alias("c"), "root")
+    rest = table(between().select("x", "y").distinct().join(few, ["x", "y"], "left_anti"), "jaccard-rest")
     return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
 
 
