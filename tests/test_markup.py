@@ -230,3 +230,12 @@ def test_formulas_that_are_blocks_are_not_said_twice():
 
 def test_normal_text():
     assert normal(" \n\t") is None and normal("a \n b ") == "a b "
+
+
+def test_frames_are_bounded_whatever_comes_in():
+    from quire.sources.markup import framed, sliced
+
+    frames = list(framed(((i,) for i in range(10)), ["x"], 4))
+    assert [len(f) for f in frames] == [4, 4, 2] and [x for f in frames for x in f["x"]] == list(range(10))
+    assert [list(f["x"]) for f in sliced(frames, 3)] == [[0, 1, 2], [3], [4, 5, 6], [7], [8, 9]]
+    assert list(framed([], ["x"])) == []
