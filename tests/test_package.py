@@ -152,3 +152,25 @@ def test_contents_are_renumbered(spark):
     rows = spark.createDataFrame([("b", 2, bytearray(NCX.encode()))], "book_id string, version int, content binary")
     raw = bytes(package.renumbered(rows).first().content).decode()
     assert [raw.count(f'playOrder="{i}"') for i in (1, 2, 7)] == [1, 1, 0]
+
+
+def test_members_are_evaluated_once_and_short_blocks_keep_their_edges(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.operators.translate import Translation
+    from quire.plans import standin
+
+    lines = spark.createDataFrame([(1, 0, " a short line "), (1, 1, "x"), (1, 2, " a line that is surely longer than thirty-five characters ")], "doc_id long, line int, text string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    members = standin.bound(lines)
+    t = Translation(members.mapInPandas(counted, members.schema), standin.MODEL)
+    page = t.result().where("path = 'OPS/c1.xhtml'").select(F.decode("content", "utf-8").alias("t")).first().t
+    t.attempts().collect()
+    assert seen.value == 5  # four members of the book and a chapter, each read once for all stages
+    assert "<p> A SHORT LINE </p>" in page and "<p>X</p>" in page and "<p> A LINE THAT IS SURELY LONGER THAN THIRTY-FIVE CHARACTERS </p>" in page
