@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from quire.sources.package import MEMBERS
 
 #: Compressed bytes that a task reads; a larger archive is shared out by its entries.
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 16 << 20
 
 
 def local(path: str) -> str:
