@@ -489,8 +489,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a, b = (lambda what, p=p: sets.select(F.col("h1").alias(f"{p}1"), F.col("h2").alias(f"{p}2"), F.col(what).alias(f"{what[0]}{p}")) for p in "ab")
     able = pairs.join(a("sketch"), F.col("x") == F.col("a1")).join(b("sketch"), F.col("y") == F.col("b1")).select("a1", "a2", "b1", "b2", "sa", "sb")
     able = table(able.mapInArrow(_able, "a1 long, a2 long, b1 long, b2 long"), "jaccard-able")
+    # Only the sets of these pairs go into the joins' shuffles.
+    sets = marked(sets, able.select(F.col("a1").alias("h1")).union(able.select("b1")), ["h1"]).where("_maybe")
     full = able.join(a("prints"), ["a1", "a2"]).join(b("prints"), ["b1", "b2"]).select("a1", "a2", "b1", "b2", "pa", "pb")
-    return table(full.mapInArrow(_verify, "a1 long, a2 long, b1 long, b2 long"), "jaccard-links")
+    links = table(full.mapInArrow(_verify, "a1 long, a2 long, b1 long, b2 long"), "jaccard-links")
+    dropped(able)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
