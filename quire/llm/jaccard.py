@@ -12,8 +12,10 @@ their group, which must also share as many segments as the bound demands. Signat
 (``CAP``) are left aside as long as a set has enough others; the sets that haven't (large groups of near
 copies) choose their least frequent crowded ones. For them the universe is parted once more: fingerprints
 that many of these sets have make one segment that is not indexed, each other one is a segment of its own.
-Pairs that share one of the latter are candidates. All other pairs have common fingerprints in common only,
-so few that most can't link by their numbers; those that can are held first against two group leaders (that
+Pairs that share one of the latter are candidates; with fingerprints in one order, those of one set alone first and common ones last,
+linked sets share one within the first fifth of each and one more, so no others are looked at. All other pairs have common fingerprints in common only,
+so few that most can't link by their numbers, and all else that a set has is a difference, so that it asks by fewer segments; those
+that can link are held first against two group leaders (that
 with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, by a few
 pairs of any two components, and what is apart after that whole. Every candidate is verified on the whole sets.
 
@@ -192,10 +194,15 @@ def band_of(n: int) -> int:
     return band
 
 
+def placed(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the fingerprints in a band, and the segment of each."""
+    h = mixed(prints ^ U(plan.band * 0x51ED27 + 1))
+    return h, ((h >> U(32)) % U(plan.segments)).astype(np.int64)
+
+
 def signatures(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, int]:
     """Signatures, the segment of each, and the sum of allowances they stand for."""
-    h = mixed(prints ^ U(plan.band * 0x51ED27 + 1))
-    segment = ((h >> U(32)) % U(plan.segments)).astype(np.int64)
+    h, segment = placed(prints, plan)
     # Sixteen bits sort in linear time.
     order = np.argsort(segment.astype(np.uint16) if plan.segments <= 1 << 16 else segment, kind="stable")
     segment, values = segment[order], mixed(h[order])
@@ -292,6 +299,40 @@ LEVEL_BITS = 1 << 21
 CROWD = "c: long, n: int, own: boolean, asks: array<long>, largest: long, hot: array<long>"
 
 
+def _least_frequent(sigs: np.ndarray, segments: np.ndarray, worth: np.ndarray, lack: int, levels) -> np.ndarray:
+    """Which signatures make up the least frequent segments that are worth ``lack`` together; worth: of each signature's segment."""
+    level = sum(_in_map(m, sigs).astype(np.int64) for m in levels.value)
+    heads, at, inverse = np.unique(segments, return_index=True, return_inverse=True)
+    size, worth = np.bincount(inverse, 2.0**level, len(heads)), worth[at]
+    cost = np.divide(size, worth, out=np.full(len(heads), np.inf), where=worth > 0)
+    order = np.lexsort((heads, cost))
+    chosen = np.zeros(len(heads), bool)
+    chosen[order[: np.searchsorted(np.cumsum(worth[order]), lack) + 1]] = True
+    return chosen[inverse]
+
+
+def asks_by_common(prints: np.ndarray, often: np.ndarray, several: np.ndarray, hot: np.ndarray, levels) -> np.ndarray:
+    """The crowded signatures by which a set must ask for sets that share none but its common fingerprints (``often``, a mask).
+
+    All its others are differences then. A segment stands for its allowance less the differences that lie in
+    it, so that fewer of the segments chosen by ``_crowd_row`` make up for the differences that are left.
+    """
+    found = [np.zeros(0, U)]
+    for plan, sigs, segments, have, need in entries(prints):
+        full = _in_map(several, sigs) & _in_map(hot, sigs)
+        crowded, allow = np.unique(segments[full]), 2 if plan.deletions else 1
+        if (lack := need - have + allow * len(crowded)) <= 0:
+            continue
+        left = np.maximum(allow - np.bincount(placed(prints[~often], plan)[1], minlength=plan.segments), 0)
+        others = np.setdiff1d(np.arange(plan.segments) if plan.deletions else segments, crowded)
+        sigs, segments = sigs[full], segments[full]
+        take = _least_frequent(sigs, segments, np.full(len(sigs), allow), lack, levels)
+        if (lack := need - int((~often).sum()) - int(left[others].sum())) > 0:
+            sigs, segments = sigs[take], segments[take]
+            found.append(sigs[_least_frequent(sigs, segments, left[segments], lack, levels)])
+    return np.unique(np.concatenate(found))
+
+
 def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segments: np.ndarray, lack: int, levels) -> tuple:
     """What a set asks and offers in a band by its crowded signatures.
 
@@ -300,14 +341,8 @@ def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segment
     """
     asks, largest = np.zeros(0, U), None
     if lack > 0:
-        level = sum(_in_map(m, sigs).astype(np.int64) for m in levels.value)
-        heads, inverse = np.unique(segments, return_inverse=True)
-        size = np.bincount(inverse, 2.0**level, len(heads))
-        allow = 2 if plan.deletions else 1
-        chosen = np.zeros(len(heads), bool)
-        chosen[np.lexsort((heads, size))[: -(-lack // allow)]] = True
-        take = chosen[inverse]
-        asks, level = sigs[take], level[take]
+        asks = sigs[_least_frequent(sigs, segments, np.full(len(sigs), 2 if plan.deletions else 1), lack, levels)]
+        level = sum(_in_map(m, asks).astype(np.int64) for m in levels.value)
         largest = int(asks[np.lexsort((asks, -level))[0]].view(np.int64))
     return h1, n, own, np.unique(asks).view(np.int64), largest, np.unique(sigs).view(np.int64) if own else np.zeros(0, np.int64)
 
@@ -420,9 +455,19 @@ def _element_counts(crowd):
     return run
 
 
-def _parts(crowd, common, several):
-    """Per set of the crowd how many of its fingerprints are common, and those of the others that are not its alone."""
-    kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64()))]
+def first_rare(prints: np.ndarray, often: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The fingerprints that are neither common (``often``) nor the set's alone, as far as linked sets that share any share one of them.
+
+    In an order of all, those of one set alone first, common ones last, the first that two linked sets share has
+    no more before it in either than a set may lack, a fifth. So each brings what is left of its fifth and one more.
+    """
+    n, alone = len(prints), int((~often & ~shared).sum())
+    return prints[~often & shared][: max(0, n - -(-4 * n // 5) + 1 - alone)]
+
+
+def _parts(crowd, asking, common, several, often, hot, levels):
+    """Per set of the crowd how many of its fingerprints are common, the rare ones to share, and the signatures to ask by."""
+    kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -431,9 +476,12 @@ def _parts(crowd, common, several):
             for h1, raw, take in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), inside.tolist(), strict=True):
                 if take:
                     prints = np.frombuffer(raw, U)
-                    often = _in_map(common.value, prints)
-                    rare = prints[~often]
-                    rows.append((h1, int(often.sum()), rare[_in_map(several.value, rare)].view(np.int64)))
+                    held = _in_map(common.value, prints)
+                    asks = np.zeros(0, U)
+                    if 5 * held.sum() >= 4 * len(prints) and _in_map(asking.value, np.array([h1], np.int64).view(U))[0]:
+                        asks = asks_by_common(prints, held, often.value, hot.value, levels)
+                    rare = first_rare(prints, held, _in_map(several.value, prints))
+                    rows.append((h1, int(held.sum()), rare.view(np.int64), asks.view(np.int64)))
             yield _batch(rows, kinds)
 
     return run
@@ -559,11 +607,12 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     elements = sets.select("h1", "prints").mapInArrow(_element_counts(crowd), "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
     elements = table(elements.where("n > 1"), "jaccard-elements")
     common, several = bit_map(elements.where(F.col("n") > cap), "e"), bit_map(elements.where(F.col("n") <= cap), "e")
-    parts = table(sets.select("h1", "prints").mapInArrow(_parts(crowd, common, several), "c long, common int, e array<long>"), "jaccard-parts")
-    parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e")), "jaccard-parts")
-    shares = parts.select("c", "common")
-    asks = asks.join(shares.toDF("x", "xk"), "x").where("5 * xk >= 4 * xn")
-    members = members.join(shares.toDF("y", "yk"), "y").where("5 * yk >= 4 * yn")
+    asking = bit_map(asks.select("x"), "x", 1 << 24)
+    parts = sets.select("h1", "prints").mapInArrow(_parts(crowd, asking, common, several, often, hot, levels), "c long, common int, e array<long>, asks array<long>")
+    parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e"), F.flatten(F.collect_set("asks")).alias("asks")), "jaccard-parts")
+    dropped(elements)
+    asks = asks.drop("sigs").join(parts.select(F.col("c").alias("x"), F.col("common").alias("xk"), F.col("asks").alias("sigs")), "x").where("5 * xk >= 4 * xn")
+    members = members.join(parts.select(F.col("c").alias("y"), F.col("common").alias("yk")), "y").where("5 * yk >= 4 * yn")
     # Sets that share none but common fingerprints share the lesser number of those at most.
     able = "x <> y and 9 * least(xk, yk) >= 4 * (xn + yn)"
     place = F.pmod(F.xxhash64("y", F.lit(LEADERS)), F.lit(LEADERS))
@@ -586,7 +635,10 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
         tries = table(tries.select("x", "y").distinct(), "jaccard-tries")
         if labels is not None and tries.isEmpty():
             continue
-        links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
+        more = verified(tries, sets)
+        if labels is not None and more.isEmpty():
+            continue
+        links = table(links.unionByName(more), "jaccard-links")
         found = components(links)
         labels = found.select(F.col("h1").alias("c"), "root")
         # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
@@ -604,14 +656,18 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
 
     # A few pairs of any two components first: one link of them settles all others. What is still apart then is held whole.
     few = [F.min_by(F.struct("x", "y"), F.xxhash64("x", "y", F.lit(r))) for r in range(LEADERS)]
-    few = between().groupBy("low", "high").agg(F.array_distinct(F.array(*few)).alias("l")).select(F.inline("l")).distinct()
+    pairs = table(between().distinct(), "jaccard-between")
+    few = pairs.groupBy("low", "high").agg(F.array_distinct(F.array(*few)).alias("l")).select(F.inline("l")).distinct()
     few = table(few, "jaccard-few")
     if few.isEmpty():
         return links
-    links = table(links.unionByName(verified(few, sets)), "jaccard-links")
-    found = components(links)
-    labels = found.select(F.col("h1").alias("c"), "root")
-    rest = table(between().select("x", "y").distinct().join(few, ["x", "y"], "left_anti"), "jaccard-rest")
+    more = verified(few, sets)
+    if not more.isEmpty():
+        links = table(links.unionByName(more), "jaccard-links")
+        found = components(links)
+        labels = found.select(F.col("h1").alias("c"), "root")
+        pairs = of(of(pairs, "x", "rx"), "y", "ry").where(apart)
+    rest = table(pairs.select("x", "y").join(few, ["x", "y"], "left_anti"), "jaccard-rest")
     return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
 
 

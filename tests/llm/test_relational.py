@@ -85,6 +85,56 @@ def test_plans_leave_room_for_all_differences():
             assert plan.hi * 5 >= n * 4
 
 
+def test_linked_sets_share_one_of_few_rare_fingerprints():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (4, 9, 40, 333, 2000):
+        for gone in (0, n // 20, n // 10, n // 9):
+            for common in (0.0, 0.5, 0.9):
+                a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+                b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 1 << 63, gone, np.uint64)]))
+                frequent = rng.permutation(a)[: int(common * n)]
+                few = []
+                for own, other in ((a, b), (b, a)):
+                    often = np.isin(own, frequent)
+                    # Some that others have too are taken as shared, as a map errs or a third set has them.
+                    shared = np.isin(own, other) | (own % np.uint64(7) == 0)
+                    few.append(jaccard.first_rare(own, often, shared))
+                    assert len(few[-1]) <= len(own) // 5 + 1
+                rare = np.setdiff1d(np.intersect1d(a, b), frequent)
+                assert not (jaccard.linked(a, b) and len(rare)) or len(np.intersect1d(*few)), (n, gone, common)
+
+
+@pytest.mark.parametrize("crowded", [1, 2, 3])
+def test_sets_ask_by_less_the_more_is_theirs_alone(crowded):
+    """Signatures that are crowded: all, or a half or a third of them; the others are taken as found in the cold join."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    full = np.full(1 << 15, 255, np.uint8)
+    hot = np.packbits(np.arange(1 << 18) % crowded == 0, bitorder="little")
+    levels = SimpleNamespace(value=[np.zeros(1 << 10, np.uint8)])
+    asked, plain = 0, 0
+    for n in (5, 17, 60, 99, 130, 500, 3000):
+        base = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        new = lambda k: rng.integers(0, 1 << 63, k, np.uint64)
+        for gone, added in ((0, 0), (n // 20, n // 20), (n // 9, 0), (0, n // 9), (n // 18, n // 18), (n // 9, n // 9)):
+            x = np.unique(np.concatenate([rng.permutation(base)[gone:], new(added)]))
+            y = np.unique(np.concatenate([rng.permutation(base)[gone:], new(added // 2)]))
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            asks = jaccard.asks_by_common(x, np.isin(x, base), full, hot, levels)
+            asked += len(asks)
+            plain += len(jaccard.asks_by_common(x, np.ones(len(x), bool), full, hot, levels))
+            if jaccard.linked(x, y):
+                own = next(jaccard.entries(y))
+                cold = [s[~jaccard._in_map(hot, s)] for p, s, *_ in jaccard.entries(x) if p.band == own[0].band]
+                assert len(np.intersect1d(np.concatenate([asks, *cold]), own[1])), (n, gone, added)
+    assert asked < plain
+
+
 # -- repeated strings
 
 
