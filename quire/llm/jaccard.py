@@ -16,8 +16,9 @@ Pairs that share one of the latter are candidates; with fingerprints in one orde
 linked sets share one within the first fifth of each and one more, so no others are looked at. All other pairs have common fingerprints in common only,
 so few that most can't link by their numbers, and all else that a set has is a difference, so that it asks by fewer segments; those
 that can link are held first against two group leaders (that
-with the largest common part, and another by hash), then against more leaders that they aren't connected with, then, as far as still in different components, by a few
-pairs of any two components, and what is apart after that whole. Every candidate is verified on the whole sets.
+with the largest common part, and another by hash), then against more leaders that they aren't connected with, then a few sets of each
+component against a few of any other that shares a signature, and what is apart after that whole. A set that has enough
+outside of crowded signatures itself isn't asked: its pairs are found without. Every candidate is verified on the whole sets.
 
 Set sizes and links rest on fingerprints of 64 bits, classes on 128. Defined cases: null texts and texts
 without words have an empty set and link with nothing; fewer words than the width make one shingle; a
@@ -43,6 +44,8 @@ from quire.llm.common import dropped, marked, sliced, table
 CAP = 16
 #: Leaders of a crowded signature: so many by their common part, and as many by hash.
 LEADERS = 8
+#: Sets of each component that are held first, for each crowded signature.
+FEW = 4
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
@@ -218,6 +221,16 @@ def signatures(prints: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(found), np.concatenate([own, segment, empty]), 2 * plan.segments
 
 
+def whole_of(sigs: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """For each of a band's signatures, as signatures() gives them, that of its segment without a deletion.
+
+    Two sets with the same segment share all its signatures; by these, this one is enough to bring them together.
+    """
+    # It comes before the segment's others.
+    _, first, of = np.unique(segments, return_index=True, return_inverse=True)
+    return sigs[first][of]
+
+
 def entries(prints: np.ndarray) -> Iterator[tuple[Plan, np.ndarray, np.ndarray, int, int]]:
     """Per band that a set is indexed or searched in: signatures, segments, allowances, allowances needed.
 
@@ -296,7 +309,7 @@ def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 #: Crowded signatures by how many sets have them: twice the cap and more, four times, and so on, as far as it matters for a choice.
 LEVELS = 14
 LEVEL_BITS = 1 << 21
-CROWD = "c: long, n: int, own: boolean, asks: array<long>, largest: long, hot: array<long>"
+CROWD = "c: long, n: int, own: boolean, asks: array<long>, largest: long, hot: array<long>, wholes: array<long>"
 
 
 def _least_frequent(sigs: np.ndarray, segments: np.ndarray, worth: np.ndarray, lack: int, levels) -> np.ndarray:
@@ -312,12 +325,17 @@ def _least_frequent(sigs: np.ndarray, segments: np.ndarray, worth: np.ndarray, l
 
 
 def asks_by_common(prints: np.ndarray, often: np.ndarray, several: np.ndarray, hot: np.ndarray, levels) -> np.ndarray:
+    return asks_with_wholes(prints, often, several, hot, levels)[0]
+
+
+def asks_with_wholes(prints: np.ndarray, often: np.ndarray, several: np.ndarray, hot: np.ndarray, levels) -> tuple[np.ndarray, np.ndarray]:
     """The crowded signatures by which a set must ask for sets that share none but its common fingerprints (``often``, a mask).
 
     All its others are differences then. A segment stands for its allowance less the differences that lie in
     it, so that fewer of the segments chosen by ``_crowd_row`` make up for the differences that are left.
+    The second array has whole_of() each.
     """
-    found = [np.zeros(0, U)]
+    found, wholes = [np.zeros(0, U)], [np.zeros(0, U)]
     for plan, sigs, segments, have, need in entries(prints):
         full = _in_map(several, sigs) & _in_map(hot, sigs)
         crowded, allow = np.unique(segments[full]), 2 if plan.deletions else 1
@@ -325,33 +343,42 @@ def asks_by_common(prints: np.ndarray, often: np.ndarray, several: np.ndarray, h
             continue
         left = np.maximum(allow - np.bincount(placed(prints[~often], plan)[1], minlength=plan.segments), 0)
         others = np.setdiff1d(np.arange(plan.segments) if plan.deletions else segments, crowded)
+        whole = whole_of(sigs, segments)[full]
         sigs, segments = sigs[full], segments[full]
         take = _least_frequent(sigs, segments, np.full(len(sigs), allow), lack, levels)
         if (lack := need - int((~often).sum()) - int(left[others].sum())) > 0:
-            sigs, segments = sigs[take], segments[take]
-            found.append(sigs[_least_frequent(sigs, segments, left[segments], lack, levels)])
-    return np.unique(np.concatenate(found))
+            sigs, segments, whole = sigs[take], segments[take], whole[take]
+            last = _least_frequent(sigs, segments, left[segments], lack, levels)
+            found.append(sigs[last])
+            wholes.append(whole[last])
+    sigs, at = np.unique(np.concatenate(found), return_index=True)
+    return sigs, np.concatenate(wholes)[at]
 
 
-def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segments: np.ndarray, lack: int, levels) -> tuple:
+def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segments: np.ndarray, wholes: np.ndarray, spare: int, need: int, levels) -> tuple:
     """What a set asks and offers in a band by its crowded signatures.
 
     asks: those of its least frequent crowded segments, as many as make up for the allowances that it
-    lacks outside of them; largest: the most frequent of these; hot: all of them, where others may ask.
+    lacks outside of them; largest: the most frequent of these; hot: all of them, where others may ask, wholes: whole_of() each.
+    spare: the allowances outside of crowded segments. Others needn't ask a set for which these are enough
+    with its largest partner: one of those segments agrees, so the pair is found by a signature of few sets.
     """
+    lack = need - spare
+    own = own and spare <= differing(n * 5 // 4, n)
     asks, largest = np.zeros(0, U), None
     if lack > 0:
         asks = sigs[_least_frequent(sigs, segments, np.full(len(sigs), 2 if plan.deletions else 1), lack, levels)]
         level = sum(_in_map(m, asks).astype(np.int64) for m in levels.value)
         largest = int(asks[np.lexsort((asks, -level))[0]].view(np.int64))
-    return h1, n, own, np.unique(asks).view(np.int64), largest, np.unique(sigs).view(np.int64) if own else np.zeros(0, np.int64)
+    hot, at = np.unique(sigs[:None if own else 0], return_index=True)
+    return h1, n, own, np.unique(asks).view(np.int64), largest, hot.view(np.int64), wholes[at].view(np.int64)
 
 
 def _signature_rows(width: int, often, hot, levels):
     """Per set and band: a row for each signature that few sets have, and one row for all crowded ones."""
     names = ["sig", "c", "n", "band", "seg", "allow", "have", "own"]
     kinds = [np.int64, np.int64, np.int32, np.int32, np.int32, np.int32, np.int32, np.bool_]
-    crowd = [("c", pa.int64()), ("n", pa.int32()), ("own", pa.bool_()), ("asks", pa.list_(pa.int64())), ("largest", pa.int64()), ("hot", pa.list_(pa.int64()))]
+    crowd = [("c", pa.int64()), ("n", pa.int32()), ("own", pa.bool_()), ("asks", pa.list_(pa.int64())), ("largest", pa.int64()), ("hot", pa.list_(pa.int64())), ("wholes", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -361,12 +388,14 @@ def _signature_rows(width: int, often, hot, levels):
             n, own = len(prints), band_of(len(prints))
             for plan, sigs, segments, have, need in entries(prints):
                 keep = _in_map(often.value, sigs)
+                every = sigs, segments
                 sigs, segments = sigs[keep], segments[keep]
                 full = _in_map(hot.value, sigs)
                 if full.any():
+                    whole = whole_of(*every)[keep]
                     allow = 2 if plan.deletions else 1
                     gone = allow * len(np.unique(segments[full]))
-                    row = _crowd_row(h1, n, plan, plan.band == own, sigs[full], segments[full], need - have + gone, levels)
+                    row = _crowd_row(h1, n, plan, plan.band == own, sigs[full], segments[full], whole[full], have - gone, need, levels)
                     if len(row[3]) or len(row[5]):
                         crowded.append(row)
                     have -= gone
@@ -395,15 +424,15 @@ def _signature_rows(width: int, often, hot, levels):
 
 
 def _asked(batches: Iterator[pa.RecordBatch], asked) -> Iterator[pa.RecordBatch]:
-    """Sets (y, yn, hot) with those of their crowded signatures that any set asks for."""
+    """Sets (y, yn, hot, wholes) with those of their crowded signatures that any set asks for."""
     for batch in sliced(batches):
         rows = []
-        for y, yn, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for y, yn, hot, wholes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             sigs = np.array(hot, np.int64)
-            sigs = sigs[_in_map(asked.value, sigs.view(U))]
-            if len(sigs):
-                rows.append((y, yn, sigs))
-        yield _batch(rows, [("y", pa.int64()), ("yn", pa.int32()), ("sigs", pa.list_(pa.int64()))])
+            take = _in_map(asked.value, sigs.view(U))
+            if take.any():
+                rows.append((y, yn, sigs[take], np.array(wholes, np.int64)[take]))
+        yield _batch(rows, [("y", pa.int64()), ("yn", pa.int32()), ("sig", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))])
 
 
 def sketch_of(prints: np.ndarray) -> bytes:
@@ -467,7 +496,7 @@ def first_rare(prints: np.ndarray, often: np.ndarray, shared: np.ndarray) -> np.
 
 def _parts(crowd, asking, common, several, often, hot, levels):
     """Per set of the crowd how many of its fingerprints are common, the rare ones to share, and the signatures to ask by."""
-    kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64()))]
+    kinds = [("c", pa.int64()), ("common", pa.int32()), ("e", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64())), ("whole", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -477,11 +506,11 @@ def _parts(crowd, asking, common, several, often, hot, levels):
                 if take:
                     prints = np.frombuffer(raw, U)
                     held = _in_map(common.value, prints)
-                    asks = np.zeros(0, U)
+                    asks = wholes = np.zeros(0, U)
                     if 5 * held.sum() >= 4 * len(prints) and _in_map(asking.value, np.array([h1], np.int64).view(U))[0]:
-                        asks = asks_by_common(prints, held, often.value, hot.value, levels)
+                        asks, wholes = asks_with_wholes(prints, held, often.value, hot.value, levels)
                     rare = first_rare(prints, held, _in_map(several.value, prints))
-                    rows.append((h1, int(held.sum()), rare.view(np.int64), asks.view(np.int64)))
+                    rows.append((h1, int(held.sum()), rare.view(np.int64), asks.view(np.int64), wholes.view(np.int64)))
             yield _batch(rows, kinds)
 
     return run
@@ -590,8 +619,8 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     asks = crowd_rows.where("size(asks) > 0").groupBy(F.col("c").alias("x"), F.col("n").alias("xn")).agg(F.array_distinct(F.flatten(F.collect_list("asks"))).alias("sigs"), F.min("largest").alias("largest"))
     asks = table(asks, "jaccard-asks")
     asked = bit_map(asks.select(F.explode("sigs").alias("sig")), "sig", 1 << 24)
-    members = crowd_rows.where("own").select(F.col("c").alias("y"), F.col("n").alias("yn"), "hot").mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sigs array<long>")
-    members = table(members.groupBy("y", "yn").agg(F.array_distinct(F.flatten(F.collect_set("sigs"))).alias("sigs")), "jaccard-members")
+    members = crowd_rows.where("own and size(hot) > 0").select(F.col("c").alias("y"), F.col("n").alias("yn"), "hot", "wholes").mapInArrow(lambda b: _asked(b, asked), "y long, yn int, sig array<long>, whole array<long>")
+    members = table(members.groupBy("y", "yn").agg(F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("sig", "whole")))).alias("sigs")), "jaccard-members")
     dropped(rows, counts)
     named = [near.select("x"), near.select("y"), asks.select("x"), members.select("y")]
     classes = named[0].toDF("h1")
@@ -608,8 +637,8 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     elements = table(elements.where("n > 1"), "jaccard-elements")
     common, several = bit_map(elements.where(F.col("n") > cap), "e"), bit_map(elements.where(F.col("n") <= cap), "e")
     asking = bit_map(asks.select("x"), "x", 1 << 24)
-    parts = sets.select("h1", "prints").mapInArrow(_parts(crowd, asking, common, several, often, hot, levels), "c long, common int, e array<long>, asks array<long>")
-    parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e"), F.flatten(F.collect_set("asks")).alias("asks")), "jaccard-parts")
+    parts = sets.select("h1", "prints").mapInArrow(_parts(crowd, asking, common, several, often, hot, levels), "c long, common int, e array<long>, sig array<long>, whole array<long>")
+    parts = table(parts.groupBy("c").agg(F.max("common").alias("common"), F.flatten(F.collect_set("e")).alias("e"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("sig", "whole")))).alias("asks")), "jaccard-parts")
     dropped(elements)
     asks = asks.drop("sigs").join(parts.select(F.col("c").alias("x"), F.col("common").alias("xk"), F.col("asks").alias("sigs")), "x").where("5 * xk >= 4 * xn")
     members = members.join(parts.select(F.col("c").alias("y"), F.col("common").alias("yk")), "y").where("5 * yk >= 4 * yn")
@@ -620,7 +649,7 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     orders += [F.min_by(F.struct("y", "yn", "yk"), F.xxhash64("y", F.lit(r))) for r in range(LEADERS)]
     # Two leaders first, which connect most of a group; the others are asked only by sets that are still apart from them.
     rounds = ([orders[0], orders[LEADERS]], [o for i, o in enumerate(orders) if i % LEADERS])
-    spread = members.select("y", "yn", "yk", F.explode("sigs").alias("sig")).groupBy("sig")
+    spread = members.select("y", "yn", "yk", F.inline("sigs")).groupBy("sig")
     lead = table(spread.agg(*[F.array_distinct(F.array_compact(F.array(*o))).alias(f"l{i}") for i, o in enumerate(rounds)]), "jaccard-leaders")
     apart = "not (coalesce(rx = ry, false))"
     found, labels = None, None
@@ -644,30 +673,34 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
         # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
         links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
 
-    def between() -> DataFrame:
-        """Pairs (x, y) left between different components, and these components' least classes."""
-        asking, asked_ = (of(df, c, f"r{c}").withColumn("sig", F.explode("sigs")).drop("sigs") for df, c in ((asks, "x"), (members, "y")))
-        near = asking.join(asked_, "sig").where(f"{able} and {apart} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4")
-        rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
-        same = rare.toDF("x", "rx", "e").join(rare.toDF("y", "ry", "e"), "e").where(f"x > y and {apart}")
-        pairs = near.select("x", "y", "rx", "ry").unionByName(same.select("x", "y", "rx", "ry"))
-        ends = [F.coalesce(F.col(f"r{c}"), F.struct(F.col(c).alias("h1"), F.lit(0).cast("long").alias("h2"))) for c in "xy"]
-        return pairs.select("x", "y", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
-
-    # A few pairs of any two components first: one link of them settles all others. What is still apart then is held whole.
-    few = [F.min_by(F.struct("x", "y"), F.xxhash64("x", "y", F.lit(r))) for r in range(LEADERS)]
-    pairs = table(between().distinct(), "jaccard-between")
-    few = pairs.groupBy("low", "high").agg(F.array_distinct(F.array(*few)).alias("l")).select(F.inline("l")).distinct()
-    few = table(few, "jaccard-few")
-    if few.isEmpty():
-        return links
-    more = verified(few, sets)
-    if not more.isEmpty():
-        links = table(links.unionByName(more), "jaccard-links")
+    def sides() -> tuple[DataFrame, DataFrame]:
+        """Sets that ask (x) and sets asked (y), one row for each signature, with their components' least classes."""
+        alone = lambda c: F.coalesce(F.col(f"r{c}"), F.struct(F.col(c).alias("h1"), F.lit(0).cast("long").alias("h2")))
+        return tuple(of(df, c, f"r{c}").select(c, f"{c}n", f"{c}k", alone(c).alias(f"r{c}"), F.inline("sigs").alias("sig", f"{c}w")) for df, c in ((asks, "x"), (members, "y")))
+
+    # A segment that is the same in both brings them together once, by its signature without a deletion.
+    once = "rx <> ry and not (xw = yw and sig <> xw)"
+    # A few sets of any two components first, chosen by hash for each signature: one link settles all other pairs of
+    # the two. Only what is still apart then is brought together whole.
+    few = []
+    for df, c in zip(sides(), "xy", strict=True):
+        one = F.struct(c, f"{c}n", f"{c}k", f"{c}w")
+        some = df.groupBy("sig", f"r{c}").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64(c, F.lit(r))) for r in range(FEW)])).alias("l"))
+        few.append(some.select("sig", f"r{c}", F.inline("l")))
+    tries = few[0].join(few[1], "sig").where(f"{able} and {once} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4")
+    ends = F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")
+    tries = table(tries.select(*ends).distinct(), "jaccard-few")
+    if not tries.isEmpty():
+        links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
         found = components(links)
         labels = found.select(F.col("h1").alias("c"), "root")
-        pairs = of(of(pairs, "x", "rx"), "y", "ry").where(apart)
-    rest = table(pairs.select("x", "y").join(few, ["x", "y"], "left_anti"), "jaccard-rest")
+        links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
+    asking, asked_ = sides()
+    pairs = asking.join(asked_, "sig").where(f"{able} and {once} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4")
+    rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
+    same = rare.toDF("x", "rx", "e").join(rare.toDF("y", "ry", "e"), "e").where(f"x > y and {apart}")
+    pairs = pairs.select(*ends).unionByName(same.select(*ends)).distinct()
+    rest = table(pairs.join(tries, ["x", "y"], "left_anti"), "jaccard-rest")
     return links if rest.isEmpty() else links.unionByName(verified(rest, sets))
 
 

@@ -135,6 +135,84 @@ def test_sets_ask_by_less_the_more_is_theirs_alone(crowded):
     assert asked < plain
 
 
+def test_sets_with_enough_outside_of_crowded_signatures_are_not_asked():
+    """A set for which its cold segments are enough offers none; of two linked sets that both lack, one asks and one offers."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    levels = SimpleNamespace(value=[np.zeros(1 << 10, np.uint8)])
+    offered = 0
+    for n in (5, 30, 60, 99, 130, 500, 3000):
+        y = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        for gone in (0, n // 20, n // 9):
+            x = np.unique(np.concatenate([rng.permutation(y)[gone:], rng.integers(0, 1 << 63, gone + n // 50, np.uint64)]))
+            a, b = (x, y) if len(x) >= len(y) else (y, x)
+            for share in (0.05, 0.3, 0.7, 1.0):
+                hot = np.packbits(rng.random(1 << 18) < share, bitorder="little")
+                own = next(jaccard.entries(b))
+                row, cold = [], []
+                for s, (plan, sigs, segments, have, need) in ((s, e) for s in (a, b) for e in jaccard.entries(s) if e[0].band == own[0].band):
+                    full = jaccard._in_map(hot, sigs)
+                    spare = have - (2 if plan.deletions else 1) * len(np.unique(segments[full]))
+                    row.append(jaccard._crowd_row(1, len(s), plan, s is b, sigs[full], segments[full], jaccard.whole_of(sigs, segments)[full], spare, need, levels))
+                    cold.append(sigs[~full])
+                offered += len(row[1][5]) > 0
+                assert len(row[1][5]) == 0 or spare < need + len(b) // 9
+                if jaccard.linked(a, b):
+                    wholes = [dict(zip(r[5].tolist(), r[6].tolist(), strict=True)) for r in row]
+                    found = [s for s in row[0][3].tolist() if s in wholes[1]]
+                    assert len(np.intersect1d(*cold)) or found, (n, gone, share)
+    assert 0 < offered < 7 * 3 * 4
+
+
+def test_same_segments_bring_sets_together_by_one_signature():
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    for n in (5, 60, 99, 146, 500):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([rng.permutation(a)[n // 10 :], rng.integers(0, 1 << 63, n // 10, np.uint64)]))
+        plan = next(jaccard.entries(a))[0]
+        rows = []
+        for s in (a, b):
+            sigs, segments, _ = jaccard.signatures(s, plan)
+            rows.append({g: (w, k) for g, w, k in zip(sigs.tolist(), jaccard.whole_of(sigs, segments).tolist(), segments.tolist(), strict=True)})
+        shared = set(rows[0]) & set(rows[1])
+        once = [g for g in shared if not (rows[0][g][0] == rows[1][g][0] and g != rows[0][g][0])]
+        agree = {rows[0][g][1] for g in shared}
+        assert {rows[0][g][1] for g in once} == agree
+        same = {k for k in agree if {g for g, r in rows[0].items() if r[1] == k} == {g for g, r in rows[1].items() if r[1] == k}}
+        assert all(sum(rows[0][g][1] == k for g in once) == 1 for k in same)
+
+
+def test_pairs_of_a_large_group_grow_with_its_sets(spark, monkeypatch):
+    """Near copies of one text with edits of their own, half of them too many to link with most: no table of pairs is near all pairs."""
+    import random
+
+    rnd, n = random.Random(17), 400
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rnd.sample(range(150), 1 + i % 5):
+            words[at] = f"u{i}-{at}"
+        rows.append((i, " ".join(words)))
+    made, written = {}, jaccard.table
+
+    def counted(df, name):
+        out = written(df, name)
+        if out.columns == ["x", "y"] or {"low", "high"} <= set(out.columns):
+            made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert H.collected(jaccard.near_groups(df), "doc_id", "n_shingles", "component_id") == H.near_groups(rows)
+    assert max(made.values()) < 20 * n, made
+
+
 # -- repeated strings
 
 
