@@ -355,6 +355,11 @@ def asks_with_wholes(prints: np.ndarray, often: np.ndarray, several: np.ndarray,
     return sigs, np.concatenate(wholes)[at]
 
 
+def lacking(n: int, spare: int) -> bool:
+    """Whether a set of n needs to be asked by its crowded signatures: its other allowances aren't enough with its largest partner."""
+    return spare <= differing(n * 5 // 4, n)
+
+
 def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segments: np.ndarray, wholes: np.ndarray, spare: int, need: int, levels) -> tuple:
     """What a set asks and offers in a band by its crowded signatures.
 
@@ -364,7 +369,7 @@ def _crowd_row(h1: int, n: int, plan: Plan, own: bool, sigs: np.ndarray, segment
     with its largest partner: one of those segments agrees, so the pair is found by a signature of few sets.
     """
     lack = need - spare
-    own = own and spare <= differing(n * 5 // 4, n)
+    own = own and lacking(n, spare)
     asks, largest = np.zeros(0, U), None
     if lack > 0:
         asks = sigs[_least_frequent(sigs, segments, np.full(len(sigs), 2 if plan.deletions else 1), lack, levels)]
@@ -392,10 +397,11 @@ def _signature_rows(width: int, often, hot, levels):
                 sigs, segments = sigs[keep], segments[keep]
                 full = _in_map(hot.value, sigs)
                 if full.any():
-                    whole = whole_of(*every)[keep]
                     allow = 2 if plan.deletions else 1
                     gone = allow * len(np.unique(segments[full]))
-                    row = _crowd_row(h1, n, plan, plan.band == own, sigs[full], segments[full], whole[full], have - gone, need, levels)
+                    offers = plan.band == own and lacking(n, have - gone)
+                    wholes = whole_of(*every)[keep][full] if offers else sigs[:0]
+                    row = _crowd_row(h1, n, plan, offers, sigs[full], segments[full], wholes, have - gone, need, levels)
                     if len(row[3]) or len(row[5]):
                         crowded.append(row)
                     have -= gone
@@ -673,17 +679,18 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
         # What is connected so far goes on as one edge for each class, to its root, instead of all its links.
         links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
 
-    def sides() -> tuple[DataFrame, DataFrame]:
+    def sides(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Sets that ask (x) and sets asked (y), one row for each signature, with their components' least classes."""
         alone = lambda c: F.coalesce(F.col(f"r{c}"), F.struct(F.col(c).alias("h1"), F.lit(0).cast("long").alias("h2")))
         return tuple(of(df, c, f"r{c}").select(c, f"{c}n", f"{c}k", alone(c).alias(f"r{c}"), F.inline("sigs").alias("sig", f"{c}w")) for df, c in ((asks, "x"), (members, "y")))
 
     # A segment that is the same in both brings them together once, by its signature without a deletion.
     once = "rx <> ry and not (xw = yw and sig <> xw)"
-    # A few sets of any two components first, chosen by hash for each signature: one link settles all other pairs of
-    # the two. Only what is still apart then is brought together whole.
+    # A few sets of any two components first, chosen by hash for each signature, and asking by two of theirs: one link
+    # settles all other pairs of the two. Only what is still apart then is brought together whole.
     few = []
-    for df, c in zip(sides(), "xy", strict=True):
+    two = asks.withColumn("sigs", F.expr("slice(array_sort(filter(sigs, s -> s.sig = s.whole)), 1, 2)"))
+    for df, c in zip(sides(two), "xy", strict=True):
         one = F.struct(c, f"{c}n", f"{c}k", f"{c}w")
         some = df.groupBy("sig", f"r{c}").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64(c, F.lit(r))) for r in range(FEW)])).alias("l"))
         few.append(some.select("sig", f"r{c}", F.inline("l")))
@@ -695,7 +702,7 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
         found = components(links)
         labels = found.select(F.col("h1").alias("c"), "root")
         links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
-    asking, asked_ = sides()
+    asking, asked_ = sides(asks)
     pairs = asking.join(asked_, "sig").where(f"{able} and {once} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4")
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
     same = rare.toDF("x", "rx", "e").join(rare.toDF("y", "ry", "e"), "e").where(f"x > y and {apart}")
