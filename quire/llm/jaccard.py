@@ -46,6 +46,8 @@ CAP = 16
 LEADERS = 8
 #: Sets of each component that are held first, for each crowded signature.
 FEW = 4
+#: Times that this is done, each by two other signatures of each set, as long as it links any.
+ROUNDS = 3
 MAP_BITS = 1 << 26
 #: Least set size for which segments without deletions are safe to have enough that aren't empty.
 LARGE = 100
@@ -688,20 +690,28 @@ def near_links(texts: DataFrame, width: int, cap: int = CAP) -> DataFrame:
     once = "rx <> ry and not (xw = yw and sig <> xw)"
     # A few sets of any two components first, chosen by hash for each signature, and asking by two of theirs: one link
     # settles all other pairs of the two. Only what is still apart then is brought together whole.
-    few = []
-    two = asks.withColumn("sigs", F.expr("slice(array_sort(filter(sigs, s -> s.sig = s.whole)), 1, 2)"))
-    for df, c in zip(sides(two), "xy", strict=True):
-        one = F.struct(c, f"{c}n", f"{c}k", f"{c}w")
-        some = df.groupBy("sig", f"r{c}").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64(c, F.lit(r))) for r in range(FEW)])).alias("l"))
-        few.append(some.select("sig", f"r{c}", F.inline("l")))
-    tries = few[0].join(few[1], "sig").where(f"{able} and {once} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4")
     ends = F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")
-    tries = table(tries.select(*ends).distinct(), "jaccard-few")
-    if not tries.isEmpty():
-        links = table(links.unionByName(verified(tries, sets)), "jaccard-links")
+    held = []
+    for i in range(ROUNDS):
+        few = []
+        two = asks.withColumn("sigs", F.expr(f"slice(array_sort(filter(sigs, s -> s.sig = s.whole)), {2 * i + 1}, 2)"))
+        for df, c in zip(sides(two), "xy", strict=True):
+            one = F.struct(c, f"{c}n", f"{c}k", f"{c}w")
+            some = df.groupBy("sig", f"r{c}").agg(F.array_distinct(F.array(*[F.min_by(one, F.xxhash64(c, F.lit(i * FEW + r))) for r in range(FEW)])).alias("l"))
+            few.append(some.select("sig", f"r{c}", F.inline("l")))
+        tries = few[0].join(few[1], "sig").where(f"{able} and {once} and yn * 5 >= xn * 4 and xn * 5 >= yn * 4")
+        tries = table(tries.select(*ends).distinct(), "jaccard-few")
+        held.append(tries)
+        more = verified(tries, sets)
+        if more.isEmpty():
+            break
+        links = table(links.unionByName(more), "jaccard-links")
         found = components(links)
         labels = found.select(F.col("h1").alias("c"), "root")
         links = found.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("root.h1").alias("b1"), F.col("root.h2").alias("b2"))
+    tries = held[0]
+    for t in held[1:]:
+        tries = tries.union(t)
     asking, asked_ = sides(asks)
     pairs = asking.join(asked_, "sig").where(f"{able} and {once} and (xn > yn or (xn = yn and x > y)) and yn * 5 >= xn * 4")
     rare = of(parts, "c", "root").select("c", "root", F.explode("e").alias("e"))
