@@ -15,6 +15,7 @@ or repeated doc_id are each returned; texts of any length are scanned whole; oth
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -345,20 +346,38 @@ def rules() -> list[dict]:
     for x in SPDX:
         words = x.replace("-", " ").replace(".", " ")
         found.append({"label": x.removesuffix("-only"), "priority": 5, "weight": 1.0, "keyword": "spdx", "regex": f"spdx licen[cs]e identifier {words}", "base": False})
-    return [r | {"order": i, "regex": f"(?<![^ ])(?:{r['regex']})(?![^ ])"} for i, r in enumerate(found)]
+    return [r | {"order": i, "keyword": max(r["keyword"], _head(r["regex"]), key=len), "regex": f"(?<![^ ])(?:{r['regex']})(?![^ ])"} for i, r in enumerate(found)]
 
 
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+def _head(regex: str) -> str:
+    """The plain words that a rule begins with, if any: whatever it matches has them, so they are a keyword too."""
+    depth = 0
+    for c in regex:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            return ""
+    head = re.match("[a-z0-9 ]*", regex)[0]
+    return head[:-1] if regex[len(head) : len(head) + 1] in ("?", "*", "{") else head
+
+
+#: What parts words; a single space, which most often does, is left as it is and so doesn't match.
+APART = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
+BREAK = f"[{APART}&&[^ ]][{APART}]*| [{APART}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULE_TYPE = "array<struct<label string, priority int, weight double, keyword string, regex string, base boolean, order int>>".replace(" string", ": string").replace(" int", ": int").replace(" double", ": double").replace(" boolean", ": boolean")
 START, END = "\u0001", "\u0002"
 
 
-def _spans(words: Column, rule: Column) -> Column:
-    """Intervals [first word, last word] where the rule matches; marks are set around each match, then words with marks are found by index."""
-    marked = F.split(F.regexp_replace(words, rule["regex"], F.lit(f"{START}$0{END}")), " ", -1)
-    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(START)), i).otherwise(-1)), lambda i: i >= 0)
-    ends = F.filter(F.transform(marked, lambda w, i: F.when(F.endswith(w, F.lit(END)), i).otherwise(-1)), lambda i: i >= 0)
+def _marked(words: Column, rule: Column) -> Column:
+    """The rule, and the words with marks around each of its matches."""
+    return F.struct(rule.alias("rule"), F.regexp_replace(words, rule["regex"], F.lit(f"{START}$0{END}")).alias("words"))
+
+
+def _spans(marked: Column) -> Column:
+    """Intervals [first word, last word] where the rule matches: words with marks are found by index."""
+    rule, words = marked["rule"], F.split(marked["words"], " ", -1)
+    starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(START)), i).otherwise(-1)), lambda i: i >= 0)
+    ends = F.filter(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit(END)), i).otherwise(-1)), lambda i: i >= 0)
     return F.zip_with(
         starts, ends,
         lambda a, b: F.struct(a.alias("first"), (-b).alias("neg_last"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["label"].alias("label"), rule["weight"].alias("weight"), rule["base"].alias("base")),
@@ -371,13 +390,16 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     found: struct(first, last, label, priority, weight, base, stays), words counted from 0.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_join(F.regexp_extract_all(F.translate(body, UPPER, LOWER), F.lit(WORD), 0), " ")
-    df = docs.withColumn("n_words", F.regexp_count(body, F.lit(WORD)).cast("long")).withColumn("_words", words)
+    # Words stay one string: lists of them take most of the time, and their number is that of the spaces between them.
+    df = docs.withColumn("_words", F.trim(F.regexp_replace(F.translate(body, UPPER, LOWER), BREAK, " ")))
+    spaces = F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit("")))
+    df = df.withColumn("n_words", F.when(F.col("_words") == "", F.lit(0)).otherwise(spaces + 1).cast("long"))
     gate = F.lit(False)
     for a in ANCHORS:
         gate = gate | F.contains(F.col("_words"), F.lit(a))
     table = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
-    spans = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: _spans(F.col("_words"), r)))
+    tried = F.transform(F.filter(table, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: _marked(F.col("_words"), r))
+    spans = F.flatten(F.transform(F.filter(tried, lambda x: F.contains(x["words"], F.lit(START))), _spans))
     df = df.withColumn("_spans", F.when(gate, F.array_sort(spans)))
     levels = sorted({r["priority"] for r in rules()})
     # For each priority, the furthest last word of the intervals seen so far with it or a better one: starts are in order, so that tells containment.

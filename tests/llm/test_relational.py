@@ -610,6 +610,16 @@ def test_license_identifiers_have_one_name(spark):
     assert {r.doc_id: r.labels for r in licenses.license_table(df).collect()} == dict(enumerate(texts.values()))
 
 
+def test_license_words_are_no_lists(spark):
+    """Words stay one string, and a rule is tried only where all the words it begins with are."""
+    texts = [None, "", " ", "\n-\t", "a", " a", "a ", "--A  b\n\nc--", "é\u00a0ß x\u0001y\x7fz", "1_2\u2028three", "accept success; cc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = licenses.license_table(df)
+    assert {r.doc_id: r.n_words for r in table.collect()} == {i: len(H.words(x)) for i, x in enumerate(texts)}
+    assert "regexp_extract_all" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert not [r for r in licenses.rules() if r["keyword"] in ("cc", "gnu", "general", "apache")]
+
+
 def test_sketches_rule_out_no_link():
     import numpy as np
 
