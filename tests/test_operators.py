@@ -107,6 +107,17 @@ def test_control(spark):
     assert [r.answer for r in control.model_stage(g.select("group_no", F.col("source").alias("text")), str.upper).collect()] == ["S"]
     t = spark.createDataFrame([(1, i, k) for i, k in enumerate(["toc", "metadata", "chapter", "chapter"])], "b int, no int, kind string")
     assert [round(r.progress, 2) for r in control.progress(t, ["b"], "no").orderBy("no").collect()] == [0.05, 0.1, 0.55, 1.0]
+
+
+def test_progress_has_no_error_of_sums(spark):
+    """Shares that end on a half per mille are rounded as the share of each chapter alone would be."""
+    import duckdb
+
+    rows = [(n, k, "metadata" if k == 0 else "chapter") for n in range(1, 101) for k in range(n + 1)]
+    got = control.progress(spark.createDataFrame(rows, "b int, no int, kind string"), ["b"], "no")
+    got = got.select("b", "no", F.round(F.col("progress") * 1000).cast("int").alias("permille")).collect()
+    want = duckdb.execute("SELECT n, k, cast(round(1000 * (0.05 + 0.95 * k / n)) AS int) FROM (SELECT n, unnest(range(0, n + 1)) AS k FROM range(1, 101) t(n))").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
     assert control.downgraded("append_block", "toc") == "append_text"
 
 
