@@ -364,3 +364,60 @@ def test_a_request_with_news_waits_on(spark, tmp_path):
     answers.answers(rows).writeStream.format("memory").queryName("waiting").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = sorted(map(tuple, spark.table("waiting").where("request != 'x'").collect()))
     assert got == [("q", "", 0, False, 7, 8), ("r", "abc", 3, True, 7, 8)]
+
+
+def shuffled(spark):
+    """Names of the files of shuffles that this session still has."""
+    from pathlib import Path
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {p.name for d in manager.localDirsString() for p in Path(d).rglob("shuffle_*")}
+
+
+def test_a_stage_leaves_no_shuffles_and_is_compressed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    run = Run(spark, "lean", f"file://{tmp_path}")
+    before, setting = shuffled(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    rows = run.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")), "stage")
+    assert rows.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    for _ in range(50):  # the files go in the background
+        left = {x.split("_")[1] for x in shuffled(spark) - before}
+        if len(left) <= 1:  # that of the count
+            break
+        time.sleep(0.2)
+    assert len(left) <= 1
+    found = [pq.ParquetFile(f).metadata for f in (tmp_path / "run-lean" / "stage").glob("*.parquet")]
+    assert {m.row_group(0).column(0).compression for m in found if m.num_row_groups} == {"ZSTD"}
+
+
+def test_stages_go_once_the_next_ones_hold_them(spark, tmp_path):
+    from pathlib import Path
+
+    members = rich_book(spark, {"OPS/c1.xhtml": RICH})
+    stages = lambda t: {p.parent.name for p in Path(t.run.folder.removeprefix("file://")).glob("*/_SUCCESS")}
+    done = Translation(members, counting(tmp_path), Settings(budget=400, attempts=4))
+    first = sorted((r.book_id, r.path, bytes(r.content)) for r in done.result().collect())
+    assert stages(done) == {"members", "tasks", "bodies", "answers", "filled", "changed"}
+    n = asked(tmp_path, "translate"), asked(tmp_path, "fill")
+    again = sorted((r.group_no, r.source) for r in done.requests.collect())  # made again, no model asked
+    assert again and n == (asked(tmp_path, "translate"), asked(tmp_path, "fill"))
+    assert {r.key for r in done.requests.select("key").collect()} == {r.key for r in done.answers.select("key").collect()}
+    assert done.mappings().count() == done.requests.select(F.inline("blocks")).where("body").count()
+    assert sorted((r.book_id, r.path, bytes(r.content)) for r in done.result().collect()) == first
+
+    kept = Translation(members, counting(tmp_path), Settings(budget=400, attempts=4))
+    blocks, wanted = kept.blocks, kept.requests  # what was asked for as a table stays
+    kept.result().count()
+    assert blocks.count() == kept.mappings().count() and sorted((r.group_no, r.source) for r in wanted.collect()) == again
+
+
+def test_a_run_goes_on_without_stages_that_are_over(spark, tmp_path):
+    members, name = rich_book(spark, {"OPS/c1.xhtml": RICH}), f"over-{time.time_ns()}"
+    seen = spark.sparkContext.accumulator(0)
+    hooks = Hooks(sources=lambda b: b.mapInPandas(lambda fs: (seen.add(len(f)) or f for f in fs), b.schema))
+    runs = [Translation(members, counting(tmp_path), Settings(budget=400, attempts=4), hooks=hooks, run_id=name) for _ in range(2)]
+    first, n = sorted(map(tuple, runs[0].mappings().collect())), asked(tmp_path, "translate")
+    parsed = seen.value
+    assert sorted(map(tuple, runs[1].mappings().collect())) == first and asked(tmp_path, "translate") == n and seen.value == parsed
+    runs[1].run.drop()
